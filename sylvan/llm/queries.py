@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from .exact_dedup import ORACLE as ORACLE9
-from .exact_dedup import op9_exact_dedup
+from . import exact_dedup, mixing, url_filter
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
-ORACLES = {"op9_exact_dedup": ORACLE9}
+QUERIES = {"op2_url_filter": url_filter.op2_url_filter, "op7_mixing": mixing.op7_mixing, "op9_exact_dedup": exact_dedup.op9_exact_dedup}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
