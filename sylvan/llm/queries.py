@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, packing, records, url_filter
 
-QUERIES = {"op2_url_filter": url_filter.op2_url_filter, "op7_mixing": mixing.op7_mixing, "op9_exact_dedup": exact_dedup.op9_exact_dedup}
+QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op4_packing": packing.op4_packing,
+    "op6_binary_records": records.op6_binary_records,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
