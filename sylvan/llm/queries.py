@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, records, url_filter
+from . import exact_dedup, language_id, mixing, packing, records, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_packing": packing.op4_packing,
+    "op5_language_id": language_id.op5_language_id,
     "op6_binary_records": records.op6_binary_records,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
