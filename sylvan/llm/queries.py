@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, records, url_filter
+from . import exact_dedup, language_id, mixing, packing, quality, records, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_packing": packing.op4_packing,
     "op5_language_id": language_id.op5_language_id,
