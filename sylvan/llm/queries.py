@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality, records, url_filter
+from . import exact_dedup, language_id, mixing, packing, quality, records, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_topk": topk.op3_topk,
     "op4_packing": packing.op4_packing,
     "op5_language_id": language_id.op5_language_id,
     "op6_binary_records": records.op6_binary_records,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
-ORACLES = {"op2_url_filter": url_filter.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op3_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
