@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality, records, topk, url_filter
+from . import exact_dedup, language_id, mixing, packing, quality, records, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_binary_records": records.op6_binary_records,
     "op7_mixing": mixing.op7_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op2_url_filter": url_filter.ORACLE, "op3_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
