@@ -75,3 +75,11 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+def with_unique_ids(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """(docs, the column that tells its rows apart): the id where it is unique and never null, else a row number in a
+    written copy."""
+    if docs.groupBy(F.col(id_col).alias("id")).count().filter("id IS NULL OR count > 1").isEmpty():
+        return docs, id_col
+    return materialise(docs.withColumn("_sylvan_row", F.monotonically_increasing_id()), "numbered"), "_sylvan_row"

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_and_text, materialise
+from .common import SPACE, id_and_text, materialise, with_unique_ids
 
 DIGEST = ["sha", "n_norm", "check"]
 
@@ -62,15 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay.  The text moves once, for the semi join with the
-    ids that stay; where an id is null or repeated, rows are numbered in a written copy instead."""
-    groups = materialise(exact_groups(docs, id_col, text_col).filter("kept").select("doc_id"), "kept")
-    plain = docs.groupBy(F.col(id_col).alias("id")).count().filter("id IS NULL OR count > 1").isEmpty()
-    if plain:
-        return docs.join(groups.withColumnRenamed("doc_id", id_col), id_col, "left_semi").select(docs.columns)
-    numbered = materialise(docs.withColumn("_sylvan_row", F.monotonically_increasing_id()), "numbered")
-    keys = exact_groups(numbered.select(F.col("_sylvan_row").alias("doc_id"), F.col(text_col).alias("text"), F.col(id_col).alias("id")), "doc_id", "text")
-    return numbered.join(keys.filter("kept").select(F.col("doc_id").alias("_sylvan_row")), "_sylvan_row", "left_semi").select(docs.columns)
+    """The rows of docs, with all their columns, that stay.  The text moves once, for the semi join with the ids that stay."""
+    told, key = with_unique_ids(docs, id_col)
+    if key == id_col:
+        stays = exact_groups(told, id_col, text_col).filter("kept").select(F.col("doc_id").alias(key))
+        return told.join(stays, key, "left_semi").select(docs.columns)
+    groups = exact_groups(told.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")))  # rows in place of ids
+    return told.join(groups.filter("kept").select(F.col("doc_id").alias(key)), key, "left_semi").select(docs.columns)
 
 
 ORACLE = r"""

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,6 +159,18 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     return id_and_text(docs, id_col, text_col).mapInArrow(decide, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, filters: Filters, text_col: str = "text", out_col: str = "lang") -> DataFrame:
+    """docs with the decision in out_col (which may be there already), rows of no language (``und``) left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    @F.pandas_udf("string")
+    def decide(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.decide(t or "")[0])
+
+    decided = docs.withColumn("_sylvan_lang", decide(F.coalesce(F.col(text_col), F.lit("")))).filter("_sylvan_lang <> 'und'")
+    return decided.withColumn(out_col, F.col("_sylvan_lang")).select(docs.columns)
+
+
 def op5_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = id_remainder(F.col("doc_id"), 4) == 2

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, with_unique_ids
 
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
@@ -72,6 +72,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of docs as many times as it has copies."""
+    told, key = with_unique_ids(docs, id_col)
+    copies = mix_sources(told, key, text_col, source_col, **options).filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("_sylvan_copies"))
+    both = told.join(copies, key).withColumn("_sylvan_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sylvan_copies"))))
+    return both.select(docs.columns)
+
+
 def op7_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

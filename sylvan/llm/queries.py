@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, packing, quality, records, suffix_dedup, topk, url_filter
+from . import exact_dedup, language_id, mixing, ngram_jaccard, packing, quality, records, suffix_dedup, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_binary_records": records.op6_binary_records,
     "op7_mixing": mixing.op7_mixing,
+    "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
