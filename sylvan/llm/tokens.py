@@ -3,7 +3,7 @@
 Both vocabularies merge within the pieces of a fixed split pattern only, and no piece reaches across the
 last white space before a word.  A text's ids are therefore those of its units (a word with the
 white space character before it) in a row.  Units recur far more often than they are new: each worker keeps
-the ids of the units it has met (up to MEMORY, then it starts again) and gives only new units' pieces to
+the ids of the units it has met lately (MEMORY) and gives only new units' pieces to
 the library's model.  Splitting here is for characters on which every Unicode version agrees; a
 text with any other character goes through the library whole.
 """
@@ -17,8 +17,8 @@ from array import array
 
 import numpy as np
 
-#: Units kept in a worker's memory.
-MEMORY = 500_000
+#: Units kept in a worker's newer and older memory each; a full newer one becomes the older.
+MEMORY = 350_000
 
 # The vocabularies' split patterns, for the characters outside OTHER.
 LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
@@ -31,7 +31,8 @@ UNIT = re.compile(rf"[{BLANK}]?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])")
 
 BLANKS = "\t\n\x0b\x0c\r\x20\u00a0"
 FIRST = "\x00"
-UNSPACED = BLANKS + FIRST
+#: Signs that can follow a word; an apostrophe can begin a piece of its own.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space that is not one space or line feed between words.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\u00a0", "\x0b", "\x0c")
 #: Byte-level vocabularies write byte b as this character (printable bytes as themselves, others from U+0100 on).
@@ -55,16 +56,37 @@ class Encoder:
         self.lower = self.library.normalizer is not None
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, unit: str) -> bytes:
+        model = self.model.tokenize
+        return array("I", [t.id for piece in self.pattern.findall(unit) for t in model(piece.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+
     def _learn(self, keys: set[str]) -> None:
-        model, pattern, known = self.model.tokenize, self.pattern.findall, self.known
+        """Most new keys are a word, or a word and the signs after it: those have one piece or two."""
+        model, known, older, space = self.model.tokenize, self.known, self.older, "" if self.lower else BYTE_CHARS[0x20]
         for key in keys:
-            unit = key if self.lower or key[0] in UNSPACED else " " + key
-            ids = [t.id for piece in pattern(unit.lstrip(FIRST)) for t in model(piece.encode().decode("latin-1").translate(BYTE_CHARS))]
-            known[key] = array("I", ids).tobytes()
+            ids = older.get(key)
+            if ids is None:
+                word = key.rstrip(SIGNS)
+                if word.isalpha() and word.isascii():
+                    ids = known.get(word) or older.get(word)
+                    if ids is None:
+                        ids = known[word] = array("I", [t.id for t in model(space + word)]).tobytes()
+                    if len(word) < len(key):
+                        signs = key[len(word) :]
+                        if signs not in self.signs:
+                            if len(self.signs) > MEMORY:
+                                self.signs = {}
+                            self.signs[signs] = self._ids(signs)
+                        ids += self.signs[signs]
+                else:
+                    ids = self._ids(key[1:] if key[0] == FIRST else key if self.lower or key[0] in BLANKS else " " + key)
+            known[key] = ids
 
     def _keys(self, text: str) -> list[str]:
         """A unit's key is its word, after FIRST or the white space character unless that is a space."""
@@ -88,7 +110,7 @@ class Encoder:
             except KeyError:
                 new = set(keys).difference(self.known)
                 if len(self.known) + len(new) > MEMORY:
-                    self.known = {}
+                    self.known, self.older = {}, self.known
                     new = set(keys)
                 self._learn(new)
                 out.append(b"".join(map(self.known.__getitem__, keys)))
