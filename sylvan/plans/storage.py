@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,10 +19,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in _written:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone by now
+            return
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage of iterative plans."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylvan-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,8 +16,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    yield session  # Spark ends with Python, after written intermediates are removed
 
 
 @pytest.fixture(scope="session")
