@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,29 @@ def with_unique_ids(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame,
     if docs.groupBy(F.col(id_col).alias("id")).count().filter("id IS NULL OR count > 1").isEmpty():
         return docs, id_col
     return materialise(docs.withColumn("_sylvan_row", F.monotonically_increasing_id()), "numbered"), "_sylvan_row"
+
+
+#: 64-bit words that a Bloom filter on the driver has at most (8 MB).
+BLOOM_WORDS = 1 << 20
+
+
+def bloom_words(df: DataFrame, hash_col: str, n: int) -> np.ndarray:
+    """A Bloom filter of a column of n 64-bit hashes as 64-bit words, 16 bits a hash up to BLOOM_WORDS: a filter before an exact join, so
+    its size is bounded, and a fuller one lets more rows through to the join."""
+    words = min(BLOOM_WORDS, 1 << max(4, (n // 4).bit_length()))
+    bits = [F.pmod(F.col(hash_col), F.lit(words * 64)), F.pmod(F.shiftright(F.col(hash_col), 27), F.lit(words * 64))]
+    rows = df.select(F.explode(F.array(*bits)).alias("bit"))
+    masks = rows.select(F.shiftright("bit", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")).alias("mask"))
+    out = np.zeros(words, np.uint64)
+    found = masks.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # BLOOM_WORDS rows at most
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def bloom_passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter."""
+    ok = np.ones(len(hashes), bool)
+    for h in (hashes, hashes >> 27):
+        bit = np.mod(h, len(words) * 64)
+        ok &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return ok

@@ -5,9 +5,10 @@ a known component needn't be looked at, and no pair ever becomes a row.
 
 1.  Each text becomes a set of 64-bit hashes; equal sets are one class, with its smallest document.
 2.  Most classes are shown to have no partner: a set of size n misses at most k - 1 of its elements in a partner, k = n -
-    ceil(threshold * n) + 1.  If k of its 1.4 k least elements are in no other set's region, its (1 + 1.4 / threshold) k + 4
-    least elements, it has no partner: that would have one of the k elements, and at a rank of at most its own k - 1
-    further elements plus 1.4 of the other's k, which is at most 1 + its own k / threshold.
+    ceil(threshold * n) + 1.  If k of its ``near`` least elements are in no other set's region, it has no partner: that would
+    have one of the k, and there at a rank of at most that set's near plus its own k - 1 further elements, which its
+    region covers for every partner's size up to n / threshold.  Elements meet in buckets of the hash space as packed
+    arrays; an element that a batch of documents shares is sent once.
 3.  For the others the prefix filter with elements in order of rarity (counted over all of them): partners share one of
     their k rarest elements.  Classes that share a prefix element are put into candidate groups.
 4.  A group is cut into blocks of a bounded number of elements; a task takes a pair of blocks.  There, index lists are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, with_unique_ids
+from .common import bloom_passes, bloom_words, id_and_text, materialise, with_unique_ids
 from .components import components
 from .suffix_dedup import _hashes, _mixed, _prefix_sums
 
@@ -59,44 +60,148 @@ def _prefix(n, threshold: int):
     return n - (n * threshold + 99) // 100 + 1
 
 
-SETS = "doc_id long, body long, n long, d1 long, d2 long, region array<long>, near int"
+SETS = "doc_id long, body long, n long, d1 long, d2 long"
 
 
-def _sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    m = _mixed(s)
+    return int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mixed(s ^ np.uint64(0x5555)), initial=np.uint64(0)).view(np.int64))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
     names = [f.split()[0] for f in SETS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH):
-                part = whole.slice(lo, BATCH)
-                cols: list[list] = [[] for _ in range(5)]
-                with np.errstate(over="ignore"):
-                    for text in part.column(2):
-                        s = shingles(text.as_py(), words)
-                        n = len(s)
-                        k = _prefix(n, threshold)
-                        region = s[: k - (-140 * k // threshold) + 4]
-                        values = (n, int(_mixed(s).sum(dtype=np.uint64).view(np.int64)) if n else 0, int(np.bitwise_xor.reduce(_mixed(s ^ np.uint64(0x5555))).view(np.int64)) if n else 0, region.view(np.int64), -(-7 * k // 5))
-                        for c, v in zip(cols, values, strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
+        for part in batches:
+            rows = [(len(s), *_digest(s)) for s in (shingles(t.as_py(), words) for t in part.column(2))]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols)], names)
 
     return docs.select("doc_id", "body", "text").mapInArrow(run, SETS)
 
 
+def _near(n: int, threshold: int) -> int:
+    """How many least elements may show a set to be alone: over k, by more where k is a small part of the set."""
+    k = _prefix(n, threshold)
+    return k + k // 4 + max(0, n // 8 - k // 2) + 1
+
+
+def _region_sizes(n: int, threshold: int) -> tuple[int, int]:
+    return _near(n, threshold), _prefix(n, threshold) + _near(n * 100 // threshold, threshold) + 3
+
+
+#: Elements that a task holds at once.
+BUCKET = 1_500_000
+SEVERAL = 0xFFFF
+REGIONS = "bucket int, classes binary, elements binary, owners binary, near binary"
+
+
+def _regions(docs: DataFrame, words: int, threshold: int, buckets: int) -> DataFrame:
+    """Regions of batches of documents, dealt out by element: elements, and for each its class's place in ``classes`` or SEVERAL."""
+    names = [f.split()[0] for f in REGIONS.split(", ")]
+
+    def packed(sets: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        classes, place = np.unique(np.array([d for d, _, _ in sets], np.int64), return_inverse=True)
+        element = np.concatenate([s for _, _, s in sets])
+        length = np.array([len(s) for _, _, s in sets])
+        owner = np.repeat(place, length).astype(np.int64)
+        near = (np.arange(len(element)) - np.repeat(np.cumsum(length) - length, length)) < np.repeat([m for _, m, _ in sets], length)
+        by = np.argsort(element, kind="stable")
+        element, owner, near = element[by], owner[by], near[by]
+        first = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+        low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        element, owner, near = element[first], np.where(low == high, low, SEVERAL).astype("<u2"), np.logical_or.reduceat(near, first)
+        bucket = (_mixed(element) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        rows = []
+        for k in range(buckets):
+            at = by[ends[k] : ends[k + 1]]
+            if len(at):
+                used, own = np.unique(owner[at], return_inverse=True)
+                some = used[-1] == SEVERAL
+                own = np.where(owner[at] == SEVERAL, SEVERAL, own).astype("<u2")
+                rows.append((k, classes[used[:-1] if some else used].tobytes(), element[at].tobytes(), own.tobytes(), np.packbits(near[at]).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for part in batches:
+            for text in part.column(0):
+                s = shingles(text.as_py(), words)
+                if len(s):
+                    near, region = _region_sizes(len(s), threshold)
+                    held.append((_digest(s)[0], near, s[:region].copy()))
+                    n += len(held[-1][2])
+                if n > BUCKET // 2 or len(held) >= 8 * BATCH:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return docs.select("text").mapInArrow(run, REGIONS)
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that share their first column; they come sorted by it."""
+    of, held = None, []
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            if row[0].as_py() != of and held:
+                yield held
+                held = []
+            of = row[0].as_py()
+            held.append(tuple(x.as_py() for x in row[1:]))
+    if held:
+        yield held
+
+
+def _alone(regions: DataFrame, buckets: int) -> DataFrame:
+    """(d1, alone): how many near elements of a class no other class has.  Buckets count, and classes' counts meet packed."""
+
+    def unpacked(classes: bytes, elements: bytes, owners: bytes, near: bytes) -> tuple[np.ndarray, ...]:
+        c, e, o = np.frombuffer(classes, np.int64), np.frombuffer(elements, np.uint64), np.frombuffer(owners, "<u2")
+        several = o == SEVERAL
+        return e, np.concatenate((c, [0]))[np.where(several, len(c), o)], several, np.unpackbits(np.frombuffer(near, np.uint8), count=len(e)).astype(bool)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_first(batches):
+            element, owner, several, near = (np.concatenate(c) for c in zip(*(unpacked(*r) for r in rows), strict=True))
+            by = np.argsort(element, kind="stable")
+            element, owner, several, near = element[by], owner[by], several[by], near[by]
+            first = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+            low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+            own = (low == high) & ~np.logical_or.reduceat(several, first) & np.logical_or.reduceat(near, first)
+            d1, n = np.unique(low[own], return_counts=True)
+            to = (_mixed(d1.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            parts = [(int(t), d1[to == t].tobytes(), n[to == t].astype("<u4").tobytes()) for t in np.unique(to)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "d1", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_first(batches):
+            d1, at = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d, _ in rows]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.frombuffer(c, "<u4") for _, c in rows]), len(d1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(n)], ["d1", "alone"])
+
+    counts = regions.mapInArrow(count, "part int, d1 binary, n binary")
+    return counts.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(total, "d1 long, alone long")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, elements) of the wanted classes' documents (node, doc_id, body)."""
+    """(node, n, elements) of the wanted classes' documents (node, id, of).  Texts don't move: a Bloom filter of the wanted texts' hashes
+    picks nearly all of them where they are read, and their sets meet the wanted ones in an exact join."""
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted, "of", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.filter(pa.array(bloom_passes(filter_.value, whole.column(1).to_numpy())))
             for lo in range(0, whole.num_rows, BATCH):
                 part = whole.slice(lo, BATCH)
-                sets = [shingles(t.as_py(), words) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "elements"])
+                sets = [shingles(t.as_py(), words) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "body", "n", "elements"])
 
-    one = docs.join(wanted, (docs["doc_id"].eqNullSafe(wanted["id"])) & (docs["body"] == wanted["of"])).select("node", "text")
-    return one.mapInArrow(run, "node long, n long, elements array<long>").dropDuplicates(["node"])
+    sets = docs.select("doc_id", "body", "text").mapInArrow(run, "doc_id long, body long, n long, elements array<long>")
+    return sets.join(wanted, sets["doc_id"].eqNullSafe(wanted["id"]) & (sets["body"] == wanted["of"])).select("node", "n", "elements").dropDuplicates(["node"])
 
 
 class Cell:
@@ -230,18 +335,18 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     table: no rows.  Further columns are ignored.
     """
     keyed = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("body"), "text")
-    sets = materialise(_sets(keyed, words, threshold).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = materialise(_sets(keyed, words).withColumn("row", F.monotonically_increasing_id()), "sets")
     key = ["n", "d1", "d2"]
     classes = sets.filter("n > 0").groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = materialise(classes, "classes")
 
-    ours = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     k = F.expr(f"n - (n * {threshold} + 99) div 100 + 1")
-    elements = ours.select("row", F.posexplode("region").alias("pos", "element"), "near").select("element", F.when(F.col("pos") < F.col("near"), F.col("row")).alias("row"))
-    alone = elements.groupBy("element").agg(F.count("*").alias("times"), F.min("row").alias("row")).filter("times = 1 AND row IS NOT NULL")
-    lonely = alone.groupBy("row").agg(F.count("*").alias("alone"))
-    met = ours.join(lonely, "row", "left").filter(F.coalesce("alone", F.lit(0)) < k)
-    wanted = met.select(F.col("row").alias("node"), F.col("doc_id").alias("id"), F.col("body").alias("of"))
+    total = (sets.agg(F.sum("n")).first()[0] or 0) * 6 // 10
+    buckets = max(1, -(-total // BUCKET))
+    regions = _regions(keyed, words, threshold, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = classes.join(_alone(regions, buckets), "d1", "left").filter(F.coalesce("alone", F.lit(0)) < k)
+    wanted = sets.join(met.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("id"), F.col("body").alias("of"))
+    wanted = materialise(wanted, "wanted")
     full = materialise(_full_sets(keyed, wanted, words), "full")
 
     listed = full.select("node", "n", F.explode("elements").alias("element"))
