@@ -114,9 +114,16 @@ _BIT_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> Filters:
     """Filters learned from the rows of docs with a language; leave out rows to be held out before."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(65).collect()}  # a row a language
+    if not sizes:
+        return Filters([], [])
+    if len(sizes) > 64:
+        raise ValueError("more than 64 languages")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(sizes, "lang").filter(chance * F.col("count") < F.lit(float(max_train_docs))).select("lang", "text")
+    part = F.lit(0.0)
+    for lang, n in sizes.items():
+        part = F.when(F.col("lang") == lang, F.lit(max_train_docs / n)).otherwise(part)
+    sample = rows.filter(chance < part).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -138,7 +145,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = grams.filter(F.col("docs") >= MIN_DOCS).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     kept = grams.filter(F.col("share") >= SHARE * F.col("most")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).filter(F.col("k") <= TOP)
     found = kept.select("lang", "gram").toPandas()  # at most TOP rows a language
-    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    languages = sorted(sizes)
     return Filters(languages, [found.loc[found["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages])
 
 
