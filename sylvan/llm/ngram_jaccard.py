@@ -91,7 +91,7 @@ def _region_sizes(n: int, threshold: int) -> tuple[int, int]:
 
 
 #: Elements that a task holds at once.
-BUCKET = 1_500_000
+BUCKET = 750_000
 SEVERAL = 0xFFFF
 REGIONS = "bucket int, classes binary, elements binary, owners binary, near binary"
 
