@@ -457,7 +457,7 @@ def grid_merge_running_mean(spark, d):
     return grid.merge_predictions([(a, 3), (b, 5)]).select("step", "key", *r6("pred"))
 
 
-EMB = [f"e{k}" for k in range(8)]
+EMB = [f"e{k}" for k in range(64)]
 
 
 @query()
@@ -471,24 +471,24 @@ def grove_layered_preds(spark, d):
         g = kernel.layered(data, 0.1, 3)
         return pd.DataFrame({"key": valid["key"], "pred": np.sum([t.predict(valid[EMB].to_numpy(float)) for t in g.trees], axis=0)})
 
-    return kernel.per_bag(embeddings(spark, d), 4, EMB, "key long, pred double", work).groupBy("key").agg(F.avg("pred").alias("pred"))
+    return kernel.per_bag(embeddings(spark, d), 60, EMB, "key long, pred double", work).groupBy("key").agg(F.avg("pred").alias("pred"))
 
 
 @query()
 def grove_grid(spark, d):
     """A fast-mode grid: validation error of each cell."""
     rows = embeddings(spark, d)
-    run = grid.train_grid(rows, EMB, 0.1, 3, 4)
+    run = grid.train_grid(rows, EMB, 0.1, 3)
     return grid.surface(run, rows.filter("set = 'valid'").select("key", "y", "w"))
 
 
 @query()
 def backward_elimination(spark, d):
-    rows = embeddings(spark, d, 4)
-    return features.backward_elimination(rows, [f"e{k}" for k in range(4)], 0.2, 2, 2, 3)
+    """Of all components, with the operator's bags and repeats."""
+    return features.backward_elimination(embeddings(spark, d), EMB, 0.2, 2)
 
 
 @query()
 def interaction_scan(spark, d):
-    rows = embeddings(spark, d, 3)
-    return features.interaction_scan(rows, ["e0", "e1", "e2"], 0.2, 2, 2, 3)
+    """All pairs of all components, with the operator's bags and repeats."""
+    return features.interaction_scan(embeddings(spark, d), EMB, 0.2, 2)

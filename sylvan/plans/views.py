@@ -59,8 +59,8 @@ def oracle_view(name: str) -> str:
     return f"{name} AS ({SQL[name].replace('{json}', JSON['duckdb'])})"
 
 
-def embeddings(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
-    """key, y (label), w, e0 … of the first ``width`` components, set (valid where key % 5 = 0)."""
+def embeddings(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
+    """key, y (label), w, e0 … e63 (of the first ``width`` components), set (valid where key % 5 = 0)."""
     from pyspark.sql import functions as F
 
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
