@@ -2,6 +2,7 @@
 
 For each language a set of typical n-grams is learned.  All sets live in one table of 2**bits slots; a
 slot is a mask with a bit for each language, so the table is as many Bloom filters as languages, bit-sliced.
+A mask has as many words of 64 bits as the languages need.
 The AND of an n-gram's slots names all languages that hold it at once.  A text is decided by its
 per-language popcounts (how many of its n-grams' masks have the bit), from which the hits that the filter's fill
 lets expect by chance are taken: (hits - n * f) / (1 - f), f = fill ** hashes.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,17 +70,15 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
 
 
 class Filters:
-    """The bit-sliced filters: ``slots`` of 64-bit masks, a bit a language."""
+    """The bit-sliced filters: ``slots`` of masks, a row for each word of 64 languages, a bit a language."""
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        self.languages, self.slots = languages, np.zeros(1 << BITS, kind)
+        self.languages, self.slots = languages, np.zeros((max(1, -(-len(languages) // 64)), 1 << BITS), kind)
         for k, grams in enumerate(members):
             for at in self._places(grams):
-                np.bitwise_or.at(self.slots, at, kind(1 << k))
-        fill = np.array([np.count_nonzero(self.slots & kind(1 << k)) for k in range(len(languages))]) / len(self.slots)
+                np.bitwise_or.at(self.slots[k // 64], at, kind(1 << k % 64))
+        fill = np.array([np.count_nonzero(self.slots[k // 64] & kind(1 << k % 64)) for k in range(len(languages))]) / (1 << BITS)
         self.chance = fill**HASHES
 
     @staticmethod
@@ -86,11 +86,14 @@ class Filters:
         for k in range(HASHES):
             yield (h >> np.uint64(k * BITS)) & np.uint64((1 << BITS) - 1)
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        out = None
-        for at in self._places(h):
-            out = self.slots[at] if out is None else out & self.slots[at]
-        return out
+    def masks(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        """The masks of n-grams, word by word."""
+        places = list(self._places(h))
+        for word in self.slots:
+            out = word[places[0]]
+            for at in places[1:]:
+                out &= word[at]
+            yield out
 
     def decide(self, text: str) -> tuple[str, float]:
         """(language, share of the corrected hits that are its own); ``und`` without a letter."""
@@ -98,9 +101,10 @@ class Filters:
             return "und", 0.0
         hits, n = np.zeros(len(self.languages)), 0
         for h in ngrams(text):
-            masks = self.masks(h)
             n += len(h)
-            hits += np.bincount(masks, minlength=256) @ _BIT_OF[:, : len(hits)] if masks.dtype == np.uint8 else [np.count_nonzero(masks & np.uint64(1 << k)) for k in range(len(hits))]
+            for word, masks in enumerate(self.masks(h)):
+                part = hits[64 * word : 64 * word + 64]
+                part += np.bincount(masks, minlength=256) @ _BIT_OF[:, : len(part)] if masks.dtype == np.uint8 else [np.count_nonzero(masks & np.uint64(1 << k)) for k in range(len(part))]
         if not len(hits):
             return "und", 0.0
         own = np.maximum(0, (hits - n * self.chance) / (1 - self.chance))
@@ -114,15 +118,15 @@ _BIT_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_docs: int = MAX_TRAIN_DOCS) -> Filters:
     """Filters learned from the rows of docs with a language; leave out rows to be held out before."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(65).collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return Filters([], [])
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    part = F.lit(0.0)
+    part = F.when(F.lit(False), 1.0)  # one flat CASE, whatever the number of languages
     for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(max_train_docs / n)).otherwise(part)
+        if n > max_train_docs:
+            part = part.when(F.col("lang") == lang, F.lit(max_train_docs / n))
+    part = part.otherwise(1.0)
     sample = rows.filter(chance < part).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +148,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = grams.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     grams = grams.filter(F.col("docs") >= MIN_DOCS).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     kept = grams.filter(F.col("share") >= SHARE * F.col("most")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).filter(F.col("k") <= TOP)
-    found = kept.select("lang", "gram").toPandas()  # at most TOP rows a language
+    found = kept.select("lang", "gram").toArrow()  # at most TOP rows a language
     languages = sorted(sizes)
-    return Filters(languages, [found.loc[found["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages])
+    which = pc.index_in(found["lang"], value_set=pa.array(languages, pa.string())).to_numpy()
+    order = np.argsort(which, kind="stable")
+    members = np.split(found["gram"].to_numpy()[order].view(np.uint64), np.searchsorted(which[order], np.arange(1, len(languages))))
+    return Filters(languages, members)
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,6 +204,15 @@ def test_language_id_odd(spark, odd):
     assert language_id.with_language(odd, filters).columns == odd.columns
 
 
+def test_language_id_beyond_one_word(spark):
+    own = lambda k: " ".join(chr(0x4E00 + 40 * k + j) + chr(0x4E00 + 40 * k + j + 1) for j in range(20))
+    docs = spark.createDataFrame([(3 * k + i, own(k), f"x{k:03d}") for k in range(130) for i in range(3)], "doc_id long, text string, lang string")
+    filters = language_id.train(docs)
+    assert len(filters.languages) == 130 and filters.slots.shape[0] == 3
+    got = language_id.identify(docs, filters).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 390 and all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_chunks(monkeypatch):
     text = "Der Wald und die Stadt " * 20
     whole = Counter(np.concatenate(list(language_id.ngrams(text))).tolist())
