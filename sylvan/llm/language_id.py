@@ -8,9 +8,9 @@ per-language popcounts (how many of its n-grams' masks have the bit), from which
 lets expect by chance are taken: (hits - n * f) / (1 - f), f = fill ** hashes.
 
 Training counts n-grams of a bounded sample: at most ``max_train_docs`` labelled documents of a language,
-chosen by a hash of the id, each read whole.  An n-gram belongs to each language in which its share of all n-grams
+chosen by a hash of id and text, each read whole.  An n-gram belongs to each language in which its share of all n-grams
 is at least ``SHARE`` of its largest share in any language, if it is among the language's ``TOP`` most frequent ones
-and was seen in at least MIN_DOCS documents.
+and was seen in at least MIN_DOCS documents, or in one where the language has fewer than FEW_DOCS to learn from.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, id_remainder
 
 ORDERS = (2, 3, 4)
-TOP, SHARE, MIN_DOCS = 20_000, 0.3, 2
+TOP, SHARE, MIN_DOCS, FEW_DOCS = 20_000, 0.3, 2, 5
 BITS, HASHES = 20, 3
 MAX_TRAIN_DOCS = 4000
 #: Code points handled at once.
@@ -121,7 +121,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return Filters([], [])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     part = F.when(F.lit(False), 1.0)  # one flat CASE, whatever the number of languages
     for lang, n in sizes.items():
         if n > max_train_docs:
@@ -146,7 +146,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = sample.mapInArrow(count, "lang string, gram long, n long, docs long")
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     grams = grams.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    grams = grams.filter(F.col("docs") >= MIN_DOCS).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
+    few = [lang for lang, n in sizes.items() if min(n, max_train_docs) < FEW_DOCS]
+    grams = grams.filter((F.col("docs") >= MIN_DOCS) | F.col("lang").isin(few)).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     kept = grams.filter(F.col("share") >= SHARE * F.col("most")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).filter(F.col("k") <= TOP)
     found = kept.select("lang", "gram").toArrow()  # at most TOP rows a language
     languages = sorted(sizes)

@@ -213,6 +213,27 @@ def test_language_id_beyond_one_word(spark):
     assert len(got) == 390 and all(r.lang_pred == r.lang for r in got)
 
 
+def test_language_of_one_document(spark):
+    rows = [(k, "the cat sat on the mat", "en") for k in range(9)] + [(9, "żółw śpi pod łóżkiem", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.train(docs)).filter("doc_id = 9").first()
+    assert got.lang_pred == "pl"
+
+
+def test_language_sample_of_null_ids(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+    ngrams = language_id.ngrams
+
+    def counted(text):
+        read.add(1)
+        return ngrams(text)
+
+    monkeypatch.setattr(language_id, "ngrams", counted)
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', repeat('ab', CAST(id % 7 AS INT)), ' ', id) AS text", "'en' AS lang")
+    language_id.train(docs, max_train_docs=200)
+    assert 100 < read.value < 300
+
+
 def test_language_chunks(monkeypatch):
     text = "Der Wald und die Stadt " * 20
     whole = Counter(np.concatenate(list(language_id.ngrams(text))).tolist())
