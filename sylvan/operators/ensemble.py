@@ -16,7 +16,7 @@ def bag_items(rows: DataFrame, draws: DataFrame) -> DataFrame:
     return sampling.in_bag(draws).join(rows.select("row_no", "y", "w"), "row_no").select("bag", "row_no", (F.col("times") * F.col("w")).alias("coef"), F.col("y").alias("resp"))
 
 
-def bagged_trees(train: DataFrame, key: str, features: list[str], bags: int = 60, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int = 61) -> tuple[DataFrame, DataFrame]:
+def bagged_trees(train: DataFrame, key: str, features: list[str], bags: int = 60, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(node table with entropies, numbered rows).  train: key, y, w, features; all bags grow in one pass over the levels."""
     rows = stored(numbered(train.select(key, "y", "w", *features), key))
     draws = sampling.bootstrap_draws(train.sparkSession, rows.count(), bags, seed)
@@ -42,7 +42,7 @@ def feature_scores(nodes: DataFrame, volume: float) -> DataFrame:
     return inner.groupBy("attr").agg((F.sum(F.col("v") / F.greatest(F.lit(1.0), F.col("entropy"))) / F.lit(float(volume) * bags)).alias("score"))
 
 
-def boosted_trees(train: DataFrame, key: str, features: list[str], rounds: int = 100, shrinkage: float = 0.01, subsample: float = -1, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int = 61, bootstrap: bool = True) -> tuple[DataFrame, DataFrame]:
+def boosted_trees(train: DataFrame, key: str, features: list[str], rounds: int = 100, shrinkage: float = 0.01, subsample: float = -1, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int | None = None, bootstrap: bool = True) -> tuple[DataFrame, DataFrame]:
     """(node table with tree = round and values times shrinkage, predictions of the training rows).  Each round fits a tree to the
     residuals on a bootstrap bag, on subsample * n rows without replacement, or with bootstrap False on all rows; starts from 0."""
     rows = stored(numbered(train.select(key, "y", "w", *features), key))

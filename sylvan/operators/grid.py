@@ -32,13 +32,13 @@ class GridRun:
 def _tree_rows(bag: int, t: int, a: int, grove: kernel.Grove, names: list[str]) -> list[tuple]:
     out = []
     for k, tree in enumerate(grove.trees):
-        todo = [(0, 1)]
+        todo = [(0, "1")]
         while todo:
             i, node = todo.pop()
             leaf = tree.attr[i] < 0
-            out.append((bag, t, a, k, str(node), None if leaf else names[tree.attr[i]], None if leaf or np.isnan(tree.border[i]) else tree.border[i], None if leaf else tree.missing_l[i], tree.value[i] if leaf else None))
+            out.append((bag, t, a, k, node, None if leaf else names[tree.attr[i]], None if leaf or np.isnan(tree.border[i]) else tree.border[i], None if leaf else tree.missing_l[i], tree.value[i] if leaf else None))
             if not leaf:
-                todo += [(tree.left[i], 2 * node), (tree.right[i], 2 * node + 1)]
+                todo += [(tree.left[i], node + "0"), (tree.right[i], node + "1")]
     return out
 
 
@@ -147,4 +147,4 @@ def save_cell(runs: list[GridRun], tig_no: int, alpha_no: int, bags: int | None
     """Node table (bag, tree, node_id, attr, border, missing_l, value) of one cell's first bags over one run or several."""
     run = runs[0] if len(runs) == 1 else merge_runs(runs)
     own = run.nodes.filter((F.col("tig_no") == tig_no) & (F.col("alpha_no") == alpha_no) & (F.col("bag") < (bags or run.bags)))
-    return own.select("bag", "tree", F.col("node_id").cast("decimal(38,0)").alias("node_id"), "attr", "border", "missing_l", "value")
+    return own.select("bag", "tree", "node_id", "attr", "border", "missing_l", "value")

@@ -24,7 +24,7 @@ def tree_predictions(rows: DataFrame, nodes: DataFrame, features: list[str]) ->
     x = rows.select("row_no", *[F.col(f).cast("double").alias(f) for f in features])
     trees = sorted(tuple(r) for r in nodes.select(*TREE).distinct().collect())  # the model's list of trees
     which = F.array(*[F.struct(F.lit(b).cast(nodes.schema["bag"].dataType).alias("bag"), F.lit(t).cast(nodes.schema["tree"].dataType).alias("tree")) for b, t in trees])
-    paths = x.select("row_no", F.explode(which).alias("of")).select("row_no", "of.*", F.lit(1).cast("long").alias("node_id"), F.lit(1.0).alias("share"))
+    paths = x.select("row_no", F.explode(which).alias("of")).select("row_no", "of.*", F.lit("1").alias("node_id"), F.lit(1.0).alias("share"))
     out = []
     while True:
         met = stored(paths.join(nodes, [*TREE, "node_id"]))
@@ -36,7 +36,7 @@ def tree_predictions(rows: DataFrame, nodes: DataFrame, features: list[str]) ->
         value = F.coalesce(*[F.when(F.col("attr") == f, F.col(f)) for f in features])
         left = F.when(F.col("border").isNull(), F.when(value.isNull(), 0.0).otherwise(1.0)).when(value.isNull(), F.col("missing_l")).when(value <= F.col("border"), 1.0).otherwise(0.0)
         ways = F.array(F.struct(F.lit(0).alias("side"), left.alias("part")), F.struct(F.lit(1).alias("side"), (1.0 - left).alias("part")))
-        paths = moving.select("row_no", *TREE, "node_id", "share", F.explode(ways).alias("way")).filter("way.part > 0").select("row_no", *TREE, (F.col("node_id") * 2 + F.col("way.side")).alias("node_id"), (F.col("share") * F.col("way.part")).alias("share"))
+        paths = moving.select("row_no", *TREE, "node_id", "share", F.explode(ways).alias("way")).filter("way.part > 0").select("row_no", *TREE, F.concat("node_id", F.col("way.side").cast("string")).alias("node_id"), (F.col("share") * F.col("way.part")).alias("share"))
     every = out[0]
     for part in out[1:]:
         every = every.unionByName(part)
@@ -48,15 +48,15 @@ def grove_predictions(per_tree: DataFrame) -> DataFrame:
     return per_tree.groupBy("row_no", "bag").agg(F.sum("pred").alias("pred")).groupBy("row_no").agg(F.avg("pred").alias("pred"))
 
 
-def case_expression(nodes: Iterable[dict], node_id: int = 1) -> str:
+def case_expression(nodes: Iterable[dict], node_id: str = "1") -> str:
     """A tree as one nested CASE in SQL, missing values included."""
     by = {n["node_id"]: n for n in nodes}
 
-    def text(i: int) -> str:
+    def text(i: str) -> str:
         n = by[i]
         if n["attr"] is None:
             return repr(float(n["value"]))
-        a, left, right = f"`{n['attr']}`", text(2 * i), text(2 * i + 1)
+        a, left, right = f"`{n['attr']}`", text(i + "0"), text(i + "1")
         if n["border"] is None:
             return f"CASE WHEN {a} IS NULL THEN {right} ELSE {left} END"
         p = float(n["missing_l"])
@@ -82,26 +82,26 @@ def tree_code(nodes: Iterable[dict], name: str = "predict") -> str:
     by = {n["node_id"]: n for n in nodes}
     lines = [f"def {name}(x):"]
 
-    def walk(i: int, pad: str) -> None:
+    def walk(i: str, pad: str) -> None:
         n = by[i]
         if n["attr"] is None:
             lines.append(f"{pad}return {float(n['value'])!r}")
             return
         test = f"x[{n['attr']!r}] is not None" if n["border"] is None else f"x[{n['attr']!r}] <= {float(n['border'])!r}"
         lines.append(f"{pad}if {test}:")
-        walk(2 * i, pad + "    ")
+        walk(i + "0", pad + "    ")
         lines.append(f"{pad}else:")
-        walk(2 * i + 1, pad + "    ")
+        walk(i + "1", pad + "    ")
 
-    walk(1, "    ")
+    walk("1", "    ")
     return "\n".join(lines) + "\n"
 
 
 RECURSIVE = """
 WITH RECURSIVE walk(row_no, node_id, share) AS (
-  SELECT row_no, CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE) FROM long_rows GROUP BY row_no
+  SELECT row_no, '1', CAST(1.0 AS DOUBLE) FROM long_rows GROUP BY row_no
   UNION ALL
-  SELECT w.row_no, w.node_id * 2 + side.s,
+  SELECT w.row_no, concat(w.node_id, side.s),
          w.share * CASE WHEN n.border IS NULL THEN CASE WHEN (l.val IS NULL) = (side.s = 1) THEN 1.0 ELSE 0.0 END
                         WHEN l.val IS NULL THEN CASE WHEN side.s = 0 THEN n.missing_l ELSE 1.0 - n.missing_l END
                         WHEN (l.val <= n.border) = (side.s = 0) THEN 1.0 ELSE 0.0 END
@@ -117,6 +117,7 @@ FROM walk w JOIN nodes n ON n.node_id = w.node_id AND n.attr IS NULL GROUP BY w.
 def recursive_predictions(spark: SparkSession, long_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(row_no, pred) of one tree by a recursive query; long_rows: row_no, attr, val."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     long_rows.createOrReplaceTempView("long_rows")
     nodes.createOrReplaceTempView("nodes")
     return spark.sql(RECURSIVE)
@@ -136,7 +137,7 @@ def write_model(nodes: DataFrame, path: str, alpha: float, trees: int, mode: int
             out.write(struct.pack("<i", len(flags)) + bytes(flags))
         out.write(struct.pack("<id", trees, alpha))
         for key in sorted(groups):
-            stack = [1]
+            stack = ["1"]
             while stack:
                 i = stack.pop()
                 n = groups[key][i]
@@ -144,7 +145,7 @@ def write_model(nodes: DataFrame, path: str, alpha: float, trees: int, mode: int
                     out.write(struct.pack("<?d", True, n["value"]))
                 else:
                     out.write(struct.pack("<?idd", False, number[n["attr"]], float("nan") if n["border"] is None else n["border"], n["missing_l"]))
-                    stack += [2 * i + 1, 2 * i]
+                    stack += [i + "1", i + "0"]
 
 
 def read_model(spark: SparkSession, path: str, attrs: list[str]) -> tuple[dict, DataFrame]:
@@ -159,7 +160,7 @@ def read_model(spark: SparkSession, path: str, attrs: list[str]) -> tuple[dict,
     at += 12
     rows, k = [], 0
     while at < len(data):
-        stack = [1]
+        stack = ["1"]
         while stack:
             i = stack.pop()
             if data[at]:
@@ -169,6 +170,6 @@ def read_model(spark: SparkSession, path: str, attrs: list[str]) -> tuple[dict,
                 a, border, p = struct.unpack_from("<idd", data, at + 1)
                 rows.append((k // header["trees"], k % header["trees"], i, attrs[a], None if border != border else border, p, None))
                 at += 21
-                stack += [2 * i + 1, 2 * i]
+                stack += [i + "1", i + "0"]
         k += 1
-    return header, spark.createDataFrame(rows, "bag long, tree int, node_id long, attr string, border double, missing_l double, value double")
+    return header, spark.createDataFrame(rows, "bag long, tree int, node_id string, attr string, border double, missing_l double, value double")

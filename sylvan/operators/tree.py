@@ -3,13 +3,15 @@
 One level is one plan: statistics of the open nodes, best splits, routing.  The driver keeps only the depth; nodes, items and splits
 stay tables, written once a level, so that plans don't grow with depth and a lost executor costs one level.
 
-Node table: bag, node_id (heap order: children of i are 2 i and 2 i + 1), depth, n, v, s, attr, border, missing_l, entropy (of attr in the
+Node table: bag, node_id (the path as text: the root is 1, the children of i are i with 0 or 1 behind it, which is heap order in
+binary at any depth), depth, n, v, s, attr, border, missing_l, entropy (of attr in the
 node), value.  Inner nodes have an attr, leaves a value.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +22,23 @@ from ..sources.tables import long_form
 from . import splits
 
 KEYS = ["bag", "node_id"]
-#: Heap numbers fit a long.
-DEEPEST = 61
 
 
-def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float = 0.0, booleans: list[str] | None = None, max_depth: int = DEEPEST, with_entropy: bool = False) -> DataFrame:
+def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float = 0.0, booleans: list[str] | None = None, max_depth: int | None = None, with_entropy: bool = False) -> DataFrame:
     """Node table.  rows: row_no and features; items: (bag, row_no, coef, resp), the bag's items and their weights."""
     features = list(features)
     sizes = stored(items.groupBy("bag").agg(F.count("*").alias("bag_n")))
-    state = stored(items.select("bag", F.lit(1).cast("long").alias("node_id"), "row_no", F.col("coef").cast("double"), F.col("resp").cast("double")))
+    state = stored(items.select("bag", F.lit("1").alias("node_id"), "row_no", F.col("coef").cast("double"), F.col("resp").cast("double")))
     done = []
     bag_sizes = {r["bag"]: r["bag_n"] for r in sizes.collect()}  # one number a bag
-    for depth in range(max_depth + 1):
+    for depth in count():
         stats = splits.node_stats(state, KEYS).join(sizes, "bag")
         shares = {b: leaf_share(alpha, n, depth) for b, n in bag_sizes.items()}
         small = F.lit(False)
         for b, share in shares.items():
             if share is not None:
                 small = small | ((F.col("bag") == b) & (F.col("n") / F.col("bag_n") < share))
-        stats = stats.withColumn("open", ~small & ~F.col("pure") & F.lit(depth < max_depth))
+        stats = stats.withColumn("open", ~small & ~F.col("pure") & F.lit(max_depth is None or depth < max_depth))
         opened = stats.filter("open").select(*KEYS)
         long = long_form(state.join(opened, KEYS).join(rows.select("row_no", *features), "row_no"), [*KEYS, "coef", "resp"], features)
         best = splits.best_splits(splits.candidates(splits.blocks(long, KEYS), KEYS, booleans), KEYS)
@@ -55,5 +55,5 @@ def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float =
         moving = state.join(cut, KEYS).join(rows.select("row_no", *features), "row_no")
         value = F.coalesce(*[F.when(F.col("attr") == f, F.col(f).cast("double")) for f in features])
         moved = splits.route(moving, value, F.col("border"), F.col("missing_l"))
-        state = stored(moved.select("bag", (F.col("node_id") * 2 + F.col("side")).alias("node_id"), "row_no", "coef", "resp"))
+        state = stored(moved.select("bag", F.concat("node_id", F.col("side").cast("string")).alias("node_id"), "row_no", "coef", "resp"))
     return reduce(DataFrame.unionByName, done)

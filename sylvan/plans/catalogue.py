@@ -179,7 +179,7 @@ def _whole_tree(spark, d, depth=2):
 
 @query(f"WITH {oracle_view('ord')}, {NUMBERED}, {sql.tree_ctes('ord', WHOLE, 2)} SELECT node_id, depth, n, v, s, attr, round(border, 6) AS border, round(missing_l, 6) AS missing_l, round(value, 6) AS value FROM nodes")
 def tree_depth2_nodes(spark, d):
-    return _whole_tree(spark, d)[1].select("node_id", "depth", "n", "v", "s", "attr", *r6("border", "missing_l", "value"))
+    return _whole_tree(spark, d)[1].select(F.conv("node_id", 2, 10).cast("long").alias("node_id"), "depth", "n", "v", "s", "attr", *r6("border", "missing_l", "value"))
 
 
 TREE_PRED = f"WITH {oracle_view('ord')}, {NUMBERED}, {sql.tree_ctes('ord', WHOLE, 2)}, {sql.scored('ord', 2, ROWS)} SELECT row_no, round(pred, 6) AS pred FROM pred"

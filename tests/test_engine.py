@@ -55,6 +55,33 @@ def test_full_tree_and_shift(spark):
     assert shifted.join(met.select("row_no", F.col("pred").alias("p")), "row_no").filter(F.abs(F.col("pred") - F.col("p") - 10) > 1e-9).isEmpty()
 
 
+def test_trees_beyond_61_levels(spark):
+    n = 64
+    rows = spark.createDataFrame([(k, float(k), 4.0**k, 1.0) for k in range(n)], "row_no long, a double, y double, w double").coalesce(1).cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        leaves = tree.grow(rows, whole(rows), ["a"]).filter("attr IS NULL").select("node_id", "depth", "value").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.value for r in leaves) == [4.0**k for k in range(n)]
+    assert max(r.depth for r in leaves) == n - 1 and len({r.node_id for r in leaves}) == n
+
+
+def test_ids_of_deep_kernel_trees():
+    x, y = np.arange(200.0)[:, None], 4.0 ** np.arange(200)
+    t = kernel.grow_tree(x, np.ones(200), y, 0.0, 200, [0])
+    ids = [r[4] for r in grid._tree_rows(0, 0, 0, kernel_grove(t), ["a"])]
+    assert len(set(ids)) == 399 and max(map(len, ids)) == 200
+    assert all(i == "1" or i[:-1] in set(ids) for i in ids)
+
+
+def kernel_grove(t):
+    g = kernel.Grove.__new__(kernel.Grove)
+    g.trees = [t]
+    return g
+
+
 def test_model_file_and_code(spark, tmp_path):
     rows = table(spark, missing=True)
     nodes = tree.grow(rows, whole(rows), FEATURES, 0.0, ["c"], 3).withColumn("tree", F.lit(0))
