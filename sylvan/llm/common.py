@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: ASCII white space of the contracts, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -17,13 +21,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; an own one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir.  Where that is unset, an own temporary one in local mode (tests); an error on a cluster,
+    whose executors don't share a folder of the driver's."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -57,16 +65,51 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialise wrote for df; nothing that is still to run may read it."""
+    remove(df.sparkSession, _paths.pop(df))
+
+
+#: Bytes that a batch on its way to a Python worker has at most, but for a row that is longer alone.
+BATCH_BYTES = 4 << 20
 
 
-def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers are reused, and what one task needed isn't the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded in bytes as well as in rows (a setting of the session, lowered here where it is
+    higher); workers give freed memory back at the end of a task."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(df.sparkSession.conf.get(setting)).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only, so that further columns cannot clash; a null text is empty."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, text) only, so that further columns cannot clash; a null text is empty.  Ids are whole numbers."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids are whole numbers")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def id_remainder(doc_id: Column, divisor: int) -> Column:

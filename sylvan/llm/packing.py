@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import id_and_text, map_batches, materialise
 
 WINDOW = 2048
 #: Bytes of ids in a batch that a task hands on.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 PIECES = "part int, doc_id long, start long, length int, doc_tokens long, rank long, ids binary"
 
@@ -58,7 +58,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, end_id: int, window: int
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    return materialise(id_and_text(docs, id_col, text_col).mapInArrow(cut, PIECES), "pieces")
+    return materialise(map_batches(id_and_text(docs, id_col, text_col), cut, PIECES), "pieces")
 
 
 class CapacityTree:
