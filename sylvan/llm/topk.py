@@ -1,12 +1,13 @@
 """Exact top-k inner products: norm-sorted vectors, rotated partial sums, residual bounds.
 
-Candidates are range-partitioned by descending length and packed into blocks; queries are packed
-likewise.  Every query block meets every candidate block once, as a row of an equi join on the block's number
-(a stated query set against all rows, in blocks).  In such a cell candidates are taken in order
-of length: once |q| |c| is below a query's k-th score so far, neither that vector nor a later one can enter.
-Otherwise the first ``lead`` coordinates after a rotation onto the principal axes give a partial sum,
+Candidates are range-partitioned by descending length and packed into blocks of a bounded number of rows and bytes.  Each query
+starts from a floor, its k-th score among the HEAD longest vectors.  A vector shorter than floor / |q| cannot enter, so of the groups
+of blocks, in order of length, a block of queries (those of like floors together) meets only the first ones; the others
+are dropped before any matrix moves.  What is left is an equi join on the group (a stated query set against all rows, in blocks).
+In such a cell candidates are taken in order of length: once |q| |c| is below a query's k-th score so far, neither that vector nor a later one can
+enter.  Otherwise the first ``lead`` coordinates after a rotation onto the principal axes give a partial sum,
 and Cauchy-Schwarz bounds the rest by the product of the residual lengths; only vectors whose bound
-reaches the k-th score get an exact integer product.  Scores start from the k best among the HEAD longest vectors.
+reaches the k-th score get an exact integer product.
 
 The rotation comes from a bounded sample (SAMPLE vectors); it speeds up pruning and cannot change results.
 """
@@ -21,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 SCALE, TOP = 256, 5
 HEAD, SAMPLE = 2048, 20_000
 LEAST_BLOCK, MOST_BLOCK, STEP = 1024, 32_768, 1024
+#: Bytes of a block's matrix as doubles, about; queries in a block; groups of candidate blocks that the driver knows the longest vector of.
+BLOCK_BYTES, QUERIES, GROUPS = 16 << 20, 1024, 4096
 EXACT = 2.0**53
 
 
@@ -58,20 +61,20 @@ def _narrow(m: np.ndarray) -> tuple[str, bytes]:
     return kind, m.astype(kind).tobytes()
 
 
-BLOCK_FIELDS = "part int, nth int, n int, width int, kind string, rows binary, ids binary, m binary"
+BLOCK_FIELDS = "part int, norm double, n int, width int, kind string, rows binary, ids binary, m binary"
 
 
 def _packed(df: DataFrame, size: int) -> DataFrame:
     """Blocks of up to ``size`` of a task's rows, in their order."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, held = TaskContext.get().partitionId(), 0, []
+        part, held = TaskContext.get().partitionId(), []
 
         def block(rows):
             m = _matrix([r[2] for r in rows])
             kind, raw = _narrow(m)
-            values = [part, nth, len(rows), m.shape[1], kind, np.array([r[0] for r in rows], "<i8").tobytes(), np.array([r[1] for r in rows], "<i8").tobytes(), raw]
-            kinds = [pa.int32()] * 4 + [pa.string()] + [pa.binary()] * 3
+            values = [part, float(np.sqrt(np.square(m).sum(1).max())), len(rows), m.shape[1], kind, np.array([r[0] for r in rows], "<i8").tobytes(), np.array([r[1] for r in rows], "<i8").tobytes(), raw]
+            kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in BLOCK_FIELDS.split(", ")])
 
         for batch in batches:
@@ -80,11 +83,47 @@ def _packed(df: DataFrame, size: int) -> DataFrame:
                 held += zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True)
                 while len(held) >= size:
                     yield block(held[:size])
-                    held, nth = held[size:], nth + 1
+                    held = held[size:]
         if held:
             yield block(held)
 
-    return df.select("row", "vec_id", "v").mapInArrow(pack, BLOCK_FIELDS)
+    return map_batches(df.select("row", "vec_id", "v"), pack, BLOCK_FIELDS)
+
+
+QUERY_FIELDS = "n int, width int, kind string, rows binary, ids binary, m binary, floors binary, shortest double"
+
+
+def _query_blocks(df: DataFrame, search, size: int) -> DataFrame:
+    """Blocks of queries with their floors and the least length of a vector that may enter for one of them; within a few blocks' rows,
+    queries of like lengths come together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(held):
+            m = _matrix([r[2] for r in held])
+            rows, ids = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            floors = np.concatenate([search.value.floor(rows[lo : lo + STEP], m[lo : lo + STEP]) for lo in range(0, len(m), STEP)])
+            norm = np.sqrt(np.square(m).sum(1))
+            shortest = np.where(norm > 0, (floors - 1e-6) / (np.maximum(norm, 1e-300) * (1 + 1e-9)), -np.inf)
+            order = np.argsort(shortest, kind="stable")
+            for lo in range(0, len(order), size):
+                at = order[lo : lo + size]
+                kind, raw = _narrow(m[at])
+                values = [len(at), m.shape[1], kind, rows[at].astype("<i8").tobytes(), ids[at].astype("<i8").tobytes(), raw, floors[at].astype("<f8").tobytes(), float(shortest[at[0]])]
+                kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [f.split()[0] for f in QUERY_FIELDS.split(", ")])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, STEP):
+                piece = batch.slice(lo, STEP)
+                held += zip(*(piece.column(k).to_pylist() for k in range(3)), strict=True)
+                if len(held) >= 4 * size:
+                    yield from blocks(held)
+                    held = []
+        if held:
+            yield from blocks(held)
+
+    return map_batches(df.select("row", "vec_id", "v"), pack, QUERY_FIELDS)
 
 
 def _unpack(n: int, width: int, kind: str, rows: bytes, ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,14 +163,14 @@ class Search:
             return np.full(len(q), -np.inf)
         return np.partition(s, s.shape[1] - self.top, axis=1)[:, s.shape[1] - self.top]
 
-    def cell(self, query: tuple, candidate: tuple) -> Iterator[tuple[int, int, int, int]]:
-        """(query row, query id, vec_id, score) of each query's best in the block."""
+    def cell(self, query: tuple, floors: np.ndarray, candidate: tuple) -> Iterator[tuple[int, int, int, int]]:
+        """(query row, query id, vec_id, score) of each query's best in the block.  floors: scores that each query's k-th best reaches."""
         (qrows, qids, q), (crows, cids, c) = query, candidate
+        floors = floors.copy()
         width = max(q.shape[1], c.shape[1], len(self.axes))
         q, c = _widened(q, width), _widened(c, width)
         if width > len(self.axes):  # wider than any vector of the sample
             self = Search(np.pad(self.axes, ((0, width - len(self.axes)), (0, width - len(self.axes)))) + np.diag([0.0] * len(self.axes) + [1.0] * (width - len(self.axes))), self.lead, self.head, self.top)
-        floors = self.floor(qrows, q)
         qn, cn = np.sqrt(np.square(q).sum(1)), np.sqrt(np.square(c).sum(1))
         (ql, qrest), (cl, crest) = self._rotated(q), self._rotated(c)
         room = 1e-9 * (qn * (cn.max() if len(cn) else 0)) + 1e-6
@@ -168,11 +207,12 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
 
     is_query: a condition on vec_id.  Queries are rows; candidates are all rows but the query's own, so of repeated
     rows each finds the others.  Null vectors, vectors with null or non-finite components and null ids take no
-    part.  Vectors of several lengths: the shorter are filled up with 0.  Empty table: no rows.
+    part.  Vectors of several lengths: the shorter are filled up with 0.  Scores beyond a long: held at its ends.  Further
+    columns are ignored.  Empty table: no rows.
     """
     spark = vectors.sparkSession
     usable = materialise(usable_vectors(vectors, id_col, vector_col), "vectors")
-    n = usable.count()
+    n, width = usable.agg(F.count("*"), F.max(F.size("v"))).first()
     columns = ["row", "vec_id", "v"]
     sample = usable.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))).select("v").toPandas()
     m = _matrix([list(x) for x in sample["v"]])
@@ -183,26 +223,31 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
     head = (longest["row"].to_numpy(np.int64), longest["vec_id"].to_numpy(np.int64), _matrix([list(x) for x in longest["v"]]))
     search = spark.sparkContext.broadcast(Search(np.ascontiguousarray(axes), lead, head, top))  # HEAD vectors and a square matrix
 
+    largest = max(1, min(MOST_BLOCK, BLOCK_BYTES // (8 * max(1, width or 0))))
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_BLOCK)))
-    size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // parts)))
-    sorted_rows = usable.repartitionByRange(parts if n <= parts * MOST_BLOCK else -(-n // MOST_BLOCK), F.col("norm").desc(), "row").sortWithinPartitions(F.col("norm").desc(), "row")
-    blocks = materialise(_packed(sorted_rows, size), "blocks")
-    most = blocks.agg((F.max("part") + 1).alias("p"), (F.max("nth") + 1).alias("k")).first()
-    if most["p"] is None:
+    size = min(largest, max(LEAST_BLOCK, -(-n // parts)))
+    parts = max(parts, -(-n // largest))
+    sorted_rows = usable.repartitionByRange(parts, F.col("norm").desc(), "row").sortWithinPartitions(F.col("norm").desc(), "row")
+    blocks = _packed(sorted_rows, size).withColumn("group", F.floor(F.col("part") / F.lit(-(-parts // GROUPS))).cast("int"))
+    blocks = materialise(blocks, "blocks")
+    known = blocks.groupBy("group").agg(F.max("norm").alias("norm")).orderBy("group").collect()  # GROUPS numbers at most
+    if not known:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks = blocks.withColumn("cell", F.col("part").cast("long") * most["k"] + F.col("nth"))
-    queries = _packed(usable.filter(is_query), size)
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "kind", "rows", "ids", "m")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most["p"] * most["k"] - 1).cast("long"))).alias("cell"))
-    pairs = queries.join(blocks, "cell").select("q_n", "q_width", "q_kind", "q_rows", "q_ids", "q_m", "n", "width", "kind", "rows", "ids", "m")
+    groups, tops = [r["group"] for r in known], np.maximum.accumulate([r["norm"] for r in known][::-1])[::-1]  # of that group or a later one
+    enough = F.size(F.filter(F.array(*[F.lit(float(t)) for t in tops]), lambda t: t >= F.col("shortest")))
+    queries = _query_blocks(usable.filter(is_query), search, max(1, min(QUERIES, largest)))
+    queries = queries.withColumn("nth", enough).filter("nth > 0")
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "kind", "rows", "ids", "m")], "floors", F.explode(F.slice(F.array(*[F.lit(g) for g in groups]), F.lit(1), F.col("nth"))).alias("group"))
+    pairs = queries.join(blocks, "group").select("q_n", "q_width", "q_kind", "q_rows", "q_ids", "q_m", "n", "width", "kind", "rows", "ids", "m", "floors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x = [batch.column(i)[k].as_py() for i in range(12)]
-                found = list(search.value.cell(_unpack(*x[:6]), _unpack(*x[6:])))
+                x = [batch.column(i)[k].as_py() for i in range(13)]
+                found = list(search.value.cell(_unpack(*x[:6]), np.frombuffer(x[12], "<f8"), _unpack(*x[6:12])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(4)], ["q", "query_id", "vec_id", "score"])
 
-    best = pairs.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+    best = map_batches(pairs, run, "q long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
