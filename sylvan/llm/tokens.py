@@ -5,11 +5,13 @@ last white space before a word.  A text's ids are therefore those of its units (
 white space character before it) in a row.  Units recur far more often than they are new: each worker keeps
 the ids of the units it has met lately (MEMORY) and gives only new units' pieces to
 the library's model.  Splitting here is for characters on which every Unicode version agrees; a
-text with any other character goes through the library whole.
+text with any other character goes through the library whole, and so does every text where the file's normalizer, split
+or added tokens are not those of the two known kinds.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,6 +33,15 @@ UNIT = re.compile(rf"[{BLANK}]?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])")
 
 BLANKS = "\t\n\x0b\x0c\r\x20\u00a0"
 FIRST = "\x00"
+# How the two kinds of vocabulary files describe their normalizer and split.
+BYTE_KIND = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+WORD_KIND = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 #: Signs that can follow a word; an apostrophe can begin a piece of its own.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space that is not one space or line feed between words.
@@ -53,7 +64,11 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.model = self.library.model
-        self.lower = self.library.normalizer is not None
+        described = json.loads(self.library.to_str())
+        kind = described["normalizer"], described["pre_tokenizer"]
+        plain = described["model"]["type"] == "BPE" and not described["model"]["dropout"] and described["post_processor"] is None
+        self.split = plain and kind in (BYTE_KIND, WORD_KIND) and all(t["special"] for t in described["added_tokens"])
+        self.lower = kind == WORD_KIND
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -101,7 +116,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
-            if OTHER.search(text):
+            if not self.split or OTHER.search(text):
                 out.append(self.whole(text))
                 continue
             keys = self._keys(text)
