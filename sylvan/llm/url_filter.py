@@ -2,7 +2,7 @@
 
 A listed entry is a host and a path prefix; it fits its host, all subdomains, and every path that
 starts with its path.  A page therefore has one possible canonical key (host suffix + path prefix)
-for each of its host's suffixes and each path length in the list.  Most keys are in no list: the
+for each shape (labels of the host, length of the path) that entries of the list have, at most.  Most keys are in no list: the
 blocked Bloom filter (one 256-bit block of eight 32-bit words a key, one bit in each word) drops them
 with one look at one block.  Possible hits go to an equi join with the list itself, which removes
 the false positives; of a page's true hits the longest wins.
@@ -48,12 +48,12 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 
 def canonical_list(listed: DataFrame) -> DataFrame:
-    """(key, verdict, key_length, host_length): hosts in lower case, entries without a host or path dropped where
+    """(key, verdict, labels, host_length, path_length): hosts in lower case, entries without a host or path dropped where
     either is null, one verdict an entry (block wins)."""
     host = ascii_lower(F.col("host"))
     return (
         listed.filter("host IS NOT NULL AND path IS NOT NULL AND verdict IS NOT NULL")
-        .groupBy(F.concat(host, "path").alias("key"), F.length(host).alias("host_length"), F.length("path").alias("path_length"))
+        .groupBy(F.concat(host, "path").alias("key"), F.size(F.split(host, r"\.", -1)).alias("labels"), F.length(host).alias("host_length"), F.length("path").alias("path_length"))
         .agg(F.max("verdict").alias("verdict"))
     )
 
@@ -63,19 +63,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
 
     ``listed``: host, path, verdict.  Null or malformed URL: empty host and path, verdict ``default``.
     Null ids and repeated rows: answered like any other.  Empty list: all ``default``.  Equally long
-    rules: the one with the longer host.  Very long URLs: read whole.  Further columns are ignored.
+    rules: the one with the longer host.  Very long URLs: read whole; of a host's suffixes, those with as many labels as a listed host.  Further columns are ignored.
     """
     rules = materialise(canonical_list(listed), "url-list")
-    n, lengths = rules.agg(F.count("*"), F.array_sort(F.collect_set("path_length"))).first()  # as many lengths as paths have at most
+    n = rules.count()
+    shapes = rules.select("labels", "path_length").distinct().collect()  # as many as hosts have labels times paths have lengths, at most
     blocks = max(1, -(-n // KEYS_A_BLOCK))
     bloom = materialise(bloom_blocks(rules, blocks), "url-bloom")
 
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda k: k <= F.length("path"))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda k: F.concat(s, F.substring("path", F.lit(1), k)))))
+    known = F.array(*[F.struct(F.lit(x["labels"]).alias("labels"), F.lit(x["path_length"]).alias("k")) for x in shapes]).cast("array<struct<labels:int,k:int>>")
+    fitting = F.filter(known, lambda x: (x["labels"] <= F.size(labels)) & (x["k"] <= F.length("path")))
+    keys = F.transform(fitting, lambda x: F.concat(F.array_join(F.slice(labels, F.size(labels) - x["labels"] + 1, x["labels"]), "."), F.substring("path", F.lit(1), x["k"])))
     probes = rows.select("*", F.explode(F.concat(keys, F.array(F.lit(None).cast("string")))).alias("key"))  # the null key keeps the page itself
     probes = probes.withColumn("h", F.xxhash64("key")).withColumn("block", F.when(F.col("key").isNotNull(), _block(F.col("h"), blocks)))
     possible = F.lit(True)
