@@ -18,13 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_text, id_remainder
+from .common import id_and_text, id_remainder, map_batches
 
 ORDERS = (2, 3, 4)
 TOP, SHARE, MIN_DOCS, FEW_DOCS = 20_000, 0.3, 2, 5
@@ -143,7 +143,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 distinct, which, in_docs = np.unique(grams, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.array(np.bincount(which, times).astype(np.int64)), pa.array(in_docs.astype(np.int64))], ["lang", "gram", "n", "docs"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long, docs long")
+    counted = map_batches(sample, count, "lang string, gram long, n long, docs long")
     grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     grams = grams.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     few = [lang for lang, n in sizes.items() if min(n, max_train_docs) < FEW_DOCS]
@@ -171,19 +171,29 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
             found = [shared.value.decide(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(decide, "doc_id long, lang_pred string, score double")
+    rows = id_and_text(docs, id_col, text_col)
+    return map_batches(rows, decide, "doc_id long, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, filters: Filters, text_col: str = "text", out_col: str = "lang") -> DataFrame:
-    """docs with the decision in out_col (which may be there already), rows of no language (``und``) left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    """docs with the decision in out_col (which may be there already), rows of no language (``und``) left out.
 
-    @F.pandas_udf("string")
-    def decide(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shared.value.decide(t or "")[0])
+    All columns pass the worker in one go, so that a text is decided once.  Null or empty texts are ``und``.  Null ids, repeated rows,
+    very long texts and further columns: kept as they are.  Empty table: no rows.
+    """
+    shared, place = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text_col)
+    to = docs.columns.index(out_col) if out_col in docs.columns else len(docs.columns)
+    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
+    fields[to : to + 1] = [T.StructField(out_col, T.StringType())]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shared.value.decide(t.as_py() or "")[0] for t in batch.column(place)], pa.string())
+            columns = list(batch.columns)
+            columns[to : to + 1] = [found]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields]).filter(pc.not_equal(found, "und"))
 
-    decided = docs.withColumn("_sylvan_lang", decide(F.coalesce(F.col(text_col), F.lit("")))).filter("_sylvan_lang <> 'und'")
-    return decided.withColumn(out_col, F.col("_sylvan_lang")).select(docs.columns)
+    return map_batches(docs, decide, T.StructType(fields))
 
 
 def op5_language_id(spark, sf_dir):
