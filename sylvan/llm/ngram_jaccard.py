@@ -8,11 +8,16 @@ a known component needn't be looked at, and no pair ever becomes a row.
     ceil(threshold * n) + 1.  If k of its ``near`` least elements are in no other set's region, it has no partner: that would
     have one of the k, and there at a rank of at most that set's near plus its own k - 1 further elements, which its
     region covers for every partner's size up to n / threshold.  Elements meet in buckets of the hash space as packed
-    arrays; an element that a batch of documents shares is sent once.
+    arrays; an element that a batch of documents shares is sent once.  There are COARSE buckets at most, so that packed rows stay
+    long; beyond that, a task splits its buckets again and sorts the parts on its own disk.
 3.  For the others the prefix filter with elements in order of rarity (counted over all of them): partners share one of
     their k rarest elements.  Classes that share a prefix element are put into candidate groups.
-4.  A group is cut into blocks of a bounded number of elements; a task takes a pair of blocks.  There, index lists are
-    in order of set size, and whole blocks of a list outside the size bounds are skipped by position.  Candidates
+4.  A group of at most ``block`` elements is a cell, that is, a task's work at a time.  A larger group is split by whichever is less work:
+    by prefix element, where elements with the same list of sets are one unit, or as a whole.  A unit that is still too large
+    is cut into blocks within bands of sizes, each 1 / threshold times the one before; only blocks of the
+    same band or neighbouring ones can hold partners, and each such pair of blocks is a cell.
+5.  In a cell, index lists are made of blocks of equal set size, in which entries stand in order of the element's position.  Blocks
+    outside the size bounds are skipped, and so is the rest of a block once too few elements can follow the position.  Candidates
     already in the set's component are skipped.  A set takes its most promising candidate first; if that links, the
     answers computed for it bound the set's other overlaps, |x & z| <= |y & z| + |x - y|, and candidates
     below the bound are skipped unseen.  Tasks give one row a set: the least set it was linked with.
@@ -20,6 +25,8 @@ a known component needn't be looked at, and no pair ever becomes a row.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_passes, bloom_words, id_and_text, materialise, with_unique_ids
+from .common import bloom_passes, bloom_words, id_and_text, map_batches, materialise, with_unique_ids
 from .components import components
-from .suffix_dedup import _hashes, _mixed, _prefix_sums
+from .hashing import hashes, mixed, prefix_sums
 
 WORDS, THRESHOLD = 3, 90
-#: Elements in a block of a candidate group.
-BLOCK = 1_500_000
+#: Elements of a cell's blocks, and elements that a task holds at once elsewhere.
+BLOCK, BUCKET = 400_000, 500_000
+#: Buckets that elements are dealt to at once, and the partitions that hold them.
+COARSE, PARTITIONS = 1 << 16, 1 << 13
 BATCH = 2048
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -47,11 +56,11 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     start, end = edges[::2], edges[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    h = _hashes(_prefix_sums(data), start, end)
+    h = hashes(prefix_sums(data), start, end)
     n = min(words, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
+        s = mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
     return np.unique(s)
 
 
@@ -64,8 +73,8 @@ SETS = "doc_id long, body long, n long, d1 long, d2 long"
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
-    m = _mixed(s)
-    return int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(_mixed(s ^ np.uint64(0x5555)), initial=np.uint64(0)).view(np.int64))
+    m = mixed(s)
+    return int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed(s ^ np.uint64(0x5555)), initial=np.uint64(0)).view(np.int64))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -77,7 +86,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in cols)], names)
 
-    return docs.select("doc_id", "body", "text").mapInArrow(run, SETS)
+    return map_batches(docs.select("doc_id", "body", "text"), run, SETS)
 
 
 def _near(n: int, threshold: int) -> int:
@@ -90,39 +99,54 @@ def _region_sizes(n: int, threshold: int) -> tuple[int, int]:
     return _near(n, threshold), _prefix(n, threshold) + _near(n * 100 // threshold, threshold) + 3
 
 
-#: Elements that a task holds at once.
-BUCKET = 750_000
-SEVERAL = 0xFFFF
-REGIONS = "bucket int, classes binary, elements binary, owners binary, near binary"
+REGIONS = "bucket long, classes binary, elements binary, owners binary, near binary"
+
+
+def _merged(element: np.ndarray, owner: np.ndarray, several: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each element once: an owner of it, whether it has several, whether it is near to one."""
+    by = np.argsort(element, kind="stable")
+    element, owner, several, near = element[by], owner[by], several[by], near[by]
+    first = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+    low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    return element[first], low, (low != high) | np.logical_or.reduceat(several, first), np.logical_or.reduceat(near, first)
+
+
+def _parts(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The keys that occur and their places."""
+    by = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
+    for at in np.split(by, first[1:]):
+        yield int(key[at[0]]), at
+
+
+def _packed(key: np.ndarray, element: np.ndarray, owner: np.ndarray, several: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """A row for each key: elements, and each one's class as its place in ``classes``, or beyond the last for several."""
+    rows = []
+    for k, at in _parts(key):
+        own = ~several[at]
+        classes, place = np.unique(owner[at][own], return_inverse=True)
+        places = np.full(len(at), len(classes))
+        places[own] = place
+        rows.append((k, classes.tobytes(), element[at].tobytes(), places.astype("<u2" if len(classes) < 1 << 16 else "<u4").tobytes(), np.packbits(near[at]).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], [f.split()[0] for f in REGIONS.split(", ")])
+
+
+def _unpacked(classes: bytes, elements: bytes, owners: bytes, near: bytes) -> tuple[np.ndarray, ...]:
+    c, e = np.frombuffer(classes, np.int64), np.frombuffer(elements, np.uint64)
+    o = np.frombuffer(owners, "<u2" if len(owners) == 2 * len(e) else "<u4")
+    return e, np.concatenate((c, [0]))[o], o == len(c), np.unpackbits(np.frombuffer(near, np.uint8), count=len(e)).astype(bool)
 
 
 def _regions(docs: DataFrame, words: int, threshold: int, buckets: int) -> DataFrame:
-    """Regions of batches of documents, dealt out by element: elements, and for each its class's place in ``classes`` or SEVERAL."""
-    names = [f.split()[0] for f in REGIONS.split(", ")]
+    """Regions of batches of documents, packed by bucket of their elements."""
 
     def packed(sets: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        classes, place = np.unique(np.array([d for d, _, _ in sets], np.int64), return_inverse=True)
-        element = np.concatenate([s for _, _, s in sets])
         length = np.array([len(s) for _, _, s in sets])
-        owner = np.repeat(place, length).astype(np.int64)
+        element = np.concatenate([s for _, _, s in sets])
+        owner = np.repeat(np.array([d for d, _, _ in sets], np.int64), length)
         near = (np.arange(len(element)) - np.repeat(np.cumsum(length) - length, length)) < np.repeat([m for _, m, _ in sets], length)
-        by = np.argsort(element, kind="stable")
-        element, owner, near = element[by], owner[by], near[by]
-        first = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-        low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-        element, owner, near = element[first], np.where(low == high, low, SEVERAL).astype("<u2"), np.logical_or.reduceat(near, first)
-        bucket = (_mixed(element) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        rows = []
-        for k in range(buckets):
-            at = by[ends[k] : ends[k + 1]]
-            if len(at):
-                used, own = np.unique(owner[at], return_inverse=True)
-                some = used[-1] == SEVERAL
-                own = np.where(owner[at] == SEVERAL, SEVERAL, own).astype("<u2")
-                rows.append((k, classes[used[:-1] if some else used].tobytes(), element[at].tobytes(), own.tobytes(), np.packbits(near[at]).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], names)
+        element, owner, several, near = _merged(element, owner, np.zeros(len(element), bool), near)
+        return _packed((mixed(element) % np.uint64(buckets)).astype(np.int64), element, owner, several, near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -133,58 +157,86 @@ def _regions(docs: DataFrame, words: int, threshold: int, buckets: int) -> DataF
                     near, region = _region_sizes(len(s), threshold)
                     held.append((_digest(s)[0], near, s[:region].copy()))
                     n += len(held[-1][2])
-                if n > BUCKET // 2 or len(held) >= 8 * BATCH:
+                if n > max(BUCKET // 2, 64 * buckets):
                     yield packed(held)
                     held, n = [], 0
         if held:
             yield packed(held)
 
-    return docs.select("text").mapInArrow(run, REGIONS)
+    return map_batches(docs.select("text"), run, REGIONS)
+
+
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(first column, rows of the others) of rows that share their first column; they come sorted by it, and are handed on one by one."""
+    rows = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True))
+    for key, own in itertools.groupby(rows, lambda r: r[0]):
+        yield key, (r[1:] for r in own)
+
+
+def _split(regions: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """Each bucket's rows once more by ``parts`` further parts of the hash; sorted by spilling where they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(bucket, held):
+            element, owner, several, near = _merged(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            part = (mixed(element) // np.uint64(buckets) % np.uint64(parts)).astype(np.int64)
+            return _packed(bucket * parts + part, element, owner, several, near)
+
+        for bucket, rows in _by_first(batches):
+            held, n = [], 0
+            for row in rows:
+                held.append(_unpacked(*row))
+                n += len(held[-1][0])
+                if n > 4 * BUCKET:
+                    yield packed(bucket, held)
+                    held, n = [], 0
+            if held:
+                yield packed(bucket, held)
 
-def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows that share their first column; they come sorted by it."""
-    of, held = None, []
-    for batch in batches:
-        for row in zip(*batch.columns, strict=True):
-            if row[0].as_py() != of and held:
-                yield held
-                held = []
-            of = row[0].as_py()
-            held.append(tuple(x.as_py() for x in row[1:]))
-    if held:
-        yield held
+    return map_batches(regions, run, REGIONS).sortWithinPartitions("bucket")
 
 
 def _alone(regions: DataFrame, buckets: int) -> DataFrame:
     """(d1, alone): how many near elements of a class no other class has.  Buckets count, and classes' counts meet packed."""
 
-    def unpacked(classes: bytes, elements: bytes, owners: bytes, near: bytes) -> tuple[np.ndarray, ...]:
-        c, e, o = np.frombuffer(classes, np.int64), np.frombuffer(elements, np.uint64), np.frombuffer(owners, "<u2")
-        several = o == SEVERAL
-        return e, np.concatenate((c, [0]))[np.where(several, len(c), o)], several, np.unpackbits(np.frombuffer(near, np.uint8), count=len(e)).astype(bool)
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        d1, at = np.unique(np.concatenate([d for d, _ in held]), return_inverse=True)
+        return d1, np.bincount(at, np.concatenate([n for _, n in held]), len(d1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_first(batches):
-            element, owner, several, near = (np.concatenate(c) for c in zip(*(unpacked(*r) for r in rows), strict=True))
-            by = np.argsort(element, kind="stable")
-            element, owner, several, near = element[by], owner[by], several[by], near[by]
-            first = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-            low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
-            own = (low == high) & ~np.logical_or.reduceat(several, first) & np.logical_or.reduceat(near, first)
-            d1, n = np.unique(low[own], return_counts=True)
-            to = (_mixed(d1.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            parts = [(int(t), d1[to == t].tobytes(), n[to == t].astype("<u4").tobytes()) for t in np.unique(to)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "d1", "n"])
+        def dealt(held):
+            d1, n = summed(held)
+            to = (mixed(d1.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            rows = [(k, d1[at].tobytes(), n[at].astype("<u4").tobytes()) for k, at in _parts(to)]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "d1", "n"])
+
+        held, n = [], 0
+        for _, rows in _by_first(batches):
+            _, owner, several, near = _merged(*(np.concatenate(c) for c in zip(*(_unpacked(*r) for r in rows), strict=True)))
+            own, times = np.unique(owner[~several & near], return_counts=True)
+            if len(own):
+                held.append((own, times))
+                n += len(own)
+            if n > max(BUCKET, 16 * buckets):
+                yield dealt(held)
+                held, n = [], 0
+        if held:
+            yield dealt(held)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_first(batches):
-            d1, at = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d, _ in rows]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.frombuffer(c, "<u4") for _, c in rows]), len(d1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(n)], ["d1", "alone"])
+        for _, rows in _by_first(batches):
+            held, n = [], 0
+            for d1, times in rows:
+                held.append((np.frombuffer(d1, np.int64), np.frombuffer(times, "<u4")))
+                n += len(held[-1][0])
+                if n > 4 * BUCKET:  # the sums so far take a row's place
+                    held = [summed(held)]
+                    n = 0
+            d1, times = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(times)], ["d1", "alone"])
 
-    counts = regions.mapInArrow(count, "part int, d1 binary, n binary")
-    return counts.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(total, "d1 long, alone long")
+    counts = map_batches(regions, count, "part int, d1 binary, n binary")
+    return map_batches(counts.repartition(min(buckets, PARTITIONS), "part").sortWithinPartitions("part"), total, "d1 long, alone long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -200,31 +252,39 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(t.as_py(), words) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "body", "n", "elements"])
 
-    sets = docs.select("doc_id", "body", "text").mapInArrow(run, "doc_id long, body long, n long, elements array<long>")
+    sets = map_batches(docs.select("doc_id", "body", "text"), run, "doc_id long, body long, n long, elements array<long>")
     return sets.join(wanted, sets["doc_id"].eqNullSafe(wanted["id"]) & (sets["body"] == wanted["of"])).select("node", "n", "elements").dropDuplicates(["node"])
 
 
 class Cell:
-    """The sets of a pair of blocks: which are connected by links between them."""
+    """The sets of a pair of blocks: which are connected by links between them.  before: how many elements of a set stand before its
+    prefix in the order of rarity, those that no other set has."""
 
-    def __init__(self, nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], prefixes: list[np.ndarray], threshold: int):
+    def __init__(self, nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], prefixes: list[np.ndarray], before: np.ndarray, threshold: int):
         size = np.array([len(s) for s in sets], np.int64)
         order = np.lexsort((nodes, size))
         self.nodes, self.sides, self.size, self.threshold = nodes[order], sides[order], size[order], threshold
-        sets, prefixes = [sets[i] for i in order], [prefixes[i] for i in order]
-        distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        elements = np.concatenate([sets[i] for i in order])
+        distinct = np.unique(elements)
+        self.ids = np.searchsorted(distinct, elements).astype(np.int32)
         self.ends = np.cumsum(self.size)
-        self.starts, self.ids = self.ends - self.size, ids.astype(np.int32)
+        self.starts = self.ends - self.size
         self.here = np.zeros(len(distinct), np.int8)
-        owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
-        token = np.concatenate(prefixes)
-        by = np.lexsort((owner, token))  # owners are in order of size
-        token, self.listed = token[by], owner[by]
-        tokens, first = np.unique(token, return_index=True)
-        self.lists = dict(zip(tokens.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(token)], strict=True), strict=True))
-        self.prefixes = prefixes
         self.root = np.arange(len(sets))
 
+        length = np.array([len(prefixes[i]) for i in order])
+        self.first = np.concatenate(([0], np.cumsum(length)))
+        owner = np.repeat(np.arange(len(sets)), length)
+        self.place = np.arange(len(owner)) - np.repeat(self.first[:-1], length) + before[order][owner]
+        _, self.list = np.unique(np.concatenate([prefixes[i] for i in order]), return_inverse=True)
+        by = np.lexsort((self.place, self.size[owner], self.list))  # a list is a row of blocks of one size, in order of position
+        self.listed, lists, sizes = owner[by], self.list[by], self.size[owner[by]]
+        new = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]) | (sizes[1:] != sizes[:-1]))))
+        self.block_start, self.block_size = new, sizes[new]
+        self.list_block = np.searchsorted(lists[new], np.arange(lists[-1] + 2))
+        self.most = int(self.place.max()) + 1
+        self.post = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(by)))) * self.most + self.place[by]
+
     def _find(self, x: int) -> int:
         while self.root[x] != x:
             self.root[x] = x = self.root[self.root[x]]
@@ -251,22 +311,27 @@ class Cell:
         t = self.threshold
         return -(-t * (self.size[x] + self.size[others]) // (100 + t))
 
+    def _candidates(self, x: int) -> np.ndarray:
+        """Earlier sets (once for each prefix element in common) that size and positions leave possible."""
+        lists, place = self.list[self.first[x] : self.first[x + 1]], self.place[self.first[x] : self.first[x + 1]]
+        n = self.list_block[lists + 1] - self.list_block[lists]
+        block = _ranges(self.list_block[lists], n)
+        place = np.repeat(place, n)
+        m, own = self.block_size[block], self.size[x]
+        needed = -(-self.threshold * (own + m) // (100 + self.threshold))
+        some = (m <= own) & (100 * m >= self.threshold * own) & (own - place >= needed)  # whole blocks are skipped
+        block, last = block[some], (m - needed)[some]
+        start = self.block_start[block]
+        stop = np.searchsorted(self.post, block * self.most + np.minimum(last, self.most - 1), "right")  # the rest of a block is skipped by position
+        met = self.listed[_ranges(start, np.maximum(stop - start, 0))]
+        return met[met < x]
+
     def link(self) -> np.ndarray:
         """The least node that each set is connected with."""
         answers: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(self.size)
         two = len(set(self.sides.tolist())) > 1
         for x in range(len(self.size)):
-            low = int(np.searchsorted(self.size, -(-self.threshold * self.size[x] // 100)))  # the first set that is large enough
-            found = []
-            for t in self.prefixes[x].tolist():
-                a, b = self.lists[t]
-                a += int(np.searchsorted(self.listed[a:b], low))  # skip by position
-                b = a + int(np.searchsorted(self.listed[a:b], x))
-                if a < b:
-                    found.append(self.listed[a:b])
-            if not found:
-                continue
-            met, times = np.unique(np.concatenate(found), return_counts=True)
+            met, times = np.unique(self._candidates(x), return_counts=True)
             if two:
                 other = self.sides[met] != self.sides[x]
                 met, times = met[other], times[other]
@@ -299,32 +364,69 @@ class Cell:
         return least[roots]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i] … start[i] + n[i] - 1, one after the other."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum())
+
+
 def _link_cells(cells: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of sets connected in a cell; rows (cell, node, side, elements, prefix) come dealt out and sorted by cell."""
+    """(a, b) of sets connected in a cell; rows (cell, node, side, before, elements, prefix) come dealt out and sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows):
+            nodes, sides, before, sets, prefixes = zip(*rows, strict=True)
+            if len(rows) < 2:
+                return
+            cell = Cell(np.array(nodes), np.array(sides), sets, prefixes, np.array(before), threshold)
+            b, a = cell.link(), cell.nodes
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
         rows: list[tuple] = []
         of = None
-
-        def done():
-            nodes = np.array([r[0] for r in rows], np.int64)
-            least = Cell(nodes, np.array([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows], threshold)
-            b = least.link()
-            a = least.nodes
-            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
-
         for batch in batches:
-            cell, side, node = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            cell, node, side, before = (batch.column(k).to_pylist() for k in range(4))
             for k in range(batch.num_rows):
                 if cell[k] != of and rows:
-                    yield done()
+                    yield from done(rows)
                     rows = []
                 of = cell[k]
-                rows.append((node[k], side[k], batch.column(3)[k].values.to_numpy().view(np.uint64), batch.column(4)[k].values.to_numpy().view(np.uint64)))
+                rows.append((node[k], side[k], before[k], *(batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (4, 5))))
         if rows:
-            yield done()
-
-    return cells.select("cell", "node", "side", "elements", "prefix").mapInArrow(run, "a long, b long")
+            yield from done(rows)
+
+    return map_batches(cells.select("cell", "node", "side", "before", "elements", "prefix"), run, "a long, b long")
+
+
+def _cells(members: DataFrame, postings: DataFrame, threshold: int, block: int) -> DataFrame:
+    """(cell, node, side): what is compared where.  members: node, n, component, total (elements of the component); postings: element,
+    node, n."""
+    small = members.filter(F.col("total") <= block).select(F.col("component").cast("string").alias("cell"), "node", F.lit(0).cast("long").alias("side"))
+    large = members.filter(F.col("total") > block)
+    if large.isEmpty():  # saves the plan, changes nothing
+        return small
+    large = materialise(large, "large")
+    work = lambda total: F.col(total) * F.ceil(F.col(total) / F.lit(block))
+    own = postings.join(large.select("node", "component"), "node")
+    lists = own.groupBy("component", "element").agg(F.count("*").alias("sets"), F.sum("n").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("sets > 1")
+    lists = materialise(lists.groupBy("component", "sets", "x", "y").agg(F.min("element").alias("element"), F.first("of").alias("of")), "lists")
+    apart = lists.groupBy("component").agg(F.sum(work("of")).alias("apart"))
+    split = large.select("component", "total").distinct().join(apart, "component").filter(F.col("apart") < work("total")).select("component")
+    units = large.join(split, "component", "left_anti").select(F.concat(F.lit("c"), "component").alias("unit"), "node", "n")
+    units = units.unionByName(own.join(lists.join(split, "component", "left_semi").select("element"), "element").select(F.concat(F.lit("e"), "element").alias("unit"), "node", "n"))
+    width = -math.log(threshold / 100 - 1e-6)
+    units = materialise(units.withColumn("band", F.floor(F.log("n") / F.lit(width)).cast("int")), "units")
+    sizes = units.groupBy("unit", "band").agg(F.sum("n").alias("total")).withColumn("blocks", F.ceil(F.col("total") / F.lit(block)).cast("int"))
+    whole = units.groupBy("unit").agg(F.sum("n").alias("all")).filter(F.col("all") <= block).select("unit")
+    few = units.join(whole, "unit").select(F.col("unit").alias("cell"), "node", F.lit(0).cast("long").alias("side"))
+    many = units.join(whole, "unit", "left_anti").join(sizes.select("unit", "band", "blocks"), ["unit", "band"])
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    same = many.select("unit", "node", "band", F.col("band").alias("to"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    beside = many.select("unit", "node", "band", F.explode(F.array(F.col("band") - 1, F.col("band") + 1)).alias("to"), "own")
+    beside = beside.join(sizes.select("unit", F.col("band").alias("to"), "blocks"), ["unit", "to"]).select("unit", "node", "band", "to", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    a, b = F.struct(F.col("band"), F.col("own").alias("k")), F.struct(F.col("to").alias("band"), F.col("other").alias("k"))
+    both = same.unionByName(beside).withColumn("low", F.least(a, b)).withColumn("high", F.greatest(a, b))
+    both = both.select(F.concat_ws("-", "unit", "low.band", "low.k", "high.band", "high.k").alias("cell"), "node", F.xxhash64("band", "own").alias("side"))
+    return small.unionByName(few).unionByName(both)
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -342,8 +444,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
 
     k = F.expr(f"n - (n * {threshold} + 99) div 100 + 1")
     total = (sets.agg(F.sum("n")).first()[0] or 0) * 6 // 10
-    buckets = max(1, -(-total // BUCKET))
-    regions = _regions(keyed, words, threshold, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    need = max(1, -(-total // BUCKET))
+    buckets = min(need, COARSE)
+    regions = _regions(keyed, words, threshold, buckets).repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    if need > buckets:
+        regions = _split(regions, buckets, -(-need // buckets))
     met = classes.join(_alone(regions, buckets), "d1", "left").filter(F.coalesce("alone", F.lit(0)) < k)
     wanted = sets.join(met.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("id"), F.col("body").alias("of"))
     wanted = materialise(wanted, "wanted")
@@ -352,19 +457,16 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     listed = full.select("node", "n", F.explode("elements").alias("element"))
     shared = listed.groupBy("element").agg(F.count("*").alias("times")).filter("times > 1")
     common = listed.join(shared, "element").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("common"))
-    rarest = F.slice("common", F.lit(1), F.greatest(F.lit(0), k - F.col("n") + F.size("common")).cast("int"))  # after the elements that are its own
-    prefixes = materialise(common.select("node", "n", rarest["element"].alias("prefix")).filter(F.size("prefix") > 0), "prefixes")
-    postings = prefixes.select("node", F.explode("prefix").alias("element"))
+    alone = F.col("n") - F.size("common")  # elements of no other set come first in the order of rarity
+    rarest = F.slice("common", F.lit(1), F.greatest(F.lit(0), k - alone).cast("int"))
+    prefixes = materialise(common.select("node", "n", alone.alias("before"), rarest["element"].alias("prefix")).filter(F.size("prefix") > 0), "prefixes")
+    postings = prefixes.select("node", "n", F.explode("prefix").alias("element"))
     lists = postings.groupBy("element").agg(F.min("node").alias("b"))
     groups = components(postings.join(lists, "element").select(F.col("node").alias("a"), "b"))
 
-    sizes = groups.join(prefixes.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = groups.join(sizes.select("component", F.ceil(F.col("total") / F.lit(block)).cast("int").alias("blocks")), "component")
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = blocks.select("node", "own", "component", other.alias("other"))
-    cells = cells.select("node", F.concat_ws("-", "component", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.col("own").alias("side"))
-    cells = cells.join(prefixes.select("node", "prefix"), "node").join(full.select("node", "elements"), "node")
+    members = groups.join(prefixes.select("node", "n"), "node")
+    members = members.join(members.groupBy("component").agg(F.sum("n").alias("total")), "component")
+    cells = _cells(members, postings, threshold, block).join(prefixes.select("node", "before", "prefix"), "node").join(full.select("node", "elements"), "node")
     links = components(_link_cells(cells.repartition("cell").sortWithinPartitions("cell"), threshold))
 
     found = classes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
