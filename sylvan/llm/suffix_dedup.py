@@ -5,17 +5,18 @@ lost: every window of ``length`` bytes has an anchor, the leftmost of its ``gram
 hash, which depends on the window's bytes alone.  Equal windows therefore have equal anchor strings at equal places,
 and only windows of the same anchor string need be compared.  Anchors are about 2 / (length - gram + 2) of all bytes.
 
-1.  Each document's anchors: hash of the anchor string, hash of its context (all bytes of its windows), and the
+1.  Each document's anchors: hash of the anchor string, digest of its context (all bytes of its windows), and the
     windows it stands for.  Anchors whose context recurs within the document are settled at once.
-2.  Anchor strings met once are dropped.  Contexts met twice settle all their windows.
-3.  The other contexts of an anchor string are dealt out by that string.  Batches of contexts get a sorted array of
-    their windows (suffixes cut to ``length``, in the order of a 64-bit fingerprint, with the anchor's 64 bits as key:
-    only equality matters, and fingerprints compare faster than bytes).  A new array is merge-scanned against each level
-    of the family, which marks windows on both sides; levels of equal size then merge, so that a string with
-    m contexts is scanned O(log m) times.  Of an anchor's windows only the first and last repeated one matter: there
-    are fewer than ``length``, so what is between them is covered.
+2.  Anchor strings met once are dropped; the hash is a filter only.  Contexts met twice (equal 128-bit BLAKE2 digests of their bytes)
+    settle all their windows.
+3.  The other contexts are dealt out by anchor string.  A task takes them in batches.  A batch gets its suffix array: the suffixes from the
+    anchors on, cut to ``length``, in the order of their bytes.  The array is merge-scanned against each level of the task's family: of a
+    level, binary search by bytes finds the suffixes that begin with one of the batch's anchors, and in the merged order the common
+    prefixes, together with those of the reversed bytes before the anchors, tell which windows are equal, byte for byte.  Then it becomes a
+    level, and levels of equal size merge, so that a suffix is merged O(log) times.  Of an anchor's windows only the
+    first and last repeated one matter: there are fewer than ``length``, so what is between them is covered.
 4.  A string with more than ``hot`` distinct contexts isn't gathered: its windows become rows that are counted by
-    fingerprint, with partial sums before the exchange.
+    128-bit digest, with partial sums before the exchange.
 
 Documents are told apart by (doc_id, hash of the text), so repeated rows are copies of each other.
 """
@@ -30,48 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import discard, id_and_text, map_batches, materialise
+from .hashing import hashes, mixed, prefix_sums
 
 LENGTH = 400
-#: Distinct contexts of an anchor string that one task takes at most.
-HOT = 50_000
+#: Distinct contexts of an anchor string that one task takes at most, and contexts of all its strings that it is planned for.
+HOT, FAMILY = 50_000, 20_000
 #: Window starts handled at once, and contexts in a batch.
 CHUNK, BATCH = 1 << 20, 4096
-ROWS = 200_000
-
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-_powers = {"n": 0, "up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        n = max(n, 1 << 16)
-        for name, x in (("up", MULTIPLIER), ("down", INVERSE)):
-            steps = np.full(n, x, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = _power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], of their bytes alone."""
-    _, down = _power_tables(len(sums))
-    return _mixed((sums[end] - sums[start]) * down[start])
+ROWS = 100_000
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +51,7 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """A document's anchors: position, first and last window as distances before it, hashes of string and context."""
+    """A document's anchors: position, first and last window as distances before it, hash of the string."""
 
     def __init__(self, text: bytes, length: int, gram: int):
         data, width = np.frombuffer(text, np.uint8), length - gram + 1
@@ -92,27 +60,24 @@ class Anchors:
         for lo in range(0, max(0, len(data) - length + 1), CHUNK):
             part = data[lo : lo + CHUNK + length - 1]
             starts = np.arange(len(part) - gram + 1)
-            h = _hashes(_prefix_sums(part), starts, starts + gram)
+            h = hashes(prefix_sums(part), starts, starts + gram)
             at = (_sliding_min((h & ~low) | starts.astype(np.uint64), width) & low).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             last = np.concatenate((first[1:], [len(at)])) - 1
             p = at[first]
-            left, right = np.maximum(p - (width - 1), 0), np.minimum(p + length, len(part))
-            if lo + len(part) < len(data) or lo:  # contexts reach beyond the chunk
-                wide_lo = max(0, lo - width)
-                wide = data[wide_lo : lo + len(part) + length]
-                sums, shift = _prefix_sums(wide), lo - wide_lo
-                left, right = np.maximum(lo + p - (width - 1), 0) - wide_lo, np.minimum(lo + p + length, len(data)) - wide_lo
-            else:
-                sums, shift = _prefix_sums(part), 0
-            context = _hashes(sums, left, right) ^ _mixed((p + shift - left).astype(np.uint64) * np.uint64(4096) + (right - left).astype(np.uint64))
-            found.append((p + lo, p - last, p - first, h[p], context))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+            found.append((p + lo, p - last, p - first, h[p]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
         if len(found) > 1:  # an anchor may have windows in two chunks
             first = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
-            low, high = np.minimum.reduceat(cols[1], first), np.maximum.reduceat(cols[2], first)
-            cols = [cols[0][first], low, high, cols[3][first], cols[4][first]]
-        self.at, self.low, self.high, self.string, self.context = cols
+            cols = [cols[0][first], np.minimum.reduceat(cols[1], first), np.maximum.reduceat(cols[2], first), cols[3][first]]
+        self.at, self.low, self.high, self.string = cols
+        self.left, self.until = np.maximum(self.at - (width - 1), 0), np.minimum(self.at + length, len(data))
+
+    def contexts(self, text: bytes) -> list[bytes]:
+        """Digests of the contexts and the anchors' places in them."""
+        view, digest = memoryview(text), hashlib.blake2b
+        places = (self.at - self.left).astype("<u4").tobytes()
+        return [digest(view[a:b], digest_size=16, salt=places[4 * k : 4 * k + 4]).digest() for k, (a, b) in enumerate(zip(self.left.tolist(), self.until.tolist(), strict=True))]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -125,28 +90,30 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], np.concatenate((reach[:-1][first[1:]], reach[-1:]))], 1)
 
 
-ANCHORS = "doc_id long, body long, string long, context long, at long, low int, high int, n long, until long"
+ANCHORS = "doc_id long, body long, string long, c0 long, c1 long, at long, low int, high int, n long, until long"
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """A row for each distinct (string, context) of a document, and rows without a string: spans settled within it."""
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] * 2
+    kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.int64()] * 2
     names = [f.split()[0] for f in ANCHORS.split(", ")]
 
     def rows_of(doc_id: int, body: int, text: bytes) -> list[np.ndarray] | None:
         a = Anchors(text, length, gram)
         if not len(a.at):
             return None
-        pair = np.empty(len(a.at), "u8,u8")
-        pair["f0"], pair["f1"] = a.string, a.context
-        _, first, which, n = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(d, len(number)) for d in a.contexts(text)])
+        n = np.bincount(which)
+        first = np.zeros(len(n), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]  # the first of equals is written last
         again = n[which] > 1
         spans = merged(np.stack([a.at - a.high, a.at - a.low + length], 1)[again])
         k, s = len(first), len(spans)
-        head = [np.full(k + s, doc_id), np.full(k + s, body)]
+        context = np.frombuffer(b"".join(number), "<i8").reshape(-1, 2)
         join = lambda x, y: np.concatenate((x, y))
         zeros = np.zeros(s, np.int64)
-        return [*head, join(a.string[first].view(np.int64), zeros), join(a.context[first].view(np.int64), zeros), join(a.at[first], spans[:, 0]), join(a.low[first], zeros), join(a.high[first], zeros), join(n, zeros), join(np.full(k, -1), spans[:, 1])]
+        return [np.full(k + s, doc_id), np.full(k + s, body), join(a.string[first].view(np.int64), zeros), join(context[:, 0], zeros), join(context[:, 1], zeros), join(a.at[first], spans[:, 0]), join(a.low[first], zeros), join(a.high[first], zeros), join(n, zeros), join(np.full(k, -1), spans[:, 1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(held):
@@ -164,139 +131,177 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.select("doc_id", "body", "text").mapInArrow(run, ANCHORS)
+    return map_batches(docs.select("doc_id", "body", "text"), run, ANCHORS)
 
 
-class Levels:
-    """The family: sorted arrays of (window key, owner), the larger the older."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, owners: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        """Owners (numbers of windows) that equal another window of this batch or of a level; windows with ``keep`` form a
-        new level."""
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        same = keys[1:] == keys[:-1]
-        hit = [owners[1:][same], owners[:-1][same]]
-        for k, o in self.levels:
-            first = np.searchsorted(k, keys, "left")
-            met = first < np.searchsorted(k, keys, "right")
-            hit.append(owners[met])
-            hit.append(o[np.isin(k, keys[met])])
-        new = keep[order]
-        level = (keys[new], owners[new])
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
-            k, o = self.levels.pop()
-            both = np.concatenate((k, level[0]))
-            order = np.argsort(both, kind="stable")  # two sorted runs: a merge
-            level = (both[order], np.concatenate((o, level[1]))[order])
-        if len(level[0]):
-            self.levels.append(level)
-        return np.concatenate(hit)
+def _shared(keys: np.ndarray, width: int) -> np.ndarray:
+    """How many bytes each of the sorted keys begins with like the one before it; 0 for the first."""
+    out = np.zeros(len(keys), np.int64)
+    rows = keys.view(np.uint8).reshape(len(keys), width)
+    for lo in range(1, len(keys), 1 << 14):
+        differ = rows[lo : lo + (1 << 14)] != rows[lo - 1 : lo - 1 + len(rows[lo : lo + (1 << 14)])]
+        out[lo : lo + (1 << 14)] = np.where(differ.any(1), differ.argmax(1), width)
+    return out
 
 
-CONTEXTS = "string long, doc_id long, body long, at long, low int, high int, n long, left int, bytes binary"
+class Suffixes:
+    """A sorted sparse suffix array: ``right`` (suffixes from the anchors on, in the order of their bytes), ``left`` (reversed bytes before
+    them), the windows' least and greatest distance before the anchor, and each one's number."""
+
+    def __init__(self, right: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, number: np.ndarray):
+        by = np.argsort(right, kind="stable")  # of sorted runs one after the other: a merge
+        self.right, self.left, self.low, self.high, self.number = right[by], left[by], low[by], high[by], number[by]
+
+    def __len__(self) -> int:
+        return len(self.right)
+
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("right", "left", "low", "high", "number")))
+
+    def take(self, rows: np.ndarray) -> Suffixes:
+        out = object.__new__(Suffixes)
+        for c in ("right", "left", "low", "high", "number"):
+            setattr(out, c, getattr(self, c)[rows])
+        return out
+
+
+class Family:
+    """The levels of a task, the larger the older, and what is known of each suffix: its repeated windows nearest to and farthest from the
+    anchor (as distances; none: -1)."""
+
+    def __init__(self, length: int, gram: int):
+        self.length, self.gram = length, gram
+        self.levels: list[Suffixes] = []
+        self.nearest, self.farthest = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, contexts: list[bytes], left: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        before = max(1, self.length - self.gram)
+        right = np.array([c[p : p + self.length] for c, p in zip(contexts, left.tolist(), strict=True)], f"S{self.length}")
+        back = np.array([c[:p][::-1] for c, p in zip(contexts, left.tolist(), strict=True)], f"S{before}")
+        batch = Suffixes(right, back, low.astype(np.int64), high.astype(np.int64), len(self.nearest) + np.arange(len(contexts)))
+        none = np.full(len(contexts), -1)
+        self.nearest, self.farthest = np.concatenate((self.nearest, none)), np.concatenate((self.farthest, none))
+        self._scan(Suffixes.joined([batch, *(met for level in self.levels if len(met := self._met(batch, level)))]))
+        while self.levels and len(self.levels[-1]) <= 2 * len(batch):
+            batch = Suffixes.joined([self.levels.pop(), batch])
+        self.levels.append(batch)
+
+    def _met(self, batch: Suffixes, level: Suffixes) -> Suffixes:
+        """The level's suffixes that begin with an anchor of the batch."""
+        anchors = np.unique(batch.right.astype(f"S{self.gram}"))
+        wide = np.zeros((len(anchors), self.length), np.uint8)
+        wide[:, : self.gram] = anchors.view(np.uint8).reshape(len(anchors), self.gram)
+        first = np.searchsorted(level.right, wide.view(f"S{self.length}").ravel(), "left")
+        wide[:, self.gram :] = 255  # no byte of a text is greater
+        last = np.searchsorted(level.right, wide.view(f"S{self.length}").ravel(), "right")
+        n = last - first
+        return level.take(np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum()))
+
+    def _scan(self, every: Suffixes) -> None:
+        """Mark the windows that two of the sorted suffixes share: as many bytes before the anchor and as many from it on."""
+        common = _shared(every.right, self.length)
+        near = common >= self.gram
+        some = near | np.append(near[1:], False)  # another one begins with the same anchor
+        every, common = every.take(some), common[some]
+        n = len(every)
+        if not n:
+            return
+        by = np.argsort(every.left, kind="stable")
+        behind = _shared(every.left[by], max(1, self.length - self.gram))
+        place = np.empty(n, np.int64)
+        place[by] = np.arange(n)
+        for d in range(int(every.low.min()), int(every.high.max()) + 1):
+            own = np.flatnonzero((every.low <= d) & (d <= every.high))
+            if len(own) < 2:
+                continue
+            after = np.cumsum(common < self.length - d)[own]  # equal numbers: equal bytes
+            ahead = np.cumsum(behind < d)[place[own]]
+            key = after * (n + 1) + ahead
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            hit = every.number[own[order[np.append(same, False) | np.append(False, same)]]]
+            self.nearest[hit] = np.where(self.nearest[hit] < 0, d, np.minimum(self.nearest[hit], d))
+            self.farthest[hit] = np.maximum(self.farthest[hit], d)
+
+
+CONTEXTS = "string long, doc_id long, body long, at long, low int, high int, left int, bytes binary"
 
 
 def _contexts(docs: DataFrame, reps: DataFrame, length: int, gram: int) -> DataFrame:
     """The bytes of the representatives' contexts; the text moves once, to meet its own document's list."""
-    lists = reps.groupBy("doc_id", "body").agg(F.collect_list(F.struct("string", "at", "low", "high", "n")).alias("anchors"))
+    lists = reps.groupBy("doc_id", "body").agg(F.collect_list(F.struct("string", "at", "low", "high")).alias("anchors"))
     names = [f.split()[0] for f in CONTEXTS.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows, held = [], 0
             for doc_id, body, text, anchors in zip(*batch.columns, strict=True):
                 data = text.as_py().encode()
                 for a in anchors.as_py():
                     p = a["at"]
                     left = min(p, length - gram)
-                    rows.append((a["string"], doc_id.as_py(), body.as_py(), p, a["low"], a["high"], a["n"], left, data[p - left : p + length]))
-                    held += 1
-                if held > 4 * BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.join(lists, ["doc_id", "body"]).select("doc_id", "body", "text", "anchors").mapInArrow(run, CONTEXTS)
-
+                    rows.append((a["string"], doc_id.as_py(), body.as_py(), p, a["low"], a["high"], left, data[p - left : p + length]))
+                    if len(rows) >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-def _windows(columns: dict[str, np.ndarray], contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, distance before the anchor, key) of all windows of a batch of contexts."""
-    sizes = np.array([len(c) for c in contexts])
-    base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    sums = _prefix_sums(np.frombuffer(b"".join(contexts), np.uint8))
-    count = columns["high"] - columns["low"] + 1
-    member = np.repeat(np.arange(len(count)), count)
-    before = columns["low"][member] + np.arange(len(member)) - np.repeat(np.cumsum(count) - count, count)
-    start = base[member] + columns["left"][member] - before
-    return member, before, _hashes(sums, start, start + length) ^ _mixed(columns["string"].view(np.uint64)[member] + before.astype(np.uint64))
+    return map_batches(docs.join(lists, ["doc_id", "body"]).select("doc_id", "body", "text", "anchors"), run, CONTEXTS)
 
 
 SPANS = "doc_id long, body long, start long, until long"
 
 
-def _match_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of the contexts' repeated windows.  Rows come dealt out and sorted by string."""
+def _match_contexts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Spans of the contexts' repeated windows.  Rows come dealt out by string, in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, members, first, last, ready = Levels(), [], {}, {}, 0
-
-        def spans(upto):
-            nonlocal ready
-            rows = [(members[m][0], members[m][1], members[m][2] - last[m], members[m][2] - first[m] + length) for m in range(ready, upto) if m in first]
-            for m in range(ready, upto):
-                first.pop(m, None), last.pop(m, None)
-                members[m] = None
-            ready = upto
-            cols = zip(*rows, strict=True) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "body", "start", "until"])
+        family, members = Family(length, gram), []
 
+        def add(held):
+            c = {k: np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("doc_id", "body", "at", "low", "high", "left")}
+            family.add([x for b in held for x in b.column("bytes").to_pylist()], c["left"], c["low"], c["high"])
+            members.append((c["doc_id"], c["body"], c["at"]))
+
+        held, n = [], 0
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(lo, BATCH)
-                c = {k: batch.column(k).to_numpy() for k in ("string", "doc_id", "body", "at", "low", "high", "n", "left")}
-                if members and c["string"][0] != members[-1][3]:
-                    family = Levels()
-                    yield spans(len(members))
-                member, before, keys = _windows(c, batch.column("bytes").to_pylist(), length)
-                offset = len(members)
-                members += zip(c["doc_id"].tolist(), c["body"].tolist(), c["at"].tolist(), c["string"].tolist(), strict=True)
-                last_string = c["string"] == c["string"][-1]  # may go on in the next batch
-                hit = family.add(keys, (member + offset) * 4096 + before, last_string[member])
-                if len(hit):
-                    owner, distance = np.divmod(np.unique(hit), 4096)
-                    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                    for m, d0, d1 in zip(owner[edge].tolist(), np.minimum.reduceat(distance, edge).tolist(), np.maximum.reduceat(distance, edge).tolist(), strict=True):
-                        first[m], last[m] = min(first.get(m, d0), d0), max(last.get(m, d1), d1)
-                if not last_string.all():
-                    done = offset + int(np.flatnonzero(~last_string)[-1]) + 1
-                    yield spans(done)
-                    family.levels = [(k[keep], o[keep]) for k, o in family.levels if (keep := o >= done * 4096).any()]
-        if len(members) > ready:
-            yield spans(len(members))
-
-    return contexts.select(*[f.split()[0] for f in CONTEXTS.split(", ")]).mapInArrow(run, SPANS)
+                held.append(whole.slice(lo, BATCH))
+                n += held[-1].num_rows
+                if n >= BATCH:
+                    add(held)
+                    held, n = [], 0
+        if held:
+            add(held)
+        if members:
+            hit = family.nearest >= 0
+            doc_id, body, at = (np.concatenate(c)[hit] for c in zip(*members, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id, body, at - family.farthest[hit], at - family.nearest[hit] + length)], ["doc_id", "body", "start", "until"])
+
+    return map_batches(contexts.select(*[f.split()[0] for f in CONTEXTS.split(", ")]), run, SPANS)
 
 
 def _match_hot(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for strings with very many contexts: a row for each window, counted by key."""
+    """The same for strings with very many contexts: a row for each window, counted by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH // 4):
-                batch = whole.slice(lo, BATCH // 4)
-                c = {k: batch.column(k).to_numpy() for k in ("string", "doc_id", "body", "at", "low", "high", "n", "left")}
-                member, before, keys = _windows(c, batch.column("bytes").to_pylist(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c["string"][member], keys.view(np.int64), c["doc_id"][member], c["body"][member], c["at"][member], before)], ["string", "key", "doc_id", "body", "at", "before"])
-
-    windows = contexts.mapInArrow(run, "string long, key long, doc_id long, body long, at long, before long")
-    again = windows.groupBy("string", "key").count().filter("count > 1").select("string", "key")
-    met = windows.join(again, ["string", "key"], "left_semi").groupBy("doc_id", "body", "at").agg(F.min("before").alias("low"), F.max("before").alias("high"))
+            for lo in range(0, whole.num_rows, BATCH // 16):
+                batch = whole.slice(lo, BATCH // 16)
+                rows: list[tuple] = []
+                for string, doc_id, body, at, low, high, left, data in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                    view = memoryview(data)
+                    rows += [(string, hashlib.blake2b(view[left - d : left - d + length], digest_size=16).digest(), doc_id, body, at, d) for d in range(low, high + 1)]
+                cols = list(zip(*rows, strict=True))
+                key = np.frombuffer(b"".join(cols[1]), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["string", "k0", "k1", "doc_id", "body", "at", "before"])
+
+    windows = map_batches(contexts.select(*[f.split()[0] for f in CONTEXTS.split(", ")]), run, "string long, k0 long, k1 long, doc_id long, body long, at long, before long")
+    again = windows.groupBy("string", "before", "k0", "k1").count().filter("count > 1").drop("count")
+    met = windows.join(again, ["string", "before", "k0", "k1"], "left_semi").groupBy("doc_id", "body", "at").agg(F.min("before").alias("low"), F.max("before").alias("high"))
     return met.select("doc_id", "body", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("until"))
 
 
@@ -309,24 +314,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """(doc_id, body, start, until) of keyed docs: spans of bytes, which may overlap, that cover what is repeated."""
     gram = max(1, length * 8 // 25)
     rows = materialise(_anchor_rows(docs, length, gram), "anchors")
-    settled = rows.filter("until >= 0").select("doc_id", "body", F.col("at").alias("start"), "until")
+    settled = materialise(rows.filter("until >= 0").select("doc_id", "body", F.col("at").alias("start"), "until"), "settled")
     anchors = rows.filter("until < 0").drop("until")
-    strings = anchors.groupBy("string").agg(F.sum("n").alias("all"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("all > 1")
-    several = materialise(anchors.join(strings.select("string", (F.col("c0") != F.col("c1")).alias("differ")), "string"), "repeated")
-    contexts = several.groupBy("string", "context").agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "body", "at", "low", "high")).alias("rep"), F.first("differ").alias("differ"))
+    strings = anchors.groupBy("string").agg(F.sum("n").alias("all"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c0", "c1") for f in (F.min, F.max)]).filter("all > 1")
+    differ = (F.col("min_c0") != F.col("max_c0")) | (F.col("min_c1") != F.col("max_c1"))
+    several = materialise(anchors.join(strings.select("string", differ.alias("differ")), "string"), "repeated")
+    discard(rows)
+    context = ["string", "c0", "c1"]
+    contexts = several.groupBy(*context).agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "body", "at", "low", "high")).alias("rep"), F.first("differ").alias("differ"))
     contexts = materialise(contexts, "contexts")
-    whole = several.filter("n < 2").join(contexts.filter("times > 1").select("string", "context"), ["string", "context"])
+    whole = several.filter("n < 2").join(contexts.filter("times > 1").select(*context), context)
     whole = whole.select("doc_id", "body", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("until"))
-    reps = contexts.filter("differ").select("string", F.col("times").alias("n"), "rep.*")
-    many = contexts.filter("differ").groupBy("string").count().filter(F.col("count") > hot).select("string")
-    spans = settled.unionByName(whole)
-    if many.isEmpty():
-        found = _contexts(docs, reps, length, gram)
-        return spans.unionByName(_match_contexts(found.repartition("string").sortWithinPartitions("string"), length))
-    many = materialise(many, "hot")
-    found = materialise(_contexts(docs, reps, length, gram), "bytes")
-    few = found.join(many, "string", "left_anti").repartition("string").sortWithinPartitions("string")
-    return spans.unionByName(_match_contexts(few, length)).unionByName(_match_hot(found.join(many, "string", "left_semi").repartition("doc_id", "at"), length))
+    spans = settled.unionByName(materialise(whole, "whole"))
+    discard(several)
+    reps = contexts.filter("differ").select("string", "rep.*")
+    sizes = materialise(reps.groupBy("string").count(), "sizes")
+    most, n = sizes.agg(F.max("count"), F.sum("count")).first()
+    tasks = max(1, -(-(n or 0) // FAMILY))
+    found = _contexts(docs, reps, length, gram)
+    if (most or 0) <= hot:
+        return spans.unionByName(_match_contexts(found.repartition(tasks, "string"), length, gram))
+    many, found = sizes.filter(F.col("count") > hot).select("string"), materialise(found, "bytes")
+    few = found.join(many, "string", "left_anti").repartition(tasks, "string")
+    return spans.unionByName(_match_contexts(few, length, gram)).unionByName(_match_hot(found.join(many, "string", "left_semi").repartition("doc_id", "at"), length))
 
 
 CUT = "doc_id long, no_id boolean, n_bytes long, spans array<struct<start:long,until:long>>, kept binary"
@@ -358,14 +368,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     rows.append((doc_id.as_py(), no_id.as_py(), len(data), [{"start": a, "until": b} for a, b in gone], kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    cut = keyed.join(lists, ["doc_id", "body"], "left").select("doc_id", "no_id", "text", "spans").mapInArrow(run, CUT)
+    cut = map_batches(keyed.join(lists, ["doc_id", "body"], "left").select("doc_id", "no_id", "text", "spans"), run, CUT)
     return cut.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "spans", "kept")
 
 
 def op10_suffix_dedup(spark, sf_dir):
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["until"] - s["start"])
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))  # a span may cut a character
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left.alias("text"))
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.llm import common, exact_dedup, language_id, mixing, packing, quality, records, tokens, topk, url_filter
+from sylvan.llm import common, exact_dedup, language_id, mixing, ngram_jaccard, packing, quality, records, suffix_dedup, tokens, topk, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -67,8 +67,34 @@ def test_merge_rounds_keep_the_best(spark):
     assert got == {i: i % 7 for i in range(300)}
 
 
+@pytest.mark.parametrize("size", [40, 200_000])
+def test_runs_are_sorted_slices_of_one_record_a_digest(spark, monkeypatch, size):
+    monkeypatch.setattr(exact_dedup, "SLICE", size)
+    docs = spark.range(900).select("id", F.concat(F.lit("t"), (F.col("id") % 250).cast("string")).alias("text")).repartition(30)
+    runs = common.materialise(exact_dedup.digest_runs(docs, "id"), "digests")
+    for df, most in ((exact_dedup.leaf_runs(runs, 5), 30), (exact_dedup.merge_round(exact_dedup.leaf_runs(runs, 5), 4, 7, 9), 8)):
+        ranges = defaultdict(list)
+        for r in df.collect():
+            x = np.frombuffer(r.records, exact_dedup.RECORD)
+            assert (x["key"][1:] > x["key"][:-1]).all()
+            ranges[r.run].append((x["key"][0], x["key"][-1], int(x["size"].sum())))
+        assert len(ranges) <= most and sum(n for own in ranges.values() for _, _, n in own) == 900
+        for own in ranges.values():
+            own.sort()
+            assert all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+    found = exact_dedup.merge_runs(runs, 30, 3).collect()
+    assert sorted((r.keep_id, r.group_size) for r in found) == [(i, 4 if i < 150 else 3) for i in range(250)]
+
+
+def test_ids_are_whole_numbers(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for call in (exact_dedup.exact_groups, ngram_jaccard.similar_groups, suffix_dedup.remove_repeats):
+        with pytest.raises(TypeError, match="whole numbers"):
+            call(docs)
+
+
 def test_urls_against_rules(spark):
-    urls = ["http://a.ORG/x", "https://example.org/es/1", "https://www.example.org/en/17?q", "http://example.org/en/2", "http://x.com/fr/", "http://com/de/1", "http://xcom/de/1", "ftp://org", "http://org/", None, "", "no scheme", "a://b.org:80/", "http://É.org/#y", "http://a.org/b://c.com/de/", "x" * 9000 + "://q.com/fr/" + "y" * 9000, "http://a.org/x"]
+    urls = ["http://a.ORG/x", "https://example.org/es/1", "https://www.example.org/en/17?q", "http://example.org/en/2", "http://x.com/fr/", "http://com/de/1", "http://xcom/de/1", "ftp://org", "http://org/", None, "", "no scheme", "a://b.org:80/", "http://É.org/#y", "http://a.org/b://c.com/de/", "x" * 9000 + "://q.com/fr/" + "y" * 9000, "http://a.org/x", "http://" + "l." * 5000 + "org/"]
     pages = spark.createDataFrame([(i if i != 3 else None, u, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string, key string")
 
     def judge(url):
@@ -138,6 +164,22 @@ def test_memory_turns_over(monkeypatch, library):
         assert enc.ids([text])[0] == np.array(library[BYTE].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_vocabularies_go_through_the_library(tmp_path, library):
+    """A split that isn't one of the two known ones: ids are the library's all the same."""
+    import json
+
+    d = json.load(open(BYTE))
+    d["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, d["pre_tokenizer"]]}
+    path = tmp_path / "digits.json"
+    path.write_text(json.dumps(d))
+    from tokenizers import Tokenizer
+
+    enc, own = tokens.Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert not enc.split and tokens.Encoder(BYTE).split and tokens.Encoder(WORD).split
+    for text in ("in 1984 or 20250", "x12y", ""):
+        assert enc.ids([text])[0] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def pieces_of(library, end):
     return Counter(zlib.crc32(np.array([*library[BYTE].encode(r[1] or "", add_special_tokens=False).ids, end], "<u4").tobytes()) for r in odd_rows())
 
@@ -271,7 +313,8 @@ def test_records(spark, odd, library, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "SHARD_BYTES", 100_000)
     path = records.write_records(odd, f"file://{tmp_path}/r", WORD)
     got = records.record_digests(spark, path).orderBy("start").collect()
-    order = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    hashed = dict(odd.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect())
+    order = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]]))
     at = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = np.array([*library[WORD].encode(t, add_special_tokens=False).ids, 2], "<u4")
@@ -285,8 +328,17 @@ def test_records(spark, odd, library, tmp_path, monkeypatch):
     for k in (0, 9, one.size // 2, one.size - 2):
         broken = bytearray(shard[one.offset : one.offset + one.size])
         broken[k] ^= 1
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises(ValueError, match="checksum|cut off"):
             list(records.frames(bytes(broken)))
+    for k in (5, 13, one.size - 1):
+        with pytest.raises(ValueError, match="cut off"):
+            list(records.frames(shard[one.offset : one.offset + k]))
+    wanted = spark.createDataFrame([(r.file, r.offset, k) for k, r in enumerate(reversed(index))], "file string, offset long, position long")
+    met = {r.position: (r.doc_id, r.n_tokens) for r in records.read_at(spark, path, wanted).collect()}
+    assert met == {k: (r.doc_id, r.n_tokens) for k, r in enumerate(reversed(index))}
+    a, b = ([(r.position, r.doc_id, zlib.crc32(r.ids)) for r in records.shuffled_records(spark, path, s).collect()] for s in (1, 2))
+    crcs = Counter(r.ids_crc32 for r in got)
+    assert a == sorted(a, key=lambda r: r[0]) and Counter(x[2] for x in a) == Counter(x[2] for x in b) == crcs and [x[2] for x in a] != [x[2] for x in b]
     empty = records.write_records(odd.limit(0), f"file://{tmp_path}/e", WORD)
     assert records.record_digests(spark, empty).count() == 0
 
@@ -323,3 +375,19 @@ def test_bloom_has_no_false_negatives(spark):
     inside = np.array([r.h for r in df.collect()])
     assert common.bloom_passes(words, inside).all()
     assert common.bloom_passes(words, np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 20_000)).mean() < 0.1
+
+
+def test_short_vectors_stay_out(spark, monkeypatch):
+    """Small blocks and few known vectors: groups that cannot hold an answer are dropped before the join, and results stay whole."""
+    r = np.random.default_rng(8)
+    vectors = [[float(x) for x in v] for v in r.normal(size=(3000, 8)) * np.where(np.arange(3000) < 300, 10.0, 0.01)[:, None]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    for name, value in (("LEAST_BLOCK", 100), ("HEAD", 200), ("QUERIES", 7)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_products(df, F.col("vec_id") % 50 == 0).collect()
+    v = np.floor(256 * np.array(vectors)).astype(np.int64)
+    want = []
+    for i in range(0, 3000, 50):
+        s = sorted((-int(v[i] @ v[j]), j) for j in range(3000) if j != i)[:5]
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
