@@ -119,6 +119,17 @@ def missing_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("?"))
 
 
+def in_base(n: int, base: int = 10) -> str:
+    """A whole number in base 2 to 36, with a minus sign below 0."""
+    if not 2 <= base <= 36:
+        raise ValueError(f"base {base}")
+    digits, rest = "", abs(n)
+    while rest or not digits:
+        rest, d = divmod(rest, base)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
+    return "-" + digits if n < 0 else digits
+
+
 def first_digit_place(x: float) -> int:
     """Place after the point of the first significant digit of 0 < x < 1."""
     return math.ceil(-math.log10(x) - 1e-12)

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def ranked_values(df: DataFrame, attr: str) -> DataFrame:
     """(val, n, first): distinct values (missing last), their counts, and the index of their first row in order."""
     counts = df.groupBy(F.col(attr).cast("double").alias("val")).agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("val").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row a distinct value
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    known = running(counts.filter("val IS NOT NULL"), [], "val", ["n"]).select("val", "n", F.col("n_before").alias("first"))
+    present = counts.filter("val IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)))
+    return known.unionByName(counts.filter("val IS NULL").withColumn("first", present.scalar()))
 
 
 def quantile_points(df: DataFrame, attr: str, q: int) -> DataFrame:
@@ -41,12 +44,17 @@ def effect(points: DataFrame, attr: str, features: list[str], score) -> DataFram
     return probe.select(F.col(attr).alias("val"), "n", score.alias("pred"))
 
 
-def joint_effect(points1: DataFrame, points2: DataFrame, attr1: str, attr2: str, features: list[str], score, fixed: dict[str, float] | None = None) -> DataFrame:
-    """(val1, val2, pred) on the grid of two features' points, other features missing or fixed.  Points are a few dozen a feature."""
+def joint_points(points1: DataFrame, points2: DataFrame, attr1: str, attr2: str, features: list[str], fixed: dict[str, float] | None = None) -> DataFrame:
+    """All features on the grid of two features' points, other features missing or fixed.  Points are a few dozen a feature."""
     second = [r["val"] for r in points2.select("val").collect()]
     grid = points1.select(F.col("val").alias(attr1), F.explode(F.array(*[F.lit(v).cast("double") for v in second])).alias(attr2))
     fixed = fixed or {}
-    probe = grid.select("*", *[F.lit(fixed.get(f)).cast("double").alias(f) for f in features if f not in (attr1, attr2)])
+    return grid.select("*", *[F.lit(fixed.get(f)).cast("double").alias(f) for f in features if f not in (attr1, attr2)])
+
+
+def joint_effect(points1: DataFrame, points2: DataFrame, attr1: str, attr2: str, features: list[str], score, fixed: dict[str, float] | None = None) -> DataFrame:
+    """(val1, val2, pred) on the grid of joint_points."""
+    probe = joint_points(points1, points2, attr1, attr2, features, fixed)
     return probe.select(F.col(attr1).alias("val1"), F.col(attr2).alias("val2"), score.alias("pred"))
 
 

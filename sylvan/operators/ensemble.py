@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import numbered, stored
@@ -67,10 +67,9 @@ def boosted_trees(train: DataFrame, key: str, features: list[str], rounds: int =
     return every, state.join(rows.select("row_no", key), "row_no")
 
 
-def boosting_curve(rows: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
-    """(tree, rmse) of the first trees together."""
+def boosting_curve(rows: DataFrame, nodes: DataFrame, features: list[str], metric: str = "rmse") -> DataFrame:
+    """(tree, rmse or auc) of the first trees together."""
     per = tree_predictions(rows, nodes, features)
-    from pyspark.sql import Window
-
-    total = per.select("row_no", "tree", F.sum("pred").over(Window.partitionBy("row_no").orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)).alias("pred"))
-    return metrics.rmse(total.join(rows.select("row_no", "y", "w"), "row_no"), ["tree"])
+    sofar = Window.partitionBy("row_no").orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)
+    both = per.select("row_no", "tree", F.sum("pred").over(sofar).alias("pred")).join(rows.select("row_no", "y", "w"), "row_no")
+    return metrics.rmse(both, ["tree"]) if metric == "rmse" else metrics.roc_auc(both, ["tree"])

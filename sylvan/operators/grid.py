@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,8 @@ CELLS = "bag long, tig_no int, alpha_no int, n int, alpha double, from_below boo
 
 @dataclass(frozen=True)
 class GridRun:
-    """cells: a row for each bag, cell and scored row (bag, tig_no, alpha_no, n, alpha, from_below, key, pred); nodes: its trees."""
+    """cells: a row for each bag, cell and scored row (bag, tig_no, alpha_no, n, alpha, from_below, key, pred); nodes: its trees; turns: in fast
+    mode, whether a cell grows from the one below, by (tig_no, alpha_no)."""
 
     cells: DataFrame
     nodes: DataFrame
@@ -27,57 +29,85 @@ class GridRun:
     trees: int
     bags: int
     mode: str
+    turns: dict[tuple[int, int], bool] | None = None
 
 
-def _tree_rows(bag: int, t: int, a: int, grove: kernel.Grove, names: list[str]) -> list[tuple]:
+def tree_rows(bag: int, t: int, a: int, grove: kernel.Grove, names: list[str]) -> list[tuple]:
+    """(bag, tig_no, alpha_no, tree, node_id, attr, border, missing_l, value) of a grove's nodes."""
     out = []
     for k, tree in enumerate(grove.trees):
         todo = [(0, "1")]
         while todo:
             i, node = todo.pop()
             leaf = tree.attr[i] < 0
-            out.append((bag, t, a, k, node, None if leaf else names[tree.attr[i]], None if leaf or np.isnan(tree.border[i]) else tree.border[i], None if leaf else tree.missing_l[i], tree.value[i] if leaf else None))
+            out.append((int(bag), t, a, k, node, None if leaf else names[tree.attr[i]], None if leaf or np.isnan(tree.border[i]) else float(tree.border[i]), None if leaf else float(tree.missing_l[i]), float(tree.value[i]) if leaf else None))
             if not leaf:
                 todo += [(tree.left[i], node + "0"), (tree.right[i], node + "1")]
     return out
 
 
-def _directions(rows: DataFrame, features: list[str], alpha: float, trees: int, seed: int, booleans: list[str]) -> dict[tuple[int, int], bool]:
-    """Fast mode: the first bag tries both ways and decides for all."""
+NODES = "array<struct<bag:long,tig_no:int,alpha_no:int,tree:int,node_id:string,attr:string,border:double,missing_l:double,value:double>>"
 
-    def work(data, pdf):
-        return pd.DataFrame([(t, a, below) for t, a, below, _, _, _ in kernel.grid(data, alpha, trees)], columns=["t", "a", "below"])
 
-    first = kernel.per_bag(rows, 1, features, "t int, a int, below boolean", work, seed, booleans)
-    return {(r["t"], r["a"]): r["below"] for r in first.collect()}  # a flag a cell
+def _known(data: kernel.BagData, names: list[str], edge: pd.DataFrame, tigs: int, alphas: int) -> dict[tuple[int, int], kernel.Grove | None]:
+    """The cells that a bag has already, with the groves of those at the edge; none for a new bag."""
+    if not len(edge):
+        return {}
+    known: dict = {(t, a): None for t in range(tigs) for a in range(alphas)}
+    for (t, a), own in edge.groupby(["tig_no", "alpha_no"]):
+        grove = kernel.Grove(data, tree_count(int(t)))
+        for k, rows in own.groupby("tree"):
+            rows = rows.astype(object).where(rows.notna(), None)
+            grove.trees[int(k)] = kernel.Tree.of_nodes(list(rows[["node_id", "attr", "border", "missing_l", "value"]].itertuples(index=False, name=None)), names)
+        grove.single = [tree.predict(data.x) for tree in grove.trees]
+        known[int(t), int(a)] = grove
+    return known
 
 
-def train_grid(rows: DataFrame, features: list[str], alpha: float = 0.01, trees: int = 8, bags: int = 60, mode: str = "fast", seed: int = 1, booleans: list[str] = (), first_bag: int = 0, skip: set[tuple[int, int]] = frozenset()) -> GridRun:
-    """rows: key, y, w, features, set (train or valid).  All cells up to (alpha, trees), all bags in parallel."""
+def _edge(run: GridRun) -> tuple[DataFrame, int, int]:
+    """(nodes of the cells that further ones start from, numbers of trees, alphas) of a run."""
+    top = run.cells.agg(F.max("tig_no"), F.max("alpha_no")).first()
+    nodes = run.nodes.filter((F.col("tig_no") == top[0]) | (F.col("alpha_no") == top[1]))
+    return nodes.select("bag", "tig_no", "alpha_no", "tree", "node_id", "attr", "border", "missing_l", "value"), top[0] + 1, top[1] + 1
+
+
+def _directions(rows: DataFrame, features: list[str], alpha: float, trees: int, seed: int, booleans: list[str], prior: GridRun | None) -> dict[tuple[int, int], bool]:
+    """Fast mode: the first bag tries both ways and decides for all.  What a prior run has decided stays."""
+    edge, tigs, alphas = _edge(prior) if prior else (None, 0, 0)
+
+    def work(data, pdf, *more):
+        known = _known(data, features, more[0], tigs, alphas) if more else None
+        return pd.DataFrame([(t, a, below) for t, a, below, _, _, _ in kernel.grid(data, alpha, trees, known=known)], columns=["t", "a", "below"])
+
+    first = kernel.per_bag(rows, 1, features, "t int, a int, below boolean", work, seed, booleans, nodes=edge.filter("bag = 0") if prior else None)
+    return {**((prior.turns or {}) if prior else {}), **{(r["t"], r["a"]): r["below"] for r in first.collect()}}  # a flag a cell
+
+
+def train_grid(rows: DataFrame, features: list[str], alpha: float = 0.01, trees: int = 8, bags: int = 60, mode: str = "fast", seed: int = 1, booleans: list[str] = (), prior: GridRun | None = None) -> GridRun:
+    """rows: key, y, w, features, set (train or valid).  All cells up to (alpha, trees), all bags in parallel; of a bag that a prior run has, only the
+    cells that it lacks, grown on from those at its edge."""
     names = list(features)
-    turns = _directions(rows, names, alpha, trees, seed, booleans) if mode == "fast" else None
+    turns = _directions(rows, names, alpha, trees, seed, booleans, prior) if mode == "fast" else None
+    edge, tigs, depth = _edge(prior) if prior else (None, 0, 0)
 
-    def work(data, pdf):
-        data.bag += first_bag
+    def work(data, pdf, *more):
         scored = pdf[pdf["set"] == "valid"]
         xv, keys, out = scored[names].to_numpy(float), scored["key"].to_numpy(), []
         steps = alpha_steps(alpha, len(data.y))
-        for t, a, below, _, _, grove in kernel.grid(data, alpha, trees, mode, turns):
+        known = _known(data, names, more[0], tigs, depth) if more else None
+        for t, a, below, _, _, grove in kernel.grid(data, alpha, trees, mode, turns, known):
             pred = np.sum([tree.predict(xv) for tree in grove.trees], axis=0)
             value = alpha_value(a) if a < steps - 1 else alpha
-            if (t, a) in skip:
-                continue
             part = pd.DataFrame({"bag": data.bag, "tig_no": t, "alpha_no": a, "n": tree_count(t), "alpha": value, "from_below": below, "key": keys, "pred": pred, "nodes": None})
-            trees_of = pd.DataFrame(_tree_rows(data.bag, t, a, grove, names), columns=["bag", "t", "a", "tree", "node_id", "attr", "border", "missing_l", "value"])
-            part.loc[len(part)] = [data.bag, t, a, tree_count(t), value, below, -1, 0.0, trees_of.to_json(orient="values")]
+            part.loc[len(part)] = [data.bag, t, a, tree_count(t), value, below, -1, 0.0, json.dumps(tree_rows(data.bag, t, a, grove, names))]
             out.append(part)
-        return pd.concat(out, ignore_index=True)
+        columns = [c.split()[0] for c in CELLS.split(", ")]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns})
 
-    done = stored(kernel.per_bag(rows, bags, names, CELLS, work, seed, booleans))
-    schema = "array<struct<bag:long,tig_no:int,alpha_no:int,tree:int,node_id:string,attr:string,border:double,missing_l:double,value:double>>"
+    done = stored(kernel.per_bag(rows, bags, names, CELLS, work, seed, booleans, nodes=edge))
     raw = done.filter("nodes IS NOT NULL").select(F.explode(F.from_json("nodes", "array<array<string>>")).alias("x"))
-    nodes = raw.select(*[F.col("x")[k].cast(f.dataType).alias(f.name) for k, f in enumerate(_node_fields(schema))])
-    return GridRun(done.filter("nodes IS NULL").drop("nodes"), nodes, seed, alpha, trees, bags, mode)
+    nodes = raw.select(*[F.col("x")[k].cast(f.dataType).alias(f.name) for k, f in enumerate(_node_fields(NODES))])
+    return GridRun(done.filter("nodes IS NULL").drop("nodes"), nodes, seed, alpha, trees, bags, mode, turns)
 
 
 def _node_fields(schema: str):
@@ -101,21 +131,12 @@ def surface(run: GridRun, truth: DataFrame, metric: str = "rmse") -> DataFrame:
 
 
 def expand_grid(run: GridRun, rows: DataFrame, features: list[str], alpha: float | None = None, trees: int | None = None, bags: int | None = None, booleans: list[str] = ()) -> GridRun:
-    """A larger grid or more bags.  Cells that exist are kept and only the missing ones are added; new bags get new draws."""
-    alpha, trees, bags = run.alpha if alpha is None else alpha, trees or run.trees, bags or run.bags
-    cells, nodes = run.cells, run.nodes
-    if alpha != run.alpha or trees != run.trees:
-        more = train_grid(rows, features, alpha, trees, run.bags, run.mode, run.seed, booleans)
-        have = cells.select("bag", "tig_no", "alpha_no", "alpha").distinct()
-        fresh = more.cells.join(have, ["bag", "tig_no", "alpha_no", "alpha"], "left_anti")
-        kept = more.cells.select("bag", "tig_no", "alpha_no", "alpha").distinct()
-        cells = cells.join(kept, ["bag", "tig_no", "alpha_no", "alpha"], "left_semi").unionByName(fresh)
-        new = fresh.select("bag", "tig_no", "alpha_no").distinct()
-        nodes = nodes.join(new, ["bag", "tig_no", "alpha_no"], "left_anti").unionByName(more.nodes.join(new, ["bag", "tig_no", "alpha_no"], "left_semi"))
-    if bags > run.bags:
-        more = train_grid(rows, features, alpha, trees, bags - run.bags, run.mode, run.seed + 10_000, booleans, first_bag=run.bags)
-        cells, nodes = cells.unionByName(more.cells), nodes.unionByName(more.nodes)
-    return GridRun(stored(cells), stored(nodes), run.seed, alpha, trees, bags, run.mode)
+    """A larger grid or more bags.  Only missing cells are trained: a bag of the run goes on from the groves at its edge, and new bags
+    get all cells.  Draws hang on seed, bag and cell, so that the result is that of training everything at once."""
+    alpha = run.alpha if alpha is None else min(alpha, run.alpha)
+    trees, bags = max(trees or 0, run.trees), max(bags or 0, run.bags)
+    more = train_grid(rows, features, alpha, trees, bags, run.mode, run.seed, booleans, run)
+    return GridRun(stored(run.cells.unionByName(more.cells)), stored(run.nodes.unionByName(more.nodes)), run.seed, alpha, trees, bags, run.mode, more.turns)
 
 
 def merge_runs(runs: list[GridRun]) -> GridRun:

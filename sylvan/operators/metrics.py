@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round_two_digits, tree_count, tree_count_steps
+from .prefix import running
 
 
 class RocError(ValueError):
@@ -13,9 +14,9 @@ class RocError(ValueError):
 
 
 def weighted_std(df: DataFrame, target: str = "y", weight: str = "w") -> DataFrame:
-    """Population standard deviation of the target by weight, in two passes."""
-    mean = df.agg((F.sum(F.col(weight) * F.col(target)) / F.sum(weight)).alias("m")).first()["m"]
-    return df.agg(F.sqrt(F.sum(F.col(weight) * F.pow(F.col(target) - F.lit(mean), 2)) / F.sum(weight)).alias("std"))
+    """Population standard deviation of the target by weight, in two passes; null where the weights add up to 0."""
+    mean = df.agg(F.try_divide(F.sum(F.col(weight) * F.col(target)), F.sum(weight)).alias("m")).first()["m"]
+    return df.agg(F.sqrt(F.try_divide(F.sum(F.col(weight) * F.pow(F.col(target) - F.lit(mean).cast("double"), 2)), F.sum(weight))).alias("std"))
 
 
 def error(pred: str = "pred", target: str = "y"):
@@ -26,18 +27,20 @@ def error(pred: str = "pred", target: str = "y"):
 
 
 def rmse(df: DataFrame, by: list[str] = (), pred: str = "pred", target: str = "y", weight: str = "w") -> DataFrame:
+    """(by…, rmse); null where the weights add up to 0."""
     e = error(pred, target)
-    return df.groupBy(*by).agg(F.sqrt(F.sum(F.col(weight) * e * e) / F.sum(weight)).alias("rmse"))
+    return df.groupBy(*by).agg(F.sqrt(F.try_divide(F.sum(F.col(weight) * e * e), F.sum(weight))).alias("rmse"))
 
 
 def roc_auc(df: DataFrame, by: list[str] = (), pred: str = "pred", target: str = "y", weight: str = "w") -> DataFrame:
-    """(by…, auc): weighted, labels in [0, 1]; ties share their mean label.  Tied scores are one row before any window."""
+    """(by…, auc): weighted, labels in [0, 1]; ties share their mean label; null where a group's labels are all 0 or all 1.  Tied scores are one
+    row before any sum, and sums run in two levels."""
     by = list(by)
     w, y = F.col(weight).cast("double"), F.col(target).cast("double")
-    ties = df.groupBy(*by, F.col(pred).alias("_p")).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    t = ties.withColumn("before", F.coalesce(F.sum("pos").over(above), F.lit(0.0)))
-    return t.groupBy(*by).agg((F.sum(F.col("neg") * (F.col("before") + F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    ties = df.groupBy(*by, F.col(pred).cast("double").alias("_p")).agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"))
+    t = running(ties, by, "_p", ["pos", "neg"])
+    above = F.col("pos_all") - F.col("pos_before") - F.col("pos")
+    return t.groupBy(*by).agg(F.try_divide(F.sum(F.col("neg") * (above + F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def check_labels(df: DataFrame, target: str = "y") -> None:

@@ -78,49 +78,57 @@ def ensemble_expression(nodes: DataFrame) -> Column:
 
 
 def tree_code(nodes: Iterable[dict], name: str = "predict") -> str:
-    """A tree as a Python function of a dict of values."""
-    by = {n["node_id"]: n for n in nodes}
-    lines = [f"def {name}(x):"]
-
-    def walk(i: str, pad: str) -> None:
-        n = by[i]
+    """A tree as Python functions of a dict of values, one a node; a missing value goes both ways in the node's proportion."""
+    lines: list[str] = []
+    for n in sorted(nodes, key=lambda n: (-len(n["node_id"]), n["node_id"])):
+        i = n["node_id"]
+        of = f"{name}_{i}" if i != "1" else name
         if n["attr"] is None:
-            lines.append(f"{pad}return {float(n['value'])!r}")
-            return
-        test = f"x[{n['attr']!r}] is not None" if n["border"] is None else f"x[{n['attr']!r}] <= {float(n['border'])!r}"
-        lines.append(f"{pad}if {test}:")
-        walk(i + "0", pad + "    ")
-        lines.append(f"{pad}else:")
-        walk(i + "1", pad + "    ")
-
-    walk("1", "    ")
+            lines += [f"def {of}(x):", f"    return {float(n['value'])!r}"]
+            continue
+        left, right = f"{name}_{i}0(x)", f"{name}_{i}1(x)"
+        lines += [f"def {of}(x):", f"    v = x.get({n['attr']!r})"]
+        if n["border"] is None:
+            lines.append(f"    return {right} if v is None else {left}")
+        else:
+            p = float(n["missing_l"])
+            lines += ["    if v is None:", f"        return {p!r} * {left} + {1 - p!r} * {right}", f"    return {left} if v <= {float(n['border'])!r} else {right}"]
     return "\n".join(lines) + "\n"
 
 
 RECURSIVE = """
 WITH RECURSIVE walk(row_no, node_id, share) AS (
-  SELECT row_no, '1', CAST(1.0 AS DOUBLE) FROM long_rows GROUP BY row_no
+  SELECT row_no, '1', CAST(1.0 AS DOUBLE) FROM {long_rows} GROUP BY row_no
   UNION ALL
   SELECT w.row_no, concat(w.node_id, side.s),
          w.share * CASE WHEN n.border IS NULL THEN CASE WHEN (l.val IS NULL) = (side.s = 1) THEN 1.0 ELSE 0.0 END
                         WHEN l.val IS NULL THEN CASE WHEN side.s = 0 THEN n.missing_l ELSE 1.0 - n.missing_l END
                         WHEN (l.val <= n.border) = (side.s = 0) THEN 1.0 ELSE 0.0 END
-  FROM walk w JOIN nodes n ON n.node_id = w.node_id AND n.attr IS NOT NULL
-       JOIN long_rows l ON l.row_no = w.row_no AND l.attr = n.attr
+  FROM walk w JOIN {nodes} n ON n.node_id = w.node_id AND n.attr IS NOT NULL
+       JOIN {long_rows} l ON l.row_no = w.row_no AND l.attr = n.attr
        JOIN (SELECT 0 AS s UNION ALL SELECT 1 AS s) side ON w.share > 0
 )
 SELECT w.row_no, sum(w.share * n.value) AS pred
-FROM walk w JOIN nodes n ON n.node_id = w.node_id AND n.attr IS NULL GROUP BY w.row_no
+FROM walk w JOIN {nodes} n ON n.node_id = w.node_id AND n.attr IS NULL GROUP BY w.row_no
 """
 
 
 def recursive_predictions(spark: SparkSession, long_rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(row_no, pred) of one tree by a recursive query; long_rows: row_no, attr, val."""
+    """(row_no, pred) of one tree by a recursive query; long_rows: row_no, attr, val.  Lifts the session's limits on recursion, which count
+    rows and levels of all queries."""
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
-    long_rows.createOrReplaceTempView("long_rows")
-    nodes.createOrReplaceTempView("nodes")
-    return spark.sql(RECURSIVE)
+    return spark.sql(RECURSIVE, long_rows=long_rows, nodes=nodes)
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file on any file system that Spark knows."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
 
 
 def write_model(nodes: DataFrame, path: str, alpha: float, trees: int, mode: int = 0, directions: list[bool] | None = None, attrs: list[str] = ()) -> None:
@@ -130,27 +138,27 @@ def write_model(nodes: DataFrame, path: str, alpha: float, trees: int, mode: int
     groups: dict[tuple, dict] = {}
     for r in with_tree(nodes).collect():
         groups.setdefault((r["bag"], r["tree"]), {})[r["node_id"]] = r
-    with open(path, "wb") as out:
-        out.write(struct.pack("<i", mode))
-        if mode == 1:
-            flags = directions or []
-            out.write(struct.pack("<i", len(flags)) + bytes(flags))
-        out.write(struct.pack("<id", trees, alpha))
-        for key in sorted(groups):
-            stack = ["1"]
-            while stack:
-                i = stack.pop()
-                n = groups[key][i]
-                if n["attr"] is None:
-                    out.write(struct.pack("<?d", True, n["value"]))
-                else:
-                    out.write(struct.pack("<?idd", False, number[n["attr"]], float("nan") if n["border"] is None else n["border"], n["missing_l"]))
-                    stack += [i + "1", i + "0"]
+    out = [struct.pack("<i", mode)]
+    if mode == 1:
+        flags = directions or []
+        out.append(struct.pack("<i", len(flags)) + bytes(flags))
+    out.append(struct.pack("<id", trees, alpha))
+    for key in sorted(groups):
+        stack = ["1"]
+        while stack:
+            i = stack.pop()
+            n = groups[key][i]
+            if n["attr"] is None:
+                out.append(struct.pack("<?d", True, n["value"]))
+            else:
+                out.append(struct.pack("<?idd", False, number[n["attr"]], float("nan") if n["border"] is None else n["border"], n["missing_l"]))
+                stack += [i + "1", i + "0"]
+    _put(nodes.sparkSession, path, b"".join(out))
 
 
 def read_model(spark: SparkSession, path: str, attrs: list[str]) -> tuple[dict, DataFrame]:
     """(header, node table) of a file of write_model."""
-    data = open(path, "rb").read()
+    data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
     (mode,), at = struct.unpack_from("<i", data), 4
     header: dict = {"mode": mode, "directions": []}
     if mode == 1:

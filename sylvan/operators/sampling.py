@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,32 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 8), 16, 10).cast("long")
 
 
+#: From this many rows on, a bag that draws every row is beyond all chance (below 1e-26).
+SMALL = 64
+
+
+def _attempts(rows: int, bags: int, seed: int) -> dict[int, str]:
+    """Names of the bags whose first draw would leave no row out, and which are drawn anew for that."""
+    out = {}
+    for bag in range(bags) if 1 < rows < SMALL else ():
+        for k in count():
+            name = f"{bag}.{k}" if k else str(bag)
+            drawn = {int(rows * (int(hashlib.md5(f"{seed}-{name}-{d}".encode()).hexdigest()[:8], 16) / DRAWS)) for d in range(rows)}
+            if len(drawn) < rows:
+                break
+        if k:
+            out[bag] = name
+    return out
+
+
 def bootstrap_draws(spark: SparkSession, rows: int, bags: int, seed: int = 1) -> DataFrame:
-    """(bag, draw, row_no): ``rows`` draws with replacement for each bag.  All rows are equally likely, the last one too."""
+    """(bag, draw, row_no): ``rows`` draws with replacement for each bag.  All rows are equally likely, the last one too; a bag that would leave no
+    row out is drawn anew."""
     d = spark.range(bags * rows).select((F.col("id") / rows).cast("long").alias("bag"), (F.col("id") % rows).alias("draw"))
-    u = hash_number(F.lit(seed).cast("string"), F.col("bag").cast("string"), F.col("draw").cast("string")) / F.lit(DRAWS)
+    name = F.col("bag").cast("string")
+    for bag, again in _attempts(rows, bags, seed).items():
+        name = F.when(F.col("bag") == bag, F.lit(again)).otherwise(name)
+    u = hash_number(F.lit(seed).cast("string"), name, F.col("draw").cast("string")) / F.lit(DRAWS)
     return d.withColumn("row_no", F.floor(F.lit(float(rows)) * u).cast("long"))
 
 
@@ -31,12 +56,6 @@ def out_of_bag(row_numbers: DataFrame, draws: DataFrame, bags: int) -> DataFrame
     return every.join(draws.select("bag", "row_no").distinct(), ["bag", "row_no"], "left_anti")
 
 
-def usable_bags(out: DataFrame, bags: int) -> list[int]:
-    """Bags with at least one row out of them; the others are drawn anew with another seed."""
-    have = {r[0] for r in out.select("bag").distinct().collect()}
-    return [b for b in range(bags) if b in have]
-
-
 def subsample(df: DataFrame, key: str, n: int, seed: int = 1, bags: int = 1) -> DataFrame:
     """``n`` rows a bag without replacement: those with the least hash.  Each range of hashes is ranked alone and only its first n rows
     meet in the end."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 TINY = 1e-10
 
 
@@ -39,15 +41,15 @@ def missing_score(v1: Column, s1: Column, v2: Column, s2: Column, vm: Column, sm
 
 def candidates(block: DataFrame, keys: list[str], booleans: list[str] | None = None) -> DataFrame:
     """(keys, attr, border, missing_l, eval) of every border, and of "present left, missing right" (border null).  A border between two
-    blocks that are pure and equal is skipped, except for booleans."""
-    group = Window.partitionBy(*keys, "attr")
-    run = group.orderBy("val").rowsBetween(Window.unboundedPreceding, -1)
-    prev = group.orderBy("val")
+    blocks that are pure and equal is skipped, except for booleans.  Sums run in two levels, so that an attribute with as many
+    values as rows is no single task."""
     gone = F.col("val").isNull()
-    b = block.select("*", F.coalesce(F.sum(F.when(gone, F.col("v"))).over(group), F.lit(0.0)).alias("vm"), F.coalesce(F.sum(F.when(gone, F.col("s"))).over(group), F.lit(0.0)).alias("sm"), F.coalesce(F.sum(F.when(~gone, F.col("v"))).over(group), F.lit(0.0)).alias("vp"), F.coalesce(F.sum(F.when(~gone, F.col("s"))).over(group), F.lit(0.0)).alias("sp"))
-    one = b.select(*keys, "attr", "vm", "sm", "vp", "sp").dropDuplicates([*keys, "attr"]).filter(f"vm > {TINY} AND vp > {TINY}")
-    apart = one.select(*keys, "attr", F.lit(None).cast("double").alias("border"), F.lit(0.0).alias("missing_l"), (-F.col("sp") * F.col("sp") / F.col("vp") - F.col("sm") * F.col("sm") / F.col("vm")).alias("eval"))
-    p = b.filter(~gone).select(*keys, "attr", "val", "lo", "hi", "vm", "sm", "vp", "sp", F.sum("v").over(run).alias("v1"), F.sum("s").over(run).alias("s1"), *[F.lag(c).over(prev).alias(f"last_{c}") for c in ("val", "lo", "hi")])
+    missing = block.filter(gone).select(*keys, "attr", F.col("v").alias("vm"), F.col("s").alias("sm"))  # a row at most for each attribute of a node
+    run = running(block.filter(~gone), [*keys, "attr"], "val", ["v", "s"], ["val", "lo", "hi"], ["attr"])
+    run = run.withColumnsRenamed({"v_before": "v1", "s_before": "s1", "v_all": "vp", "s_all": "sp"}).join(missing, [*keys, "attr"], "left")
+    p = run.withColumns({"vm": F.coalesce("vm", F.lit(0.0)), "sm": F.coalesce("sm", F.lit(0.0))})
+    apart = p.filter(F.col("last_val").isNull() & F.expr(f"vm > {TINY} AND vp > {TINY}"))  # the first row of its attribute speaks for it
+    apart = apart.select(*keys, "attr", F.lit(None).cast("double").alias("border"), F.lit(0.0).alias("missing_l"), (-F.col("sp") * F.col("sp") / F.col("vp") - F.col("sm") * F.col("sm") / F.col("vm")).alias("eval"))
     same = (F.col("lo") == F.col("hi")) & (F.col("last_lo") == F.col("last_hi")) & (F.col("lo") == F.col("last_lo"))
     if booleans:
         same = same & ~F.col("attr").isin(booleans)
@@ -61,8 +63,9 @@ def candidates(block: DataFrame, keys: list[str], booleans: list[str] | None = N
 
 def best_splits(found: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """One split a node: least score, then attribute by name, then border (null last)."""
-    order = Window.partitionBy(*keys).orderBy(F.round("eval", digits), "attr", F.col("border").asc_nulls_last())
-    return found.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
+    rank = F.struct(F.round("eval", digits).alias("e"), "attr", F.col("border").isNull().alias("apart"), "border")
+    best = found.groupBy(*keys).agg(F.min_by(F.struct("attr", "border", "missing_l", "eval"), rank).alias("best"))  # with partial minima, no sort of all borders
+    return best.select(*keys, "best.*")
 
 
 def entropy(rows: DataFrame, keys: list[str]) -> DataFrame:

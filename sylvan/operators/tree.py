@@ -46,7 +46,7 @@ def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float =
             best = best.join(splits.entropy(long, KEYS), [*KEYS, "attr"], "left")
         else:
             best = best.withColumn("entropy", F.lit(None).cast("double"))
-        level = stats.join(best, KEYS, "left").select(*KEYS, F.lit(depth).alias("depth"), "n", "v", "s", "attr", "border", "missing_l", "entropy", F.when(F.col("attr").isNull(), F.col("s") / F.col("v")).alias("value"))
+        level = stats.join(best, KEYS, "left").select(*KEYS, F.lit(depth).alias("depth"), "n", "v", "s", "attr", "border", "missing_l", "entropy", F.when(F.col("attr").isNull(), F.coalesce(F.try_divide("s", "v"), F.lit(0.0))).alias("value"))
         level = stored(level)
         done.append(level)
         cut = level.filter("attr IS NOT NULL").select(*KEYS, "attr", "border", "missing_l")

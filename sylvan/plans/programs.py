@@ -7,6 +7,7 @@ tables; ``sources.sinks`` writes them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +89,19 @@ def score(test: Data, nodes: DataFrame, metric: str = "rmse") -> tuple[DataFrame
     return preds, performance(preds, test.rows, metric)
 
 
-def train_boosted(train: Data, valid: Data, trees: int = 100, shrinkage: float = 0.01, subsample: float = -1, alpha: float = 0.0, seed: int = 1) -> dict:
+def score_file(test: Data, path: str, metric: str = "rmse", bagged: bool = False) -> tuple[DataFrame, float | None]:
+    """score of a model file.  bagged: only single trees in slow mode are such a model, any other is an error."""
+    header, nodes = predict.read_model(test.rows.sparkSession, path, test.features)
+    if bagged and (header["mode"] != 0 or header["trees"] != 1):
+        raise ValueError(f"not a model of bagged trees: mode {header['mode']}, {header['trees']} trees")
+    return score(test, nodes, metric)
+
+
+def train_boosted(train: Data, valid: Data, trees: int = 100, shrinkage: float = 0.01, subsample: float = -1, alpha: float = 0.0, seed: int = 1, metric: str = "rmse") -> dict:
+    if metric == "roc":
+        metrics.check_labels(valid.rows)
     nodes, _ = ensemble.boosted_trees(train.rows.withColumnRenamed("row_no", "key"), "key", train.features, trees, shrinkage, subsample, alpha, seed, train.booleans)
-    return {"nodes": nodes, "curve": ensemble.boosting_curve(valid.rows, nodes, valid.features)}
+    return {"nodes": nodes, "curve": ensemble.boosting_curve(valid.rows, nodes, valid.features, metric)}
 
 
 def train_groves(train: Data, valid: Data, alpha: float = 0.01, trees: int = 8, bags: int = 60, mode: str = "fast", metric: str = "rmse", seed: int = 1) -> dict:
@@ -105,40 +116,113 @@ def expand_groves(run: grid.GridRun, train: Data, valid: Data, alpha: float | No
     return {"run": run, **judge(run, train, valid, metric)}
 
 
+def merge_groves(runs: list[grid.GridRun], train: Data, valid: Data, metric: str = "rmse") -> dict:
+    """One run with the bags of all, judged anew."""
+    run = grid.merge_runs(runs)
+    return {"run": run, **judge(run, train, valid, metric)}
+
+
+def merge_predictions(tables: list[tuple[DataFrame, int]], valid: Data, metric: str = "rmse") -> dict:
+    """The mean predictions of runs that were scored apart, (row_no, pred) and bags of each, and the metric after each of them."""
+    steps = stored(grid.merge_predictions([(t.withColumnRenamed("row_no", "key"), bags) for t, bags in tables]))
+    both = steps.join(valid.rows.select(F.col("row_no").alias("key"), "y", "w"), "key")
+    curve = metrics.rmse(both, ["step"]) if metric == "rmse" else metrics.roc_auc(both, ["step"])
+    return {"preds": steps.filter(F.col("step") == len(tables) - 1).select(F.col("key").alias("row_no"), "pred"), "curve": curve}
+
+
+def save_merged(runs: list[grid.GridRun], tig_no: int, alpha_no: int, path: str, attrs: list[str], bags: int | None = None) -> DataFrame:
+    """The nodes of one cell over all runs, also as a model file."""
+    nodes = stored(grid.save_cell(runs, tig_no, alpha_no, bags))
+    cell = runs[0].cells.filter((F.col("tig_no") == tig_no) & (F.col("alpha_no") == alpha_no)).select("n", "alpha").first()
+    predict.write_model(nodes, path, cell["alpha"], cell["n"], 0, None, attrs)
+    return nodes
+
+
 def judge(run: grid.GridRun, train: Data, valid: Data, metric: str = "rmse") -> dict:
+    """Surface, curves' verdict, best cell and what to do next.  In layered mode the best cell is the one for interaction tests."""
     rms, n = metric == "rmse", train.rows.count()
+    if not rms:
+        metrics.check_labels(valid.rows)
     truth = valid.rows.select((F.col("row_no") + n).alias("key"), "y", "w")
     surface = stored(grid.surface(run, truth, "rmse" if rms else "roc"))
-    best = metrics.best_cell(surface, rms).first().asDict()
     lines: dict[tuple[int, int], list[float]] = {}
-    for r in grid.curves(run, truth).orderBy("bag").collect():  # a number a bag and cell
+    for r in grid.curves(run, truth, "rmse" if rms else "roc").orderBy("bag").collect():  # a number a bag and cell
         lines.setdefault((r["tig_no"], r["alpha_no"]), []).append(r["perf"])
+    fits = True
+    if run.mode == "layered":
+        cells = {(r["tig_no"], r["alpha_no"]): r.asDict() for r in surface.collect()}
+        tigs, alphas = 1 + max(t for t, _ in cells), 1 + max(a for _, a in cells)
+        t, a, fits = metrics.interaction_cell([[cells[t, a]["perf"] for a in range(alphas)] for t in range(tigs)], rms)
+        best = cells[t, a]
+    else:
+        best = metrics.best_cell(surface, rms).first().asDict()
+    settled = [(t, a, not metrics.curve_needs_more(line)) for (t, a), line in sorted(lines.items())]
+    settled = surface.sparkSession.createDataFrame(settled, "tig_no int, alpha_no int, converged boolean")
     about = {"min_alpha": run.alpha, "max_n": run.trees, "bags": run.bags, "mode": run.mode, "rows": n}
     std = metrics.weighted_std(valid.rows).first()[0]
-    return {"surface": surface, "best": best, "next": metrics.recommendation(best, lines, about, rms), "below_baseline": metrics.worse_than_baseline(best["perf"], std, rms)}
+    return {"surface": surface.join(settled, ["tig_no", "alpha_no"]), "best": best, "fits": fits, "next": metrics.recommendation(best, lines, about, rms, fits), "below_baseline": metrics.worse_than_baseline(best["perf"], std, rms)}
 
 
-def select_features(train: Data, valid: Data, alpha: float, trees: int, bags: int = 10, repeats: int = 10, seed: int = 1) -> tuple[DataFrame, FeatureSchema]:
-    table = stored(features.backward_elimination(together(train, valid), train.features, alpha, trees, bags, repeats, seed, train.booleans))
+def select_features(train: Data, valid: Data, alpha: float, trees: int, bags: int = 10, repeats: int = 10, seed: int = 1, metric: str = "rmse", points: int = 10) -> dict:
+    """table (as backward_elimination's, best kept features first), schema of the kept features, nodes of a layered ensemble over them, and the
+    effects of all of them."""
+    rows = together(train, valid)
+    table = stored(features.backward_elimination(rows, train.features, alpha, trees, bags, repeats, seed, train.booleans, metric))
     schema = train.schema
     for r in table.filter("NOT kept").collect():
         schema = schema.without(r["attr"])
-    return table, schema
+    active = [r["attr"] for r in table.filter("kept").collect()]
+    nodes = stored(features.layered_nodes(rows, train.features, active, alpha, trees, bags, seed, (), train.booleans))
+    order = F.col("perf") if metric == "rmse" else -F.col("perf")
+    return {"table": table.orderBy(F.col("kept").desc(), order.desc(), "attr"), "schema": schema, "nodes": nodes, "effects": feature_effects(valid, nodes, active, points)}
+
+
+def find_interactions(train: Data, valid: Data, alpha: float, trees: int, bags: int = 10, repeats: int = 10, seed: int = 1, metric: str = "rmse", known: tuple[float, float] | None = None, points: int = 10) -> dict:
+    """table of all pairs, nodes of the model without restrictions, and the joint effects and densities of the pairs found."""
+    rows = together(train, valid)
+    table = stored(features.interaction_scan(rows, train.features, alpha, trees, bags, repeats, seed, train.booleans, None, metric, known))
+    nodes = stored(features.layered_nodes(rows, train.features, train.features, alpha, trees, bags, seed, (), train.booleans))
+    pairs = [tuple(r["attrs"].split("*")) for r in table.filter("present <> 'none'").orderBy(F.col("z").desc(), "attrs").collect()]
+    return {"table": table, "nodes": nodes, "plots": {p: interaction_plot(valid, nodes, *p, points, points) for p in pairs}}
+
+
+def probe_interaction(train: Data, valid: Data, names: str | list[str], alpha: float, trees: int, bags: int = 10, repeats: int = 10, seed: int = 1, metric: str = "rmse", known: tuple[float, float] | None = None) -> dict:
+    """One interaction of several features, by name or as the text of a file with a name a line: z, whether it is present (over 3), and the nodes of
+    the restricted model."""
+    barred = tuple(names.split() if isinstance(names, str) else names)
+    for name in barred:
+        if name not in train.features:
+            raise ValueError(f"no active feature {name}")
+    rows = together(train, valid)
+    found = features.interaction_scan(rows, train.features, alpha, trees, bags, repeats, seed, train.booleans, [barred], metric, known).first()
+    nodes = stored(features.layered_nodes(rows, train.features, train.features, alpha, trees, bags, seed, barred, train.booleans))
+    return {"perf": found["perf"], "z": found["z"], "present": found["z"] > 3, "nodes": nodes}
+
+
+def model_scores(probe: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """probe (some columns and all features) with pred, by joins level by level: fit for models of any size."""
+    rows = stored(probe.withColumn("row_no", F.monotonically_increasing_id()))
+    return rows.join(predict.grove_predictions(predict.tree_predictions(rows, nodes, features)), "row_no").drop("row_no")
 
 
-def find_interactions(train: Data, valid: Data, alpha: float, trees: int, bags: int = 10, repeats: int = 10, seed: int = 1, sets: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """All pairs, or the given sets of two features or more."""
-    return features.interaction_scan(together(train, valid), train.features, alpha, trees, bags, repeats, seed, train.booleans, sets)
+def feature_effects(valid: Data, nodes: DataFrame, attrs: list[str], points: int = 10) -> DataFrame:
+    """(attr, val, n, pred): effects of several features at once."""
+    probes = []
+    for attr in attrs:
+        p = effects.quantile_points(valid.rows, attr, points)
+        probes.append(p.select(F.lit(attr).alias("attr"), "val", "n", *[(F.col("val") if f == attr else F.lit(None)).cast("double").alias(f) for f in valid.features]))
+    return model_scores(reduce(DataFrame.unionByName, probes), nodes, valid.features).select("attr", "val", "n", "pred")
 
 
 def feature_effect(valid: Data, nodes: DataFrame, attr: str, points: int = 10) -> DataFrame:
-    return effects.effect(effects.quantile_points(valid.rows, attr, points), attr, valid.features, predict.ensemble_expression(nodes))
+    return feature_effects(valid, nodes, [attr], points).drop("attr")
 
 
 def interaction_plot(valid: Data, nodes: DataFrame, attr1: str, attr2: str, points1: int = 10, points2: int = 10, fixed: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(joint effect, density)."""
     p, q = effects.quantile_points(valid.rows, attr1, points1), effects.quantile_points(valid.rows, attr2, points2)
-    joint = effects.joint_effect(p, q, attr1, attr2, valid.features, predict.ensemble_expression(nodes), fixed)
+    grid_ = effects.joint_points(p, q, attr1, attr2, valid.features, fixed)
+    joint = model_scores(grid_, nodes, valid.features).select(F.col(attr1).alias("val1"), F.col(attr2).alias("val2"), "pred")
     return joint, effects.density(valid.rows, attr1, attr2, p, q)
 
 

@@ -71,7 +71,7 @@ def test_trees_beyond_61_levels(spark):
 def test_ids_of_deep_kernel_trees():
     x, y = np.arange(200.0)[:, None], 4.0 ** np.arange(200)
     t = kernel.grow_tree(x, np.ones(200), y, 0.0, 200, [0])
-    ids = [r[4] for r in grid._tree_rows(0, 0, 0, kernel_grove(t), ["a"])]
+    ids = [r[4] for r in grid.tree_rows(0, 0, 0, kernel_grove(t), ["a"])]
     assert len(set(ids)) == 399 and max(map(len, ids)) == 200
     assert all(i == "1" or i[:-1] in set(ids) for i in ids)
 
@@ -93,6 +93,9 @@ def test_model_file_and_code(spark, tmp_path):
     code = {}
     exec(predict.tree_code([r.asDict() for r in tree.grow(table(spark), whole(table(spark)), FEATURES, 0.0, ["c"], 2).collect()]), code)
     assert isinstance(code["predict"]({"a": 1.0, "b": 2.0, "c": 0.0}), float)
+    exec(predict.tree_code([r.asDict() for r in nodes.collect()], "gone"), code)  # missing values go both ways
+    known = {r["row_no"]: r["pred"] for r in predict.tree_predictions(rows, nodes, FEATURES).collect()}
+    assert all(code["gone"](r.asDict()) == pytest.approx(known[r["row_no"]]) for r in rows.collect())
 
 
 def test_bagging_and_scores(spark):
@@ -102,7 +105,8 @@ def test_bagging_and_scores(spark):
     draws = sampling.bootstrap_draws(spark, 60, 3)
     out = sampling.out_of_bag(rows.select("row_no"), draws, 3)
     assert sampling.in_bag(draws).count() + out.count() == 180
-    assert sampling.usable_bags(out, 3) == [0, 1, 2]
+    few = sampling.bootstrap_draws(spark, 2, 60)
+    assert sampling.out_of_bag(spark.range(2).select(F.col("id").alias("row_no")), few, 60).select("bag").distinct().count() == 60
     assert sampling.subsample(rows, "row_no", 7, bags=2).groupBy("bag").count().collect()[0]["count"] == 7
 
 
@@ -162,6 +166,7 @@ def test_expand_merge_save(spark, marked, tmp_path):
     run = grid.train_grid(marked, FEATURES, 0.2, 1, 2, "layered")
     more = grid.expand_grid(run, marked, FEATURES, trees=2, bags=3)
     assert more.cells.select("bag", "tig_no", "alpha_no").distinct().count() == 3 * 2 * 2
+    assert more.cells.count() == 3 * 2 * 2 * marked.filter("set = 'valid'").count()  # each cell once
     other = grid.train_grid(marked, FEATURES, 0.2, 1, 2, "layered", seed=2)
     both = grid.merge_runs([run, other])
     assert both.bags == 4 and both.cells.select("bag").distinct().count() == 4
@@ -177,6 +182,38 @@ def test_expand_merge_save(spark, marked, tmp_path):
     sinks.write_report(back.cells.select("key", "pred"), str(tmp_path / "preds"), ["key"])
 
 
+@pytest.mark.parametrize("mode", ["slow", "fast", "layered"])
+def test_expanding_trains_missing_cells_only(marked, mode, monkeypatch):
+    """Grown in steps, a grid is that of one run, and no cell is trained twice."""
+    whole_run = grid.train_grid(marked, FEATURES, 0.1, 3, 3, mode)
+    part = grid.train_grid(marked, FEATURES, 0.2, 2, 2, mode)
+    trained = []
+    train = grid.train_grid
+    monkeypatch.setattr(grid, "train_grid", lambda *a, **k: trained.append(train(*a, **k)) or trained[-1])
+    grown = grid.expand_grid(part, marked, FEATURES, 0.1, 3, 3)
+    cells = trained[0].cells.select("bag", "tig_no", "alpha_no").distinct()
+    assert cells.count() == 3 * 3 * 3 - 2 * 2 * 2 and cells.join(part.cells, ["bag", "tig_no", "alpha_no"], "left_semi").isEmpty()
+    key = ["bag", "tig_no", "alpha_no", "key"]
+    both = grown.cells.join(whole_run.cells.select(*key, F.col("pred").alias("other"), F.col("from_below").alias("way")), key)
+    assert both.count() == whole_run.cells.count() == grown.cells.count()
+    assert both.filter((F.abs(F.col("pred") - F.col("other")) > 1e-9) | (F.col("from_below") != F.col("way"))).isEmpty()
+    assert grown.nodes.count() == whole_run.nodes.count()
+
+
+def test_one_class_and_no_weight(spark, tmp_path):
+    """What has no meaning is null, not an error of division."""
+    df = spark.createDataFrame([("a", 1.0, 1.0, 1.0), ("a", 2.0, 1.0, 1.0), ("b", 1.0, 0.0, 0.0), ("b", 2.0, 1.0, 0.0)], "g string, pred double, y double, w double")
+    assert {r.g: r.auc for r in metrics.roc_auc(df, ["g"]).collect()} == {"a": None, "b": None}
+    assert {r.g: r.rmse for r in metrics.rmse(df, ["g"]).collect()} == {"a": pytest.approx(0.5**0.5), "b": None}
+    assert metrics.weighted_std(df.filter("w = 0")).first()[0] is None and metrics.roc_auc(df.limit(0)).first()[0] is None
+    rows = table(spark, 12).withColumn("w", F.lit(0.0))
+    assert tree.grow(rows, whole(rows), FEATURES).filter("value IS NULL").isEmpty()
+    sinks.write_distribution(spark, 1.5, 0.25, str(tmp_path / "d"))
+    assert sinks.read_distribution(spark, str(tmp_path / "d")) == (1.5, 0.25)
+    sinks.write_performance(spark.createDataFrame([(1, 2.0), (0, 3.0)], "bag int, rmse double"), str(tmp_path / "p"))
+    assert spark.read.text(str(tmp_path / "p")).collect()[0][0] == "3.0"
+
+
 def test_analysis(spark, marked):
     keep = features.backward_elimination(marked, FEATURES, 0.2, 1, 2, 2)
     assert keep.count() == 3 and keep.filter("kept").count() >= 1

@@ -26,18 +26,17 @@ def plain_grove(x, y, bag, attrs, alpha, trees, barred=()):
         drawn = kernel.draw(1, bag, k, len(y))
         out = np.setdiff1d(np.arange(len(y)), drawn)
         errors = lambda: [kernel.rmse(sum(single)[i], y[i], one[i]) for i in (drawn, out)]
-        before = errors()
+        seen = [errors()]
         while True:
             for j in [trees - 1, *range(trees - 1)]:
                 left = y - (sum(single) - single[j])
                 tried = [kernel.grow_tree(x[drawn], one[drawn], left[drawn], a, len(y), c) for c in ([[f for f in attrs if f != b] for b in barred] or [attrs])]
                 grown[j] = min(tried, key=lambda t: kernel.rmse(t.predict(x[out]), left[out], one[out]))
                 single[j] = grown[j].predict(x)
-            now = errors()
-            settled = [p == 0 or (p - q) / p <= kernel.GAIN for p, q in zip(before, now, strict=True)]
-            if (now[0] != 0 and settled[0]) or (now[0] == 0 and (now[1] == 0 or settled[1])):
+            seen.append(errors())
+            k = 0 if seen[-1][0] else 1
+            if seen[-1][k] == 0 or seen[-2][k] - seen[-1][k] <= kernel.GAIN * seen[-2][k]:
                 break
-            before = now
     return grown
 
 
@@ -81,21 +80,24 @@ def test_elimination_against_plain_loops(spark, table):
     names, small = [f"e{k}" for k in range(6)], (x[:, 43::4], y, key)
     pdf = pd.DataFrame({"key": key, "y": y, "w": 1.0, "set": np.where(key % 5 == 0, "valid", "train")} | {n: small[0][:, k] for k, n in enumerate(names)})
     rows = features.backward_elimination(spark.createDataFrame(pdf), names, 0.2, 2, 2, 2).collect()
-    active = list(range(6))
-    spread = lambda: [plain_error(small, range(2 * k, 2 * k + 2), active, 0.2, 2) for k in range(2)]
-    e = spread()
-    mean, std, at, since = np.mean(e), np.std(e), 5, 0
-    while since < len(active) and len(active) > 1:
-        at %= len(active)
-        error = plain_error(small, range(2), [a for a in active if a != active[at]], 0.2, 2)
-        since += 1
-        if error <= mean + 3 * std:
-            del active[at]
-            since = 0
-            if error < mean - 3 * std:
-                e = spread()
-                mean, std = np.mean(e), np.std(e)
-        at = at - 1 if at else len(active) - 1
+    active, measured, again = list(range(6)), {}, True
+    while again:
+        again, left, at = False, 0, len(active) - 1
+        e = [plain_error(small, range(2 * k, 2 * k + 2), active, 0.2, 2) for k in range(2)]
+        mean, std = np.mean(e), np.std(e)
+        while left < len(active) and len(active) > 1:
+            if active[at] not in measured:
+                measured[active[at]] = plain_error(small, range(2), [a for a in active if a != active[at]], 0.2, 2)
+            error = measured[active[at]]
+            left += 1
+            if error <= mean + 3 * std:
+                del active[at]
+                measured, again, left = {}, True, 0
+                if error <= mean - 3 * std and std > 0:
+                    break
+            at = (at - 1) % len(active)
+    kept = {names[a]: measured.get(a) for a in active}
+    assert all(r.perf == pytest.approx(kept[r.attr]) and r.importance == pytest.approx(kept[r.attr] - mean) for r in rows if r.kept and kept[r.attr] is not None)
     assert [r.attr for r in rows if r.kept] == [names[a] for a in active]
 
 
@@ -107,3 +109,23 @@ def test_scan_of_all_pairs_and_a_triple(spark, table):
         got = features.interaction_scan(spark.createDataFrame(pdf), names, 0.2, 2, 2, 2, sets=[tuple(names[i] for i in s) for s in sets]).collect()
         want = [plain_error(small, range(2), list(range(6)), 0.2, 2, s) for s in sets]
         assert [r.perf for r in got] == pytest.approx(want)
+
+
+def test_roc_metric(spark, table):
+    x, y, key = table
+    label = (y > 0).astype(float)
+    pdf = pd.DataFrame({"key": key, "y": label, "w": 1.0, "set": np.where(key % 5 == 0, "valid", "train")} | {f"e{k}": x[:, 40 + 23 * k] for k in range(2)})
+    got = features.grove_errors(spark.createDataFrame(pdf), ["e0", "e1"], ["e0", "e1"], 0.2, 2, 2, 1, metric="roc")
+    pred, truth, _ = plain_preds((x[:, [40, 63]], label, key), range(2), [0, 1], 0.2, 2)
+    above = [(a > b) + (a == b) / 2 for a in pred[truth == 1] for b in pred[truth == 0]]
+    assert got == [pytest.approx(np.mean(above))]
+    kept = features.backward_elimination(spark.createDataFrame(pdf), ["e0", "e1"], 0.2, 1, 2, 2, metric="roc").collect()
+    assert len(kept) == 2 and any(r.kept for r in kept)
+    scan = features.interaction_scan(spark.createDataFrame(pdf), ["e0", "e1"], 0.2, 2, 2, 2, metric="roc", known=(0.9, 0.01)).first()
+    assert scan.z == pytest.approx((0.9 - scan.perf) / 0.01)
+
+
+def test_a_draw_leaves_a_row_out():
+    for n in (2, 3):
+        assert all(len(set(kernel.draw(1, bag, 0, n).tolist())) < n for bag in range(200))
+    assert kernel.draw(1, 0, 0, 1).tolist() == [0]

@@ -45,3 +45,9 @@ def test_names():
 def test_missing_text(spark):
     rows = spark.createDataFrame([(1.5,), (None,)], "x double").select(s.missing_text(F.col("x")).alias("t")).collect()
     assert [r.t for r in rows] == ["1.5", "?"]
+
+
+def test_in_base():
+    assert [s.in_base(*x) for x in ((0,), (-255, 16), (255, 2), (35, 36))] == ["0", "-ff", "11111111", "z"]
+    with pytest.raises(ValueError, match="base"):
+        s.in_base(1, 1)
