@@ -52,6 +52,12 @@ def check_labels(df: DataFrame, target: str = "y") -> None:
         raise RocError("all labels are equal")
 
 
+def label_faults(df: DataFrame, by: list[str] = (), target: str = "y") -> DataFrame:
+    """(by…, outside, single): whether labels lie outside [0, 1], and whether all are 0 or all are 1; what check_labels tells of a whole table."""
+    low, high = F.min(target), F.max(target)
+    return df.groupBy(*by).agg(((low < 0) | (high > 1)).alias("outside"), ((low == high) & low.isin(0, 1)).alias("single"))
+
+
 def running_predictions(per_bag: DataFrame) -> DataFrame:
     """(row_no, bag, pred): the mean of the bags so far."""
     w = Window.partitionBy("row_no").orderBy("bag").rowsBetween(Window.unboundedPreceding, 0)
@@ -168,5 +174,11 @@ def recommendation(best: dict, curves: dict[tuple[int, int], list[float]], train
     return out
 
 
+def below_baseline(perf: DataFrame, std: DataFrame, by: list[str], rms: bool = True) -> DataFrame:
+    """(by…, perf, std, below): groups that predict worse than their targets' mean does, or than chance."""
+    below = F.col("perf") > F.col("std") if rms else F.col("perf") < 0.5
+    return perf.join(std, list(by)).select(*by, "perf", "std", below.alias("below"))
+
+
 def worse_than_baseline(perf: float, std: float, rms: bool = True) -> bool:
     return perf > std if rms else perf < 0.5

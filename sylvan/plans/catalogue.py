@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import effects, ensemble, features, grid, kernel, metrics, predict, sampling, splits, tree
 from ..sources import tables
+from ..sources.schema import parse_schema
 from . import oracles as sql
-from .storage import numbered, stored
+from .storage import new_path, numbered, stored
 from .views import BOOLEANS, FEATURES, embeddings, oracle_view, view
 
 QUERIES: dict = {}
@@ -457,6 +460,225 @@ def grid_merge_running_mean(spark, d):
     return grid.merge_predictions([(a, 3), (b, 5)]).select("step", "key", *r6("pred"))
 
 
+# --- scans, checks, draws
+
+DOC_ATTRIBUTES = "y: cont (class).\nw: cont (weight).\nkey: nom.\nn_chars: cont (split).\ntoxic: 0,1.\nlang_en: 0,1.\ncontexts:\nkey never.\n"
+
+
+def _doc_file(spark, d, ignored: str | None = None):
+    """The documents' view as a headerless file and the rows that a scan of it gives."""
+    schema = parse_schema(DOC_ATTRIBUTES)
+    for name in [ignored] if ignored else []:
+        schema = schema.without(name)
+    path = new_path(spark)
+    lines = view(spark, d, "doc").select(F.concat_ws("\t", *[scalars.missing_text(F.col(a.name)) for a in schema.columns]).alias("value"))
+    lines.write.text(path)
+    return schema, tables.read_table(spark, path, schema)
+
+
+@query(f"WITH {oracle_view('doc')} SELECT CAST(key AS VARCHAR) AS key, y, w, n_chars, toxic, lang_en FROM doc")
+def scan_headerless_table(spark, d):
+    return _doc_file(spark, d)[1]
+
+
+@query(f"WITH {oracle_view('doc')} SELECT y, w, n_chars, lang_en FROM doc WHERE y IS NOT NULL")
+def scan_reduced_schema(spark, d):
+    schema, rows = _doc_file(spark, d, "toxic")
+    return tables.checked(rows.filter("y IS NOT NULL"), schema, "valid").select("y", "w", *schema.active)
+
+
+@query(f"WITH {oracle_view('doc')} SELECT n_chars, toxic, row_number() OVER (ORDER BY n_chars ASC NULLS LAST, toxic ASC NULLS LAST) - 1 AS row_no FROM doc")
+def sorted_pair_missing_last(spark, d):
+    return numbered(view(spark, d, "doc").select("n_chars", "toxic"), F.col("n_chars").asc_nulls_last(), F.col("toxic").asc_nulls_last())
+
+
+@query(f"WITH {oracle_view('ord')} SELECT val AS sum_qty, n, NULL::DOUBLE AS acctbal, NULL::DOUBLE AS avg_disc FROM {_points('ord', 'sum_qty', 12)}")
+def probe_points(spark, d):
+    points = effects.quantile_points(view(spark, d, "ord"), "sum_qty", 12).withColumnRenamed("val", "sum_qty")
+    return tables.probe_points(spark, CORR, points)
+
+
+@query("SELECT event_type, min(value) < 0 OR max(value) > 1 AS outside, min(value) = max(value) AND min(value) IN (0, 1) AS single FROM (SELECT event_type, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 0 WHEN 'purchase' THEN event_id % 2 ELSE event_id % 3 END AS value FROM events) GROUP BY event_type")
+def label_faults(spark, d):
+    kind = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", F.col("event_id") % 2).otherwise(F.col("event_id") % 3)
+    return metrics.label_faults(spark.read.parquet(f"{d}/events.parquet").select("event_type", kind.alias("y")), ["event_type"])
+
+
+def _redraw_oracle(bags: int) -> str:
+    name = "CASE WHEN k = 0 THEN CAST(bag AS VARCHAR) ELSE bag || '.' || k END"
+    return f"""WITH n AS (SELECT count(*) AS n FROM region),
+tried AS (SELECT b.range AS bag, k.range AS k, x.range AS draw, CAST(floor(CAST(n AS DOUBLE) * (CAST('0x' || substr(md5('1-' || {name.replace('bag', 'b.range').replace('k = 0', 'k.range = 0').replace(" || k END", " || k.range END")} || '-' || x.range), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)) AS BIGINT) AS row_no
+  FROM n, range({bags}) b, range(6) k, range(5) x),
+ok AS (SELECT bag, min(k) AS k FROM (SELECT bag, k FROM tried GROUP BY bag, k HAVING count(DISTINCT row_no) < 5) GROUP BY bag)
+SELECT bag, draw, row_no FROM tried JOIN ok USING (bag, k)"""
+
+
+@query(_redraw_oracle(200))
+def bag_redraws(spark, d):
+    """Of so few rows, some bags draw all, and are drawn anew."""
+    return sampling.bootstrap_draws(spark, spark.read.parquet(f"{d}/region.parquet").count(), 200)
+
+
+@query(sql.split_query("ord", attrs=[a for a in ORD if a != "sum_qty"]))
+def split_root_barred(spark, d):
+    """The best split that a feature may not take part in."""
+    attrs = [a for a in ORD if a != "sum_qty"]
+    return _shown(splits.best_splits(_found(_items(spark, d, "ord"), "ord", attrs), ["node"]))
+
+
+@query(f"""{RHO.rsplit('p AS (SELECT', 1)[0]}p AS (SELECT a.attr AS attr1, b.attr AS attr2, round(corr(a.r, b.r), 6) AS rho FROM r a JOIN r b ON a.key = b.key AND a.attr < b.attr GROUP BY 1, 2) SELECT * FROM p""")
+def spearman_exact_ties(spark, d):
+    return features.spearman(view(spark, d, "ord"), "key", CORR, exact=True).select("attr1", "attr2", *r6("rho"))
+
+
+@query(f"""WITH {oracle_view('ord')}, x AS (SELECT *, 8 * sum_qty AS p FROM ord), m AS (SELECT priority, sum(w * y) / sum(w) AS m FROM ord GROUP BY priority),
+s AS (SELECT priority, round(sqrt(sum(w * (y - m) ** 2) / sum(w)), 6) AS std FROM ord JOIN m USING (priority) GROUP BY priority), e AS (SELECT priority, {RMSE} FROM x GROUP BY priority)
+SELECT priority, rmse AS perf, std, rmse > std AS below FROM e JOIN s USING (priority)""")
+def baseline_by_group(spark, d):
+    o = view(spark, d, "ord")
+    perf = metrics.rmse(o.withColumn("pred", 8 * F.col("sum_qty")), ["priority"]).select("priority", F.round("rmse", 6).alias("perf"))
+    mean = o.groupBy("priority").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("pred"))
+    std = metrics.rmse(o.join(mean, "priority"), ["priority"]).select("priority", F.round("rmse", 6).alias("std"))
+    return metrics.below_baseline(perf, std, ["priority"])
+
+
+def _iplot_fixed_oracle() -> str:
+    p = lambda n: f"CASE {n}.attr WHEN 'sum_qty' THEN CASE WHEN a.val <= {n}.border THEN 1.0 ELSE 0.0 END WHEN 'acctbal' THEN CASE WHEN b.val <= {n}.border THEN 1.0 ELSE 0.0 END WHEN 'avg_disc' THEN CASE WHEN 5 <= {n}.border THEN 1.0 ELSE 0.0 END ELSE {n}.missing_l END"
+    side = lambda n, l, r: f"coalesce({n}.value, ({p(n)}) * {l}.value + (1 - ({p(n)})) * {r}.value)"
+    joins = " ".join(f"LEFT JOIN nodes n{i} ON n{i}.node_id = {i}" for i in range(1, 8))
+    return f"""WITH {oracle_view('ord')}, {NUMBERED}, {sql.tree_ctes('ord', WHOLE, 2)}
+SELECT a.val AS val1, b.val AS val2, round(({p('n1')}) * {side('n2', 'n4', 'n5')} + (1 - ({p('n1')})) * {side('n3', 'n6', 'n7')}, 6) AS pred
+FROM {_points('ord', 'sum_qty', 4)} a CROSS JOIN {_points('ord', 'acctbal', 3)} b {joins}"""
+
+
+@query(_iplot_fixed_oracle())
+def iplot_fixed_feature(spark, d):
+    _, nodes = _whole_tree(spark, d)
+    ord_ = view(spark, d, "ord")
+    a, b = effects.quantile_points(ord_, "sum_qty", 4), effects.quantile_points(ord_, "acctbal", 3)
+    return effects.joint_effect(a, b, "sum_qty", "acctbal", ORD, predict.ensemble_expression(nodes), effects.read_fixed("avg_disc 5")).select("val1", "val2", *r6("pred"))
+
+
+# --- boosting on bags and samples, curves
+
+
+def _one_round(draws: str, items: str) -> str:
+    return f"WITH {oracle_view('ord')}, {NUMBERED}, {draws}{sql.tree_ctes('ord', items, 1)}, {sql.scored('ord', 1, ROWS)} SELECT row_no, round(0.5 * pred, 6) AS pred FROM pred"
+
+
+@query(_one_round(sql.draws_cte("ord", 1) + ", ", BAGGED))
+def gbt_bootstrap_stump(spark, d):
+    _, preds = ensemble.boosted_trees(view(spark, d, "ord"), "key", ORD, 1, 0.5, booleans=BOOLEANS["ord"], max_depth=1)
+    return preds.select("row_no", *r6("pred"))
+
+
+SAMPLED = "half AS (SELECT row_no FROM (SELECT row_no, row_number() OVER (ORDER BY CAST('0x' || substr(md5('1-0-' || row_no), 1, 8) AS BIGINT), row_no) AS k FROM rows) WHERE k <= (SELECT count(*) // 2 FROM rows)), "
+
+
+@query(_one_round(SAMPLED, WHOLE + " JOIN half USING (row_no)"))
+def gbt_subsample_stump(spark, d):
+    _, preds = ensemble.boosted_trees(view(spark, d, "ord"), "key", ORD, 1, 0.5, subsample=0.5, booleans=BOOLEANS["ord"], max_depth=1)
+    return preds.select("row_no", *r6("pred"))
+
+
+def _grove_ctes(sweeps: int) -> tuple[list[str], list[str]]:
+    """CTEs of a grove of two stumps on all rows, and SQL of (row_no, pred) after each sweep."""
+    ctes, after, first, second = [oracle_view("ord"), NUMBERED, "zero AS (SELECT row_no, 0.0::DOUBLE AS pred FROM rows)"], [], "zero", "zero"
+    for k in range(sweeps):
+        for name, other in ((f"b{k}", "first"), (f"a{k}", "second")):
+            left = first if other == "first" else second
+            items = f"SELECT 0 AS bag, row_no, w AS coef, y - pred AS resp, {', '.join(ORD)} FROM rows JOIN {left} USING (row_no)"
+            ctes.append(f"{name} AS (WITH {sql.tree_ctes('ord', items, 1)}, {sql.scored('ord', 1, ROWS)} SELECT row_no, pred FROM pred)")
+            first, second = (first, name) if other == "first" else (name, second)
+        after.append(f"SELECT {k + 1} AS sweep, row_no, a{k}.pred + b{k}.pred AS pred FROM a{k} JOIN b{k} USING (row_no)")
+    return ctes, after
+
+
+def _sweeps(spark, d, n: int):
+    """(sweep, key, pred, y, w) of a grove of two stumps, fitted to all rows in n sweeps."""
+    import numpy as np
+    import pandas as pd
+
+    def work(data, pdf):
+        data.max_depth = 1
+        grove, every, out = kernel.Grove(data, 2), np.arange(len(data.y)), []
+        for k in range(n):
+            grove.sweep(every, every, 0.0)
+            out.append(pd.DataFrame({"sweep": k + 1, "key": pdf["key"], "pred": grove.joint(), "y": data.y, "w": data.w}))
+        return pd.concat(out)
+
+    return kernel.per_bag(view(spark, d, "ord").select("key", "y", "w", *ORD), 1, ORD, "sweep int, key long, pred double, y double, w double", work, booleans=BOOLEANS["ord"])
+
+
+@query(f"WITH {', '.join(_grove_ctes(2)[0])}, p AS ({' UNION ALL '.join(_grove_ctes(2)[1])}) SELECT sweep, key, round(pred, 4) AS pred FROM p JOIN rows USING (row_no)")
+def grove_stump_sweeps(spark, d):
+    """Back-fitting: the second stump first, then the first one, on what the other leaves; two sweeps."""
+    return _sweeps(spark, d, 2).select("sweep", "key", F.round("pred", 4).alias("pred"))
+
+
+@query(f"WITH {', '.join(_grove_ctes(2)[0])}, x AS (SELECT sweep, y, w, pred AS p FROM ({' UNION ALL '.join(_grove_ctes(2)[1])}) JOIN rows USING (row_no)) SELECT sweep, {RMSE.replace(', 6)', ', 4)')} FROM x GROUP BY sweep")
+def grove_sweep_errors(spark, d):
+    return metrics.rmse(_sweeps(spark, d, 2), ["sweep"]).select("sweep", F.round("rmse", 4).alias("rmse"))
+
+
+# --- state of grid runs, over made-up cells of real rows
+
+CELL_SQL = """cells AS (SELECT b.range AS bag, t.range AS tig_no, a.range AS alpha_no, o_orderkey AS key, (b.range + t.range) % 2 = 0 AS from_below,
+  floor(o_totalprice / 1000) + (o_orderkey * (b.range + 3) + t.range * 5 + a.range * 7) % 11 AS pred, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS y FROM orders, range(3) b, range(2) t, range(2) a)"""
+
+
+def _run(spark, d, seed=1):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), F.floor(F.col("o_totalprice") / 1000).alias("base"))
+    ways = F.array(*[F.struct(F.lit(b).cast("long").alias("bag"), F.lit(t).alias("tig_no"), F.lit(a).alias("alpha_no"), F.lit(scalars.tree_count(t)).alias("n"), F.lit(scalars.alpha_value(a)).alias("alpha"), F.lit((b + t) % 2 == 0).alias("from_below")) for b in range(3) for t in range(2) for a in range(2)])
+    rows = o.select("key", "base", F.explode(ways).alias("x")).select("x.*", "key", "base")
+    cells = rows.withColumn("pred", (F.col("base") + (F.col("key") * (F.col("bag") + 3) + F.col("tig_no") * 5 + F.col("alpha_no") * 7) % 11).cast("double"))
+    nodes = cells.filter("key % 97 = 1").select("bag", "tig_no", "alpha_no", F.lit(0).alias("tree"), F.col("key").cast("string").alias("node_id"), F.lit(None).cast("string").alias("attr"), F.lit(None).cast("double").alias("border"), F.lit(None).cast("double").alias("missing_l"), F.col("pred").alias("value"))
+    return grid.GridRun(cells.drop("base"), nodes, seed, 0.2, 2, 3, "slow"), o.select("key", F.col("base").cast("double").alias("y"), F.lit(1.0).alias("w"))
+
+
+CURVES = f"""WITH {CELL_SQL}, m AS (SELECT tig_no, alpha_no, bag, y, 1 AS w, avg(pred) OVER (PARTITION BY tig_no, alpha_no, key ORDER BY bag) AS p FROM cells),
+curves AS (SELECT CAST(tig_no AS INTEGER) AS tig_no, CAST(alpha_no AS INTEGER) AS alpha_no, bag, {RMSE.replace('AS rmse', 'AS perf')} FROM m GROUP BY ALL)"""
+
+
+@query(f"{CURVES} SELECT * FROM curves")
+def grid_curves(spark, d):
+    return grid.curves(*_run(spark, d)).select("tig_no", "alpha_no", "bag", *r6("perf"))
+
+
+@query(f"{CURVES} SELECT tig_no, alpha_no, tig_no + 1 AS n, CASE alpha_no WHEN 0 THEN 0.5::DOUBLE ELSE 0.2 END AS alpha, perf FROM curves WHERE bag = 2")
+def grid_surface(spark, d):
+    return grid.surface(*_run(spark, d)).select("tig_no", "alpha_no", "n", "alpha", *r6("perf"))
+
+
+@query(f"WITH {CELL_SQL} SELECT CAST(tig_no AS INTEGER) AS tig_no, CAST(alpha_no AS INTEGER) AS alpha_no, round(avg(CASE WHEN from_below THEN 1 ELSE 0 END), 6) AS share FROM cells GROUP BY ALL")
+def grid_directions(spark, d):
+    return metrics.direction_table(_run(spark, d)[0].cells).select("tig_no", "alpha_no", *r6("share"))
+
+
+@query(f"WITH {CELL_SQL}, m AS (SELECT bag, key, pred FROM cells WHERE tig_no = 1 AND alpha_no = 1 UNION ALL SELECT bag + 3, key, pred + 1 FROM cells WHERE tig_no = 1 AND alpha_no = 1) SELECT key, count(DISTINCT bag) AS bags, round(avg(pred), 6) AS pred FROM m GROUP BY key")
+def grid_merge_bags(spark, d):
+    first, _ = _run(spark, d)
+    second, _ = _run(spark, d, 2)
+    second = replace(second, cells=second.cells.withColumn("pred", F.col("pred") + 1))
+    cells = grid.merge_runs([first, second]).cells.filter("tig_no = 1 AND alpha_no = 1")
+    return cells.groupBy("key").agg(F.countDistinct("bag").alias("bags"), F.round(F.avg("pred"), 6).alias("pred"))
+
+
+@query(f"WITH {CELL_SQL}, c AS (SELECT bag, key, pred FROM cells WHERE tig_no = 1 AND alpha_no = 0 AND key % 97 = 1) SELECT bag, CAST(key AS VARCHAR) AS node_id, pred AS value FROM c UNION ALL SELECT bag + 3, CAST(key AS VARCHAR), pred FROM c WHERE bag < 1")
+def grid_save_cell(spark, d):
+    runs = [_run(spark, d)[0], _run(spark, d, 2)[0]]
+    return grid.save_cell(runs, 1, 0, 4).select("bag", "node_id", "value")
+
+
+@query(f"WITH {oracle_view('ord')}, {NUMBERED}, {sql.tree_ctes('ord', WHOLE, 1)}, {sql.scored('ord', 1, ROWS)} SELECT row_no, round((pred + 2 * pred) / 2 + pred / 2, 6) AS pred FROM pred")
+def score_groves(spark, d):
+    """Trees of a bag add up and bags are averaged: a bag of two trees and one of a single tree."""
+    rows, nodes = _whole_tree(spark, d, 1)
+    tree_of = lambda bag, k, times: nodes.withColumns({"bag": F.lit(bag).cast("long"), "tree": F.lit(k), "value": F.col("value") * times})
+    every = tree_of(0, 0, 1.0).unionByName(tree_of(0, 1, 2.0)).unionByName(tree_of(1, 0, 1.0))
+    return predict.grove_predictions(predict.tree_predictions(rows, every, ORD)).select("row_no", *r6("pred"))
+
+
 EMB = [f"e{k}" for k in range(64)]
 
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, an own temporary one in local mode; an error on a cluster, whose executors
+    don't share a folder of the driver's."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sylvan-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -36,13 +41,25 @@ def _tidy() -> None:
             return
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage of iterative plans."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/sylvan-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage of iterative plans."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what stored wrote for df; nothing that is still to run may read it."""
+    remove(df.sparkSession, _paths.pop(df))
 
 
 def numbered(df: DataFrame, *order, name: str = "row_no") -> DataFrame:

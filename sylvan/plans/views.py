@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,10 +50,11 @@ BOOLEANS = {"ord": ["is_open", "is_urgent"], "evt": ["is_click", "is_error", "is
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in TABLES:
-        if f" {t}" in SQL[name] or f"\nFROM {t}" in SQL[name]:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(SQL[name].replace("{json}", JSON["spark"]))
+    """The view over sf_dir's tables, bound to this call: no names are left in the session."""
+    text = SQL[name].replace("{json}", JSON["spark"])
+    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", text)
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def oracle_view(name: str) -> str:
