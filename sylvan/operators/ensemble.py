@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import numbered, stored
+from ..plans.storage import discard, numbered, stored
 from . import metrics, sampling
 from .predict import ensemble_expression, tree_predictions
 from .tree import grow
@@ -60,7 +60,10 @@ def boosted_trees(train: DataFrame, key: str, features: list[str], rounds: int =
         nodes = stored(grow(rows, items, features, alpha, booleans, max_depth).withColumn("tree", F.lit(k)).withColumn("value", F.col("value") * shrinkage))
         trees.append(nodes)
         step = rows.select("row_no", ensemble_expression(nodes).alias("step")) if nodes.count() < 64 else tree_predictions(rows, nodes, features).select("row_no", F.col("pred").alias("step"))
-        state = stored(state.join(step, "row_no").select("row_no", (F.col("pred") + F.col("step")).alias("pred")))
+        later = stored(state.join(step, "row_no").select("row_no", (F.col("pred") + F.col("step")).alias("pred")))
+        if k:
+            discard(state)
+        state = later
     every = trees[0]
     for t in trees[1:]:
         every = every.unionByName(t)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,42 @@ def with_tree(nodes: DataFrame) -> DataFrame:
     return nodes if "tree" in nodes.columns else nodes.withColumn("tree", F.lit(0))
 
 
+#: Nodes of a model that is shipped to workers (about 100 bytes each); larger ones stay a table.
+SHIPPED_NODES = 200_000
+SCORED = 50_000
+
+
 def tree_predictions(rows: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
-    """(row_no, bag, tree, pred): each row goes down every tree at once, a level a join, with its share on every path that a
+    """(row_no, bag, tree, pred): the answer of every tree.  A model of at most SHIPPED_NODES nodes goes to the rows, in one pass over them;
+    with a larger one the rows go down level by level."""
+    nodes = with_tree(nodes).select(F.col("bag").cast("long").alias("bag"), F.col("tree").cast("int").alias("tree"), "node_id", "attr", "border", "missing_l", "value")
+    if nodes.count() > SHIPPED_NODES:
+        return walked_predictions(rows, nodes, features)
+    from .kernel import Tree
+
+    names, groups = list(features), {}
+    for r in nodes.collect():  # SHIPPED_NODES at most
+        groups.setdefault((r["bag"], r["tree"]), []).append((r["node_id"], r["attr"], r["border"], r["missing_l"], r["value"]))
+    model = rows.sparkSession.sparkContext.broadcast([(*key, Tree.of_nodes(groups[key], names)) for key in sorted(groups)])
+    fields = [("row_no", pa.int64()), ("bag", pa.int64()), ("tree", pa.int32()), ("pred", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, SCORED // max(1, len(model.value)))
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k in range(len(names))], 1) if names else np.zeros((batch.num_rows, 0))
+                for bag, tree, t in model.value:
+                    n = batch.num_rows
+                    columns = [batch.column(0).cast(pa.int64()), pa.array(np.full(n, bag)), pa.array(np.full(n, tree, np.int32)), pa.array(t.predict(x))]
+                    yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+    x = rows.select("row_no", *[F.col(f).cast("double").alias(f) for f in names])
+    return x.mapInArrow(run, "row_no long, bag long, tree int, pred double")
+
+
+def walked_predictions(rows: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
+    """tree_predictions by joins: each row goes down every tree at once, a level a join, with its share on every path that a
     missing value opens."""
     nodes = with_tree(nodes).select(*TREE, "node_id", "attr", "border", "missing_l", "value")
     x = rows.select("row_no", *[F.col(f).cast("double").alias(f) for f in features])

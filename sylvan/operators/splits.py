@@ -70,9 +70,13 @@ def best_splits(found: DataFrame, keys: list[str], digits: int = 6) -> DataFrame
 
 def entropy(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, attr, entropy): bits of an attribute's values in a node by coef; missing is a value."""
-    v = rows.groupBy(*keys, "attr", "val").agg(F.sum("coef").alias("v"))
-    share = F.col("v") / F.sum("v").over(Window.partitionBy(*keys, "attr"))
-    return v.withColumn("p", share).groupBy(*keys, "attr").agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"))
+    return block_entropy(rows.groupBy(*keys, "attr", "val").agg(F.sum("coef").alias("v")), keys)
+
+
+def block_entropy(block: DataFrame, keys: list[str]) -> DataFrame:
+    """entropy from blocks: log2 V - (sum of v log2 v) / V, two sums and no window."""
+    v = F.col("v")
+    return block.filter(v > 0).groupBy(*keys, "attr").agg(F.sum(v).alias("all"), F.sum(v * F.log2(v)).alias("logs")).select(*keys, "attr", F.greatest(F.lit(0.0), F.log2("all") - F.col("logs") / F.col("all")).alias("entropy"))
 
 
 def route(items: DataFrame, value: Column, border: Column, missing_l: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import leaf_share
-from ..plans.storage import stored
+from ..plans.storage import discard, stored
 from ..sources.tables import long_form
 from . import splits
 
@@ -25,35 +25,42 @@ KEYS = ["bag", "node_id"]
 
 
 def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float = 0.0, booleans: list[str] | None = None, max_depth: int | None = None, with_entropy: bool = False) -> DataFrame:
-    """Node table.  rows: row_no and features; items: (bag, row_no, coef, resp), the bag's items and their weights."""
+    """Node table.  rows: row_no and features; items: (bag, row_no, coef, resp), the bag's items and their weights.
+
+    Items take their features along, so that a level moves none of them: it scans the items twice, once for the blocks of each node, attribute
+    and value, which alone are exchanged, and once to send the items on.  A level's items are removed once the next one's are written.
+    """
     features = list(features)
-    sizes = stored(items.groupBy("bag").agg(F.count("*").alias("bag_n")))
-    state = stored(items.select("bag", F.lit("1").alias("node_id"), "row_no", F.col("coef").cast("double"), F.col("resp").cast("double")))
+    wide = items.join(rows.select("row_no", *[F.col(f).cast("double").alias(f) for f in features]), "row_no")
+    state = stored(wide.select("bag", F.lit("1").alias("node_id"), "row_no", F.col("coef").cast("double").alias("coef"), F.col("resp").cast("double").alias("resp"), *features))
+    bag_sizes = {r["bag"]: r["count"] for r in state.groupBy("bag").count().collect()}  # one number a bag
     done = []
-    bag_sizes = {r["bag"]: r["bag_n"] for r in sizes.collect()}  # one number a bag
     for depth in count():
-        stats = splits.node_stats(state, KEYS).join(sizes, "bag")
+        stats = splits.node_stats(state, KEYS)
         shares = {b: leaf_share(alpha, n, depth) for b, n in bag_sizes.items()}
         small = F.lit(False)
         for b, share in shares.items():
             if share is not None:
-                small = small | ((F.col("bag") == b) & (F.col("n") / F.col("bag_n") < share))
+                small = small | ((F.col("bag") == b) & (F.col("n") / F.lit(bag_sizes[b]) < share))
         stats = stats.withColumn("open", ~small & ~F.col("pure") & F.lit(max_depth is None or depth < max_depth))
-        opened = stats.filter("open").select(*KEYS)
-        long = long_form(state.join(opened, KEYS).join(rows.select("row_no", *features), "row_no"), [*KEYS, "coef", "resp"], features)
-        best = splits.best_splits(splits.candidates(splits.blocks(long, KEYS), KEYS, booleans), KEYS)
-        if with_entropy:
-            best = best.join(splits.entropy(long, KEYS), [*KEYS, "attr"], "left")
+        level = stats.select(*KEYS, F.lit(depth).alias("depth"), "n", "v", "s", "open")
+        if max_depth is None or depth < max_depth:
+            opened = stats.filter("open").select(*KEYS)
+            block = splits.blocks(long_form(state, [*KEYS, "coef", "resp"], features), KEYS).join(opened, KEYS)
+            best = splits.best_splits(splits.candidates(block, KEYS, booleans), KEYS)
+            best = best.join(splits.block_entropy(block, KEYS), [*KEYS, "attr"], "left") if with_entropy else best.withColumn("entropy", F.lit(None).cast("double"))
+            level = level.join(best, KEYS, "left")
         else:
-            best = best.withColumn("entropy", F.lit(None).cast("double"))
-        level = stats.join(best, KEYS, "left").select(*KEYS, F.lit(depth).alias("depth"), "n", "v", "s", "attr", "border", "missing_l", "entropy", F.when(F.col("attr").isNull(), F.coalesce(F.try_divide("s", "v"), F.lit(0.0))).alias("value"))
-        level = stored(level)
+            level = level.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("attr", "string"), ("border", "double"), ("missing_l", "double"), ("entropy", "double"))])
+        level = stored(level.select(*KEYS, "depth", "n", "v", "s", "attr", "border", "missing_l", "entropy", F.when(F.col("attr").isNull(), F.coalesce(F.try_divide("s", "v"), F.lit(0.0))).alias("value")))
         done.append(level)
         cut = level.filter("attr IS NOT NULL").select(*KEYS, "attr", "border", "missing_l")
-        if cut.isEmpty():
+        if (max_depth is not None and depth >= max_depth) or cut.isEmpty():
             break
-        moving = state.join(cut, KEYS).join(rows.select("row_no", *features), "row_no")
-        value = F.coalesce(*[F.when(F.col("attr") == f, F.col(f).cast("double")) for f in features])
-        moved = splits.route(moving, value, F.col("border"), F.col("missing_l"))
-        state = stored(moved.select("bag", F.concat("node_id", F.col("side").cast("string")).alias("node_id"), "row_no", "coef", "resp"))
+        value = F.coalesce(*[F.when(F.col("attr") == f, F.col(f)) for f in features])
+        moved = splits.route(state.join(cut, KEYS), value, F.col("border"), F.col("missing_l"))
+        later = stored(moved.select("bag", F.concat("node_id", F.col("side").cast("string")).alias("node_id"), "row_no", "coef", "resp", *features))
+        discard(state)
+        state = later
+    discard(state)
     return reduce(DataFrame.unionByName, done)

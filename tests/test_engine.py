@@ -36,6 +36,8 @@ def test_kernel_and_level_wise_trees_agree(spark, missing, alpha):
     t = kernel.grow_tree(x, pdf["w"].to_numpy(), pdf["y"].to_numpy(), alpha, len(pdf), [0, 1, 2], {2}, 4)
     got = predict.tree_predictions(rows, nodes, FEATURES).orderBy("row_no").toPandas()["pred"].to_numpy()
     assert np.allclose(got, t.predict(x), atol=1e-7)
+    table_walk = predict.walked_predictions(rows, nodes, FEATURES).orderBy("row_no").toPandas()["pred"].to_numpy()
+    assert np.allclose(table_walk, got, atol=1e-9)
     case = rows.select("row_no", predict.ensemble_expression(nodes).alias("p")).orderBy("row_no").toPandas()["p"].to_numpy()
     assert np.allclose(case, got, atol=1e-9)
     walked = predict.recursive_predictions(spark, long_form(rows, ["row_no"], FEATURES), nodes).orderBy("row_no").toPandas()["pred"].to_numpy()
