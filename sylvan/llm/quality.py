@@ -22,7 +22,7 @@ MAX_TRAIN_DOCS = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, RATE = 40, 3, 32, 10, 0.3
 #: Lasso penalties tried, as shares of the least one that leaves no rule.
 PENALTIES = (0.1, 0.03, 0.01, 0.003)
-STEPS = 250
+STEPS, SLACK = 50, 0.01
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -123,20 +123,58 @@ def tree_rules(x: dict[str, np.ndarray], y: np.ndarray) -> list[Rule]:
 
 
 def lasso(h: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
-    """Weights (intercept first, without penalty) of an L1 logistic regression, by accelerated proximal steps."""
+    """Weights (intercept first, without penalty) of an L1 logistic regression: quadratic models of the loss, each minimised coordinate by
+    coordinate, until no condition of the optimum is off by more than SLACK of the penalty."""
     a = np.hstack([np.ones((len(y), 1), np.float32), h])
     w = np.zeros(a.shape[1]) if start is None else start.copy()
-    step = 4 / (np.square(a).sum() / len(y))  # below 1 / largest curvature, which the trace bounds
-    v, t = w.copy(), 1.0
+    bound = np.full(len(w), penalty)
+    bound[0] = 0
+    value = lambda u: _loss(a @ u, y) + penalty * np.abs(u[1:]).sum()
     for _ in range(STEPS):
-        g = a.T @ (_sigmoid(a @ v) - y) / len(y)
-        u = v - step * g
-        u[1:] = np.sign(u[1:]) * np.maximum(np.abs(u[1:]) - step * penalty, 0)
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = u + (t - 1) / t2 * (u - w), u, t2
+        p = _sigmoid(a @ w)
+        curve = np.maximum(p * (1 - p), 1e-5).astype(np.float32)
+        gram = ((a * curve[:, None]).T @ a).astype(float) / len(y)
+        pull = a.T @ (y - p) / len(y) + gram @ w
+        u = _coordinates(gram, pull, bound, w)
+        now, step = value(w), 1.0
+        while value(w + step * (u - w)) > now and step > 1e-4:
+            step /= 2
+        w = w + step * (u - w)
+        if off_optimum(a, y, w, penalty) <= SLACK * penalty:
+            break
     return w
 
 
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, z) - y * z))
+
+
+def _coordinates(gram: np.ndarray, pull: np.ndarray, bound: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The u with the least u' gram u / 2 - pull' u + sum of bound |u|: sweeps over all coordinates, and over those in use in between."""
+    u, rest = start.copy(), pull - gram @ start
+    for sweep in range(400):
+        moved = 0.0
+        for j in range(len(u)) if sweep % 10 == 0 else np.flatnonzero(u).tolist():
+            x = rest[j] + gram[j, j] * u[j]
+            new = math.copysign(max(abs(x) - bound[j], 0.0), x) / gram[j, j]
+            if new != u[j]:
+                moved = max(moved, abs(new - u[j]) * gram[j, j])
+                rest -= gram[:, j] * (new - u[j])
+                u[j] = new
+        if moved < 1e-3 * max(bound[-1], 1e-9):
+            if sweep % 10 == 0:
+                break
+    return u
+
+
+def off_optimum(a: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> float:
+    """How far the conditions of the optimum are missed: a slope of 0 for the intercept, of -penalty * sign for weights, of at most the penalty
+    for weights of 0."""
+    g = a.T @ (_sigmoid(a @ w) - y) / len(y)
+    slopes = np.where(w[1:] != 0, np.abs(g[1:] + penalty * np.sign(w[1:])), np.maximum(np.abs(g[1:]) - penalty, 0))
+    return float(max(abs(g[0]), slopes.max(initial=0.0)))
+
+
 def fit(x: dict[str, np.ndarray], y: np.ndarray) -> RuleModel:
     """The model of the penalty with the least loss on every fifth row, fitted again on all.  Without rows: 0.5; with one
     class: its share, smoothed."""

@@ -391,3 +391,92 @@ def test_short_vectors_stay_out(spark, monkeypatch):
         s = sorted((-int(v[i] @ v[j]), j) for j in range(3000) if j != i)[:5]
         want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
     assert sorted(tuple(x) for x in got) == sorted(want)
+
+
+def test_lasso_reaches_its_optimum():
+    r = np.random.default_rng(6)
+    base = r.random((4000, 30)) < 0.3
+    h = np.hstack([base, base[:, :20] & base[:, 10:]]).astype(np.float32)  # rules that imply others, as paths of trees do
+    y = (r.random(4000) < 1 / (1 + np.exp(-(2.0 * h[:, 0] - 1.5 * h[:, 31] - 0.5)))).astype(float)
+    most = float(np.abs(h.T @ (y - y.mean())).max() / len(y))
+    w = None
+    for p in quality.PENALTIES:
+        w = quality.lasso(h, y, p * most, w)
+        assert quality.off_optimum(np.hstack([np.ones((4000, 1)), h]), y, w, p * most) <= 0.06 * p * most
+        if p == 0.1:
+            assert w[1] > 0.5 and w[32] < -0.3 and (np.abs(w[1:]) > 1e-6).sum() < 20
+
+
+def test_packing_query_against_the_library(spark, data, library):
+    docs = {r.doc_id: [*library[BYTE].encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    seats, parts = defaultdict(list), defaultdict(list)
+    for r in packing.op4_packing(spark, data).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(docs[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(docs[r.doc_id])
+        seats[r.sequence_id].append((r.offset, r.length))
+        parts[r.doc_id].append((r.start, r.length))
+    assert set(parts) == set(docs)
+    for i, own in [*parts.items(), *seats.items()]:
+        own.sort()
+        assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()], i
+    assert all(sum(n for _, n in own) == len(docs[i]) for i, own in parts.items()) and all(sum(n for _, n in own) <= 2048 for own in seats.values())
+    total = sum(map(len, docs.values()))
+    assert len(seats) <= -(-total // 2048) + 2  # little padding
+
+
+def test_records_query_against_the_library(spark, data, library):
+    docs = sorted((r.doc_id, [*library[WORD].encode(r.text or "", add_special_tokens=False).ids, 2]) for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    starts = np.cumsum([0] + [len(ids) for _, ids in docs])
+    want = [(i, int(at), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for (i, ids), at in zip(docs, starts, strict=False)]
+    assert sorted(tuple(r) for r in records.op6_binary_records(spark, data).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+
+
+def test_language_decisions_against_plain_sets(spark, data):
+    """The learned sets without a filter, n-grams as strings counted in Python: the same decisions, and no n-gram lost."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [r for r in rows if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    filters = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        points = "".join(c if c.isalpha() else " " for c in text.lower())
+        folded = " " + "".join(c for k, c in enumerate(points) if c != " " or k == 0 or points[k - 1] != " ") + " "
+        return [folded[k : k + n] for n in language_id.ORDERS for k in range(len(folded) - n + 1)]
+
+    total, docs = defaultdict(Counter), defaultdict(Counter)
+    for r in train:
+        g = grams(r.text)
+        total[r.lang].update(g)
+        docs[r.lang].update(set(g))
+    size = {k: sum(c.values()) for k, c in total.items()}
+    few = {k for k in total if sum(r.lang == k for r in train) < language_id.FEW_DOCS}
+    share = {k: {g: n / size[k] for g, n in c.items() if docs[k][g] >= language_id.MIN_DOCS or k in few} for k, c in total.items()}
+    most = Counter()
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    member = {k: {g for g, x in c.items() if x >= language_id.SHARE * most[g]} for k, c in share.items()}
+    assert max(map(len, member.values())) <= language_id.TOP and sorted(member) == filters.languages
+    agree = 0
+    for r in rows:
+        g = grams(r.text or "")
+        hits = [sum(x in member[k] for x in g) for k in filters.languages]
+        got = np.zeros(len(hits), int)
+        for h in language_id.ngrams(r.text or ""):
+            for masks in filters.masks(h):
+                got += [int(np.count_nonzero(masks & masks.dtype.type(1 << k))) for k in range(len(hits))]
+        assert (got >= hits).all()
+        agree += not max(hits, default=0) or filters.decide(r.text or "")[0] == filters.languages[int(np.argmax(hits))]
+    assert agree >= 0.99 * len(rows)
+
+
+def test_statistics_against_plain_python(spark):
+    import re
+
+    texts = ["", "One two.\nTHREE, four! five 55", "a,b,c\n\na,b,c", "  #$ %&  ÉÜ é\t\tx.", "x" * 50_000 + " y"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r for r in table.select("k", *[c.alias(f) for f, c in quality.statistics(F.col("t")).items()]).collect()}
+    for k, t in enumerate(texts):
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+        letters, upper = sum(c.isalpha() for c in t), sum(c.isupper() for c in t)
+        w, n = max(1, len(words)), max(1, len(t))
+        want = {"chars": len(t), "words": len(words), "word_length": letters / w, "letters": letters / n, "upper": upper / max(1, letters), "digits": sum(c in "0123456789" for c in t) / n, "calls": t.count("!") / w, "stops": t.count(".") / w, "commas": t.count(",") / w, "distinct_lines": len(set(lines)) / len(lines), "line_words": len(words) / len(lines)}
+        assert {f: got[k][f] for f in want} == pytest.approx(want), t[:30]
