@@ -112,6 +112,15 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Bytes of a table that may be broadcast by hint.
+HINTED_BYTES = 16 << 20
+
+
+def hinted(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df with a broadcast hint if so many rows of so many bytes are few enough; else Spark decides by what it measures."""
+    return F.broadcast(df) if rows * row_bytes <= HINTED_BYTES else df
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32(doc_id as text) mod divisor; a null id counts as the empty text."""
     text = F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(edges)
     while seen["n"]:
-        edges = materialise(_star(_star(edges, True), False), "stars")
+        later = materialise(_star(_star(edges, True), False), "stars")
+        discard(edges)
+        edges = later
         now = state(edges)
         if now == seen:
             break

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, materialise
+from .common import hinted, id_and_text, map_batches, materialise
 
 WINDOW = 2048
 #: Bytes of ids in a batch that a task hands on.
@@ -129,12 +129,13 @@ def assign_windows(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = pieces.sparkSession
     counts = materialise(pieces.groupBy("part", "length").count(), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}  # at most ``window`` rows
-    plan = spark.createDataFrame(plan_windows(histogram, window), "length int, low long, high long, first long, each long, at long")
+    runs = plan_windows(histogram, window)
+    plan = spark.createDataFrame(runs, "length int, low long, high long, first long, each long, at long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     items = pieces.join(bases, ["part", "length"]).withColumn("nth", F.col("base") + F.col("rank"))
     k = F.col("nth") - F.col("low")
-    placed = items.join(F.broadcast(plan.withColumnRenamed("length", "len")), (F.col("length") == F.col("len")) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
+    placed = items.join(hinted(plan.withColumnRenamed("length", "len"), len(runs), 64), (F.col("length") == F.col("len")) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.col("first") + F.floor(k / F.col("each"))).withColumn("offset", F.col("at") + F.pmod(k, F.col("each")) * F.col("length"))
     return placed.select(*[c for c in pieces.columns if c not in ("part", "rank")], "sequence_id", "offset")
 

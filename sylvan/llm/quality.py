@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, id_and_text, id_remainder
+from .common import WORD, hinted, id_and_text, id_remainder
 
 MAX_TRAIN_DOCS = 20_000
 TREES, DEPTH, BINS, MIN_LEAF, RATE = 40, 3, 32, 10, 0.3
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = marked.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     share = max_train_docs / max(1, marked.count())
     sample = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # about max_train_docs ids
+    rows = id_and_text(docs, id_col, text_col).join(hinted(sample, 2 * max_train_docs, 32), "doc_id")  # about max_train_docs ids
     table = rows.select("y", *[c.alias(f) for f, c in statistics(F.col("text")).items()]).toPandas()
     table = table.sort_values(list(table.columns), ignore_index=True)
     table = table.iloc[np.random.default_rng(0).permutation(len(table))]
