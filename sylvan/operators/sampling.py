@@ -20,12 +20,13 @@ def hash_number(*parts: Column) -> Column:
 SMALL = 64
 
 
-def _attempts(rows: int, bags: int, seed: int) -> dict[int, str]:
+def _attempts(rows: int, bags: int, seed: int, step: int | None) -> dict[int, str]:
     """Names of the bags whose first draw would leave no row out, and which are drawn anew for that."""
     out = {}
     for bag in range(bags) if 1 < rows < SMALL else ():
+        first = str(bag) if step is None else f"{bag}.{step}"
         for k in count():
-            name = f"{bag}.{k}" if k else str(bag)
+            name = f"{first}.{k}" if k else first
             drawn = {int(rows * (int(hashlib.md5(f"{seed}-{name}-{d}".encode()).hexdigest()[:8], 16) / DRAWS)) for d in range(rows)}
             if len(drawn) < rows:
                 break
@@ -34,12 +35,12 @@ def _attempts(rows: int, bags: int, seed: int) -> dict[int, str]:
     return out
 
 
-def bootstrap_draws(spark: SparkSession, rows: int, bags: int, seed: int = 1) -> DataFrame:
-    """(bag, draw, row_no): ``rows`` draws with replacement for each bag.  All rows are equally likely, the last one too; a bag that would leave no
-    row out is drawn anew."""
+def bootstrap_draws(spark: SparkSession, rows: int, bags: int, seed: int = 1, step: int | None = None) -> DataFrame:
+    """(bag, draw, row_no): ``rows`` draws with replacement for each bag, others for each step.  All rows are equally likely, the last one too; a bag
+    that would leave no row out is drawn anew."""
     d = spark.range(bags * rows).select((F.col("id") / rows).cast("long").alias("bag"), (F.col("id") % rows).alias("draw"))
-    name = F.col("bag").cast("string")
-    for bag, again in _attempts(rows, bags, seed).items():
+    name = F.col("bag").cast("string") if step is None else F.concat(F.col("bag").cast("string"), F.lit(f".{step}"))
+    for bag, again in _attempts(rows, bags, seed, step).items():
         name = F.when(F.col("bag") == bag, F.lit(again)).otherwise(name)
     u = hash_number(F.lit(seed).cast("string"), name, F.col("draw").cast("string")) / F.lit(DRAWS)
     return d.withColumn("row_no", F.floor(F.lit(float(rows)) * u).cast("long"))

@@ -621,6 +621,31 @@ def grove_sweep_errors(spark, d):
     return metrics.rmse(_sweeps(spark, d, 2), ["sweep"]).select("sweep", F.round("rmse", 4).alias("rmse"))
 
 
+BAG_SWEEP = f"""WITH {oracle_view('ord')}, {NUMBERED}, {sql.draws_cte('rows', 1).replace("|| bag || '-'", "|| bag || '.0-'")},
+zero AS (SELECT row_no, 0.0::DOUBLE AS pred FROM rows),
+b AS (WITH {sql.tree_ctes('ord', f"SELECT 0 AS bag, row_no, w AS coef, y - pred AS resp, {', '.join(ORD)} FROM draws JOIN rows USING (row_no) JOIN zero USING (row_no)", 1)}, {sql.scored('ord', 1, ROWS)} SELECT row_no, pred FROM pred),
+a AS (WITH {sql.tree_ctes('ord', f"SELECT 0 AS bag, row_no, w AS coef, y - pred AS resp, {', '.join(ORD)} FROM draws JOIN rows USING (row_no) JOIN b USING (row_no)", 1)}, {sql.scored('ord', 1, ROWS)} SELECT row_no, pred FROM pred),
+x AS (SELECT row_no, y, a.pred + b.pred AS p, w FROM a JOIN b USING (row_no) JOIN rows USING (row_no)),
+s AS (SELECT true AS inside, y, p, w FROM x JOIN draws USING (row_no) UNION ALL SELECT false, y, p, w FROM x WHERE row_no NOT IN (SELECT row_no FROM draws))"""
+
+
+@query(f"{BAG_SWEEP} SELECT inside, {RMSE.replace(', 6)', ', 4)')} FROM s GROUP BY inside")
+def grove_bag_errors(spark, d):
+    """A sweep over two stumps on a bag of draws: errors in the bag and out of it."""
+    import numpy as np
+    import pandas as pd
+
+    def work(data, pdf):
+        data.max_depth = 1
+        grove, bag = kernel.Grove(data, 2), kernel.draw(1, data.bag, 0, len(data.y))
+        out = np.setdiff1d(np.arange(len(data.y)), bag)
+        grove.sweep(bag, out, 0.0)
+        return pd.DataFrame({"inside": [True, False], "rmse": grove.errors(bag, out)})
+
+    errors = kernel.per_bag(view(spark, d, "ord").select("key", "y", "w", *ORD), 1, ORD, "inside boolean, rmse double", work, booleans=BOOLEANS["ord"])
+    return errors.select("inside", F.round("rmse", 4).alias("rmse"))
+
+
 # --- state of grid runs, over made-up cells of real rows
 
 CELL_SQL = """cells AS (SELECT b.range AS bag, t.range AS tig_no, a.range AS alpha_no, o_orderkey AS key, (b.range + t.range) % 2 = 0 AS from_below,

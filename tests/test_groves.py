@@ -3,10 +3,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan.functions.scalars import alpha_steps, alpha_value
-from sylvan.operators import features, grid, kernel
+from sylvan.operators import features, grid, kernel, predict, sampling, wide_grove
 from sylvan.plans.catalogue import QUERIES
+from sylvan.sources import tables
 
 WIDTH = 64
 
@@ -129,3 +131,27 @@ def test_a_draw_leaves_a_row_out():
     for n in (2, 3):
         assert all(len(set(kernel.draw(1, bag, 0, n).tolist())) < n for bag in range(200))
     assert kernel.draw(1, 0, 0, 1).tolist() == [0]
+
+
+@pytest.mark.parametrize(("alpha", "missing"), [(0.2, False), (0.5, True)])
+def test_wide_groves_are_the_kernels(spark, alpha, missing):
+    """Level by level over tables, or bag by bag in memory: the same groves."""
+    r = np.random.default_rng(2)
+    n = 40
+    x = r.integers(0, 5, (n, 2)).astype(float)
+    y = (3 * x[:, 0] - 2 * x[:, 1] * x[:, 0] + r.integers(0, 3, n)).astype(float)
+    pdf = pd.DataFrame({"key": np.arange(n), "y": y, "w": 1.0 + np.arange(n) % 2, "a": x[:, 0], "b": x[:, 1]})
+    if missing:
+        pdf.loc[pdf["key"] % 7 == 3, "a"] = np.nan
+    rows = tables.nan_to_null(spark.createDataFrame(pdf))
+    wide = wide_grove.layered_nodes(rows, "key", ["a", "b"], alpha, 2, 2)
+    own = features.layered_nodes(rows.withColumn("set", F.lit("train")), ["a", "b"], ["a", "b"], alpha, 2, 2)
+    table = rows.withColumnRenamed("key", "row_no")
+    got, want = ({(q.row_no, q.bag, q.tree): q.pred for q in predict.tree_predictions(table, nodes, ["a", "b"]).collect()} for nodes in (wide, own))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_draws_of_both_engines(spark):
+    for n, step in ((3, 0), (50, 4)):
+        got = sampling.bootstrap_draws(spark, n, 40, 2, step).orderBy("bag", "draw").collect()
+        assert [q.row_no for q in got] == [int(i) for bag in range(40) for i in kernel.draw(2, bag, step, n)]
