@@ -21,8 +21,9 @@ def node_stats(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (node, attr, value): v, s, least and greatest response.  Partial sums run before the exchange."""
-    return rows.groupBy(*keys, "attr", "val").agg(F.sum("coef").alias("v"), F.sum(F.col("coef") * F.col("resp")).alias("s"), F.min("resp").alias("lo"), F.max("resp").alias("hi"))
+    """Per (node, attr, value): v, s, least and greatest response, gone (the value is missing).  Partial sums run before the exchange.  gone is an
+    aggregate, so that filters on it stay above, and all that is made of the blocks shares one exchange."""
+    return rows.groupBy(*keys, "attr", "val").agg(F.bool_and(F.col("val").isNull()).alias("gone"), F.sum("coef").alias("v"), F.sum(F.col("coef") * F.col("resp")).alias("s"), F.min("resp").alias("lo"), F.max("resp").alias("hi"))
 
 
 def plain_score(v1: Column, s1: Column, v2: Column, s2: Column) -> Column:
@@ -43,9 +44,8 @@ def candidates(block: DataFrame, keys: list[str], booleans: list[str] | None = N
     """(keys, attr, border, missing_l, eval) of every border, and of "present left, missing right" (border null).  A border between two
     blocks that are pure and equal is skipped, except for booleans.  Sums run in two levels, so that an attribute with as many
     values as rows is no single task."""
-    gone = F.col("val").isNull()
-    missing = block.filter(gone).select(*keys, "attr", F.col("v").alias("vm"), F.col("s").alias("sm"))  # a row at most for each attribute of a node
-    run = running(block.filter(~gone), [*keys, "attr"], "val", ["v", "s"], ["val", "lo", "hi"], ["attr"])
+    missing = block.filter("gone").select(*keys, "attr", F.col("v").alias("vm"), F.col("s").alias("sm"))  # a row at most for each attribute of a node
+    run = running(block.filter("NOT gone").drop("gone"), [*keys, "attr"], "val", ["v", "s"], ["val", "lo", "hi"], ["attr"])
     run = run.withColumnsRenamed({"v_before": "v1", "s_before": "s1", "v_all": "vp", "s_all": "sp"}).join(missing, [*keys, "attr"], "left")
     p = run.withColumns({"vm": F.coalesce("vm", F.lit(0.0)), "sm": F.coalesce("sm", F.lit(0.0))})
     apart = p.filter(F.col("last_val").isNull() & F.expr(f"vm > {TINY} AND vp > {TINY}"))  # the first row of its attribute speaks for it

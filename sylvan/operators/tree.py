@@ -46,7 +46,7 @@ def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float =
         level = stats.select(*KEYS, F.lit(depth).alias("depth"), "n", "v", "s", "open")
         if max_depth is None or depth < max_depth:
             opened = stats.filter("open").select(*KEYS)
-            block = splits.blocks(long_form(state, [*KEYS, "coef", "resp"], features), KEYS).join(opened, KEYS)
+            block = stored(splits.blocks(long_form(state, [*KEYS, "coef", "resp"], features), KEYS).join(opened, KEYS))  # read several times
             best = splits.best_splits(splits.candidates(block, KEYS, booleans), KEYS)
             best = best.join(splits.block_entropy(block, KEYS), [*KEYS, "attr"], "left") if with_entropy else best.withColumn("entropy", F.lit(None).cast("double"))
             level = level.join(best, KEYS, "left")
@@ -54,6 +54,8 @@ def grow(rows: DataFrame, items: DataFrame, features: list[str], alpha: float =
             level = level.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("attr", "string"), ("border", "double"), ("missing_l", "double"), ("entropy", "double"))])
         level = stored(level.select(*KEYS, "depth", "n", "v", "s", "attr", "border", "missing_l", "entropy", F.when(F.col("attr").isNull(), F.coalesce(F.try_divide("s", "v"), F.lit(0.0))).alias("value")))
         done.append(level)
+        if max_depth is None or depth < max_depth:
+            discard(block)
         cut = level.filter("attr IS NOT NULL").select(*KEYS, "attr", "border", "missing_l")
         if (max_depth is not None and depth >= max_depth) or cut.isEmpty():
             break
