@@ -50,8 +50,11 @@ def _folded(text: str) -> np.ndarray:
         distinct, which = np.unique(points[other], return_inverse=True)
         letter[other] = np.array([chr(c).isalpha() for c in distinct])[which]
     points = np.where(letter, points, np.uint32(32))
-    keep = np.ones(len(points), bool)
-    keep[1:] = letter[1:] | letter[:-1]  # of separators in a row, the first
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # of separators after a letter, the first
+    if len(keep) and not letter[-1]:
+        last = np.flatnonzero(letter)
+        keep[last[-1] + 1 if len(last) else 0 :] = False  # the closing space comes by itself
     return np.concatenate(([np.uint32(32)], points[keep], [np.uint32(32)]))
 
 

@@ -108,3 +108,14 @@ def test_positions_skip_no_link():
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert all(got[k] == find(k) for k in keep) and len({find(k) for k in keep}) < len(keep)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{k * 7919 % 100_003}" for k in range(200_000)]
+    near, far = list(words), list(words)
+    near[::4001] = ["x"] * len(near[::4001])
+    far[::20] = ["y"] * len(far[::20])
+    rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, 0, "e") for i, t in rows], "doc_id long, text string, n long, element string")
+    got = {r.doc_id: r.component_id for r in J.similar_groups(docs).collect()}
+    assert got == {3: 1, 1: 1, 2: 2, 5: 5, 6: 6}

@@ -276,6 +276,13 @@ def test_language_sample_of_null_ids(spark, monkeypatch):
     assert 100 < read.value < 300
 
 
+def test_ngrams_hold_a_letter():
+    for text in ("  ab, c!  ", "...", "", "a", "1a1"):
+        p = language_id._folded(text)
+        assert not ((p[1:] == 32) & (p[:-1] == 32)).any() or not any(c.isalpha() for c in text)
+    assert "".join(map(chr, language_id._folded("--Ab  c?? "))) == " ab c "
+
+
 def test_language_chunks(monkeypatch):
     text = "Der Wald und die Stadt " * 20
     whole = Counter(np.concatenate(list(language_id.ngrams(text))).tolist())
@@ -437,9 +444,8 @@ def test_language_decisions_against_plain_sets(spark, data):
     filters = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
 
     def grams(text):
-        points = "".join(c if c.isalpha() else " " for c in text.lower())
-        folded = " " + "".join(c for k, c in enumerate(points) if c != " " or k == 0 or points[k - 1] != " ") + " "
-        return [folded[k : k + n] for n in language_id.ORDERS for k in range(len(folded) - n + 1)]
+        folded = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} "
+        return [] if not folded.strip() else [folded[k : k + n] for n in language_id.ORDERS for k in range(len(folded) - n + 1)]
 
     total, docs = defaultdict(Counter), defaultdict(Counter)
     for r in train:
