@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns documents' columns; the last
 returns packed pieces.  Between stages the rows are written as Parquet, so that a lost executor costs one
 stage's tasks and each stage plans with true sizes.
+
+In every stage null and empty texts are texts without words: the first stage drops them, as they have no letter; the others
+would keep them.  Rows with null or repeated ids are rows of their own.  Repeated rows and ties: the first of equals stays.  Very long
+texts are read whole.  Null sources are a source of their own.  An empty table gives an empty result.  Further columns, whatever their names,
+are kept up to the mix.
 """
 
 from __future__ import annotations
