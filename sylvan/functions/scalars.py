@@ -88,6 +88,14 @@ def leaf_share(alpha: float, rows: float, depth: int) -> float | None:
     return 2.0 ** (base - (base + height) * depth / height)
 
 
+def leaf_share_column(alpha: Column, rows: Column, depth: Column) -> Column:
+    """leaf_share of columns; null for no limit."""
+    height = -F.log2(alpha)
+    base = F.least(-F.log2(rows), -height)
+    share = F.pow(F.lit(2.0), base - (base + height) * depth / height)
+    return F.when(alpha >= 1, F.lit(1.0)).when(alpha > 0, share)
+
+
 def round_two_digits(n: int) -> int:
     """Numbers over 100 rounded to two leading digits, halves up."""
     if n <= 100:

@@ -257,15 +257,22 @@ def oob_predictions(spark, d):
     return ensemble.out_of_bag_predictions(rows, nodes, draws, ORD, BAGS).select("row_no", *r6("pred"))
 
 
-CURVE = "SELECT range AS bag, 10 + 1.0::DOUBLE / (range + 1) AS rmse FROM range({n})"
+def _more_oracle(table: str, key: str) -> str:
+    return f"""SELECT '{table}' AS curve, n <= 20 OR NOT ((worst <= best OR worst > 500 * (worst - best)) AND (past <= now OR past > 1000 * (past - now))) AS more FROM (
+SELECT count(*) AS n, min(v) FILTER (k <= 20) AS best, max(v) FILTER (k <= 20) AS worst, max(v) FILTER (k = 21) AS past, max(v) FILTER (k = 1) AS now
+FROM (SELECT 10 + 1.0::DOUBLE / (row_number() OVER (ORDER BY {key})) AS v, row_number() OVER (ORDER BY {key} DESC) AS k FROM {table}))"""
 
 
-@query("SELECT 30 AS bags, true AS more UNION ALL SELECT 20, true UNION ALL SELECT 2000, false")
+CURVE_TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "orders": "o_orderkey"}
+
+
+@query(" UNION ALL ".join(_more_oracle(t, k) for t, k in CURVE_TABLES.items()))
 def bag_convergence_flag(spark, d):
+    """Curves that fall as 1 / k, with as many bags as a table has rows."""
     out = None
-    for n in (20, 30, 2000):
-        curve = spark.range(n).select(F.col("id").alias("bag"), (10 + F.lit(1.0) / (F.col("id") + 1)).alias("rmse"))
-        part = metrics.needs_more_bags(curve).select(F.lit(n).alias("bags"), "more")
+    for table, key in CURVE_TABLES.items():
+        curve = numbered(spark.read.parquet(f"{d}/{table}.parquet").select(key), key, name="bag").select("bag", (10 + F.lit(1.0) / (F.col("bag") + 1)).alias("rmse"))
+        part = metrics.needs_more_bags(curve).select(F.lit(table).alias("curve"), "more")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -299,15 +306,16 @@ def feature_scores(spark, d):
     return ensemble.feature_scores(nodes, rows.agg(F.sum("w")).first()[0]).select("attr", *r6("score"))
 
 
-TOPK = "(VALUES ('a', 0.5), ('b', 0.4), ('c', 0.4), ('d', 0.2), ('e', 0.1), ('f', 0.05)) t(attr, score)"
+PART_SCORES = "SELECT CAST(p_partkey AS VARCHAR) AS attr, CAST(floor(p_retailprice) AS DOUBLE) AS score, p_partkey % 7 = 3 AS marked FROM part"
 
 
-@query(f"""WITH r AS (SELECT attr, CAST(score AS DOUBLE) AS score, row_number() OVER (ORDER BY score DESC, attr) AS place FROM {TOPK}),
-m AS (SELECT *, sum(CASE WHEN attr IN ('b', 'd', 'f') THEN 1 ELSE 0 END) OVER (ORDER BY place) AS marks FROM r)
-SELECT attr, score, CAST(place AS INTEGER) AS place FROM m WHERE place <= 2 OR attr IN ('b', 'd', 'f') AND marks <= 2""")
+@query(f"""WITH p AS ({PART_SCORES}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, attr) AS place FROM p),
+m AS (SELECT *, sum(CASE WHEN marked THEN 1 ELSE 0 END) OVER (ORDER BY place) AS marks FROM r)
+SELECT attr, score, CAST(place AS INTEGER) AS place FROM m WHERE place <= 20 OR marked AND marks <= 12""")
 def feature_topk_split(spark, d):
-    scores = spark.createDataFrame([("a", 0.5), ("b", 0.4), ("c", 0.4), ("d", 0.2), ("e", 0.1), ("f", 0.05)], "attr string, score double")
-    return features.top_features(scores, 2, ["b", "d", "f"], 2)
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("string").alias("attr"), F.floor("p_retailprice").cast("double").alias("score"), (F.col("p_partkey") % 7 == 3).alias("marked"))
+    marked = [r["attr"] for r in part.filter("marked").collect()]  # as many as features are marked in an attribute file
+    return features.top_features(part.select("attr", "score"), 20, marked, 12)
 
 
 # --- rank correlation, quantiles, effects, densities
@@ -406,38 +414,22 @@ def density_markers(spark, d):
 
 # --- grids
 
-@query("SELECT range AS k, round([5, 2, 1][CAST(range % 3 AS INTEGER) + 1] / power(10.0::DOUBLE, range // 3 + 1), 9) AS alpha FROM range(12)")
+@query("SELECT n_nationkey AS k, round([5, 2, 1][CAST(n_nationkey % 3 AS INTEGER) + 1] / power(10.0::DOUBLE, n_nationkey // 3 + 1), 12) AS alpha FROM nation")
 def alpha_grid(spark, d):
-    return spark.range(12).select(F.col("id").alias("k"), F.round(scalars.alpha_column(F.col("id")), 9).alias("alpha"))
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.round(scalars.alpha_column(F.col("n_nationkey")), 12).alias("alpha"))
 
 
-@query("SELECT range AS k, CAST(floor(sqrt(power(2.0::DOUBLE, range + 1)) + 0.5) AS INTEGER) AS n FROM range(12)")
+@query("SELECT n_nationkey AS k, CAST(floor(sqrt(power(2.0::DOUBLE, n_nationkey + 1)) + 0.5) AS INTEGER) AS n FROM nation")
 def tig_grid(spark, d):
-    return spark.range(12).select(F.col("id").alias("k"), scalars.tree_count_column(F.col("id")).alias("n"))
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"), scalars.tree_count_column(F.col("n_nationkey")).alias("n"))
 
 
-@query("SELECT alpha, h AS depth, round(power(2.0::DOUBLE, least(-log2(1000.0), log2(alpha)) - (least(-log2(1000.0), log2(alpha)) - log2(alpha)) * h / -log2(alpha)), 9) AS share FROM (VALUES (0.1::DOUBLE), (0.01::DOUBLE), (0.5::DOUBLE)) a(alpha), (SELECT CAST(range AS INTEGER) AS h FROM range(5))")
+@query("""SELECT s_suppkey, round(power(2.0::DOUBLE, least(-log2(1000.0), log2(alpha)) - (least(-log2(1000.0), log2(alpha)) - log2(alpha)) * h / -log2(alpha)), 9) AS share
+FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.01 ELSE 0.5 END AS alpha, s_suppkey % 5 AS h FROM supplier)""")
 def cur_alpha_schedule(spark, d):
-    rows = [(a, h, round(scalars.leaf_share(a, 1000, h), 9)) for a in (0.1, 0.01, 0.5) for h in range(5)]
-    return spark.createDataFrame(rows, "alpha double, depth int, share double")
-
-
-SURFACE = "SELECT CAST(t.range AS INTEGER) AS tig_no, CAST(a.range AS INTEGER) AS alpha_no, CAST(floor(sqrt(power(2.0::DOUBLE, t.range + 1)) + 0.5) AS INTEGER) AS n, CAST((t.range * 7 + a.range * 5) % 6 + 1 AS DOUBLE) AS perf FROM range(4) t, range(3) a"
-
-
-def _surface(spark):
-    s = spark.range(12).select((F.col("id") % 4).cast("int").alias("tig_no"), F.floor(F.col("id") / 4).cast("int").alias("alpha_no"))
-    return s.select("*", scalars.tree_count_column(F.col("tig_no")).alias("n"), ((F.col("tig_no") * 7 + F.col("alpha_no") * 5) % 6 + 1).cast("double").alias("perf"))
-
-
-@query(f"SELECT tig_no, {', '.join(f'max(perf) FILTER (alpha_no = {a}) AS a{a}' for a in range(3))} FROM ({SURFACE}) GROUP BY tig_no")
-def surface_pivot(spark, d):
-    return metrics.surface_pivot(_surface(spark))
-
-
-@query(f"SELECT * FROM ({SURFACE}) ORDER BY perf, power(2, alpha_no) * n LIMIT 1")
-def best_cell(spark, d):
-    return metrics.best_cell(_surface(spark))
+    key = F.col("s_suppkey")
+    alpha = F.when(key % 3 == 0, 0.1).when(key % 3 == 1, 0.01).otherwise(0.5)
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.round(scalars.leaf_share_column(alpha, F.lit(1000.0), key % 5), 9).alias("share"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
@@ -675,6 +667,16 @@ def grid_surface(spark, d):
     return grid.surface(*_run(spark, d)).select("tig_no", "alpha_no", "n", "alpha", *r6("perf"))
 
 
+@query(f"{CURVES} SELECT tig_no, {', '.join(f'max(perf) FILTER (alpha_no = {a}) AS a{a}' for a in range(2))} FROM curves WHERE bag = 2 GROUP BY tig_no")
+def surface_pivot(spark, d):
+    return metrics.surface_pivot(grid.surface(*_run(spark, d))).select("tig_no", *r6("a0", "a1"))
+
+
+@query(f"{CURVES} SELECT tig_no, alpha_no, tig_no + 1 AS n, perf FROM curves WHERE bag = 2 ORDER BY perf, power(2, alpha_no) * (tig_no + 1) LIMIT 1")
+def best_cell(spark, d):
+    return metrics.best_cell(grid.surface(*_run(spark, d))).select("tig_no", "alpha_no", "n", *r6("perf"))
+
+
 @query(f"WITH {CELL_SQL} SELECT CAST(tig_no AS INTEGER) AS tig_no, CAST(alpha_no AS INTEGER) AS alpha_no, round(avg(CASE WHEN from_below THEN 1 ELSE 0 END), 6) AS share FROM cells GROUP BY ALL")
 def grid_directions(spark, d):
     return metrics.direction_table(_run(spark, d)[0].cells).select("tig_no", "alpha_no", *r6("share"))

@@ -51,3 +51,9 @@ def test_in_base():
     assert [s.in_base(*x) for x in ((0,), (-255, 16), (255, 2), (35, 36))] == ["0", "-ff", "11111111", "z"]
     with pytest.raises(ValueError, match="base"):
         s.in_base(1, 1)
+
+
+def test_leaf_share_column(spark):
+    df = spark.createDataFrame([(a, float(n), h) for a in (0.0, 0.01, 0.2, 0.5, 1.0) for n in (1000, 50) for h in range(5)], "a double, n double, h int")
+    for r in df.select("*", s.leaf_share_column(F.col("a"), F.col("n"), F.col("h")).alias("got")).collect():
+        assert r.got == (None if (want := s.leaf_share(r.a, r.n, r.h)) is None else pytest.approx(want))
