@@ -397,16 +397,15 @@ def _link_cells(cells: DataFrame, threshold: int) -> DataFrame:
     return map_batches(cells.select("cell", "node", "side", "before", "elements", "prefix"), run, "a long, b long")
 
 
-def _cells(members: DataFrame, postings: DataFrame, threshold: int, block: int) -> DataFrame:
-    """(cell, node, side): what is compared where.  members: node, n, component, total (elements of the component); postings: element,
-    node, n."""
+def _cells(members: DataFrame, threshold: int, block: int) -> DataFrame:
+    """(cell, node, side): what is compared where.  members: node, n, prefix, component, total (elements of the component)."""
     small = members.filter(F.col("total") <= block).select(F.col("component").cast("string").alias("cell"), "node", F.lit(0).cast("long").alias("side"))
     large = members.filter(F.col("total") > block)
     if large.isEmpty():  # saves the plan, changes nothing
         return small
     large = materialise(large, "large")
     work = lambda total: F.col(total) * F.ceil(F.col(total) / F.lit(block))
-    own = postings.join(large.select("node", "component"), "node")
+    own = large.select("component", "node", "n", F.explode("prefix").alias("element"))
     lists = own.groupBy("component", "element").agg(F.count("*").alias("sets"), F.sum("n").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("sets > 1")
     lists = materialise(lists.groupBy("component", "sets", "x", "y").agg(F.min("element").alias("element"), F.first("of").alias("of")), "lists")
     apart = lists.groupBy("component").agg(F.sum(work("of")).alias("apart"))
@@ -460,13 +459,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHO
     alone = F.col("n") - F.size("common")  # elements of no other set come first in the order of rarity
     rarest = F.slice("common", F.lit(1), F.greatest(F.lit(0), k - alone).cast("int"))
     prefixes = materialise(common.select("node", "n", alone.alias("before"), rarest["element"].alias("prefix")).filter(F.size("prefix") > 0), "prefixes")
-    postings = prefixes.select("node", "n", F.explode("prefix").alias("element"))
+    postings = prefixes.select("node", F.explode("prefix").alias("element"))
     lists = postings.groupBy("element").agg(F.min("node").alias("b"))
     groups = components(postings.join(lists, "element").select(F.col("node").alias("a"), "b"))
 
-    members = groups.join(prefixes.select("node", "n"), "node")
+    members = groups.join(prefixes.select("node", "n", "prefix"), "node")
     members = members.join(members.groupBy("component").agg(F.sum("n").alias("total")), "component")
-    cells = _cells(members, postings, threshold, block).join(prefixes.select("node", "before", "prefix"), "node").join(full.select("node", "elements"), "node")
+    cells = _cells(members, threshold, block).join(prefixes.select("node", "before", "prefix"), "node").join(full.select("node", "elements"), "node")
     links = components(_link_cells(cells.repartition("cell").sortWithinPartitions("cell"), threshold))
 
     found = classes.join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))

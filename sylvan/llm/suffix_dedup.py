@@ -318,8 +318,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     anchors = rows.filter("until < 0").drop("until")
     strings = anchors.groupBy("string").agg(F.sum("n").alias("all"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c0", "c1") for f in (F.min, F.max)]).filter("all > 1")
     differ = (F.col("min_c0") != F.col("max_c0")) | (F.col("min_c1") != F.col("max_c1"))
-    several = materialise(anchors.join(strings.select("string", differ.alias("differ")), "string"), "repeated")
+    strings = materialise(strings.select("string", differ.alias("differ")), "strings")  # so that the join may split a common string's rows
+    several = materialise(anchors.join(strings, "string"), "repeated")
     discard(rows)
+    discard(strings)
     context = ["string", "c0", "c1"]
     contexts = several.groupBy(*context).agg(F.sum("n").alias("times"), F.min(F.struct("doc_id", "body", "at", "low", "high")).alias("rep"), F.first("differ").alias("differ"))
     contexts = materialise(contexts, "contexts")
