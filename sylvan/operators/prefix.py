@@ -7,6 +7,8 @@ however many rows a group has.  Rows are distinct values of their group, so equa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +16,18 @@ OCTAVE = 512
 FIRST, LAST = -(2**31), 2**31 - 1
 
 
+def _joined(df: DataFrame, few: DataFrame, key: list[str]) -> DataFrame:
+    """df with few's further columns; nulls in the key are equal."""
+    told = few.select(*[F.col(k).alias(f"_of_{k}") for k in key], *[c for c in few.columns if c not in key])
+    return df.join(told, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key])).drop(*[f"_of_{k}" for k in key])
+
+
 def bucketed(df: DataFrame, by: list[str], order: str, scale: list[str] | None = None) -> DataFrame:
     """df with _bucket, which grows with ``order``.  scale: the columns of which each group has a least value of its own (default: by)."""
     scale = by if scale is None else scale
     half = F.col(order).cast("double") / 2  # a difference of halves stays finite
     least = df.groupBy(*scale).agg(F.min(half).alias("_least"))
-    both = df.join(least, scale) if scale else df.withColumn("_least", least.scalar())
+    both = _joined(df, least, scale) if scale else df.withColumn("_least", least.scalar())
     above = F.log2(half - F.col("_least"))
     bucket = F.when(half == F.col("_least"), F.lit(FIRST)).when(F.isnan(half), F.lit(LAST)).otherwise(F.floor(F.greatest(F.lit(-4000.0), F.least(F.lit(4000.0), F.coalesce(above, F.lit(-4000.0)))) * OCTAVE).cast("int"))
     return both.withColumn("_bucket", bucket).drop("_least")
@@ -37,6 +45,6 @@ def running(df: DataFrame, by: list[str], order: str, sums: list[str], last: lis
     outer = Window.partitionBy(*by)
     before = outer.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*key, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in sums], *[F.sum(f"_sum_{c}").over(outer).alias(f"{c}_all") for c in sums], *([F.lag("_end").over(outer.orderBy("_bucket")).alias("_end")] if last else []))
-    out = rows_.join(totals, key)
+    out = _joined(rows_, totals, key)
     first = F.col("_nth") == 1
     return out.select(*df.columns, *[(F.col(f"_base_{c}") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums], *[F.col(f"{c}_all") for c in sums], *[F.when(first, F.col(f"_end.{c}")).otherwise(F.col(f"_last_{c}")).alias(f"last_{c}") for c in last])

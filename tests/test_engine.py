@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sylvan.operators import effects, ensemble, features, grid, kernel, metrics, predict, sampling, tree
+from sylvan.operators import effects, ensemble, features, grid, kernel, metrics, predict, prefix, sampling, tree
 from sylvan.sources import sinks
 from sylvan.sources.tables import long_form
 
@@ -202,6 +202,25 @@ def test_expanding_trains_missing_cells_only(marked, mode, monkeypatch):
     assert grown.nodes.count() == whole_run.nodes.count()
 
 
+def test_prefix_sums(spark):
+    """Against plain loops: any magnitude, null groups, no group, no rows."""
+    r = random.Random(1)
+    rows = []
+    for g in (0, 1, None):
+        values = {r.choice([r.gauss(0, 1), r.gauss(1e9, 1), -1e300 * r.random(), r.random() * 1e-310, float(r.randrange(50))]) for _ in range(200)}
+        rows += [(g, v, r.randrange(10)) for v in values | {1.7e308, -1.7e308, 0.0, 5e-324}]
+    df = spark.createDataFrame(rows, "g int, v double, n long")
+    got = {(x.g, x.v): (x.n_before, x.n_all, x.last_v) for x in prefix.running(df, ["g"], "v", ["n"], ["v"]).collect()}
+    for g in (0, 1, None):
+        own, before, last = sorted((v, n) for k, v, n in rows if k == g), 0, None
+        for v, n in own:
+            assert got[g, v] == (before, sum(m for _, m in own), last)
+            before, last = before + n, v
+    one = df.filter("g = 0")
+    assert {x.v: x.n_before for x in prefix.running(one, [], "v", ["n"]).collect()} == {v: b for (g, v), (b, _, _) in got.items() if g == 0}
+    assert prefix.running(df.limit(0), ["g"], "v", ["n"], ["v"]).isEmpty() and prefix.running(df.limit(0), [], "v", ["n"]).isEmpty()
+
+
 def test_one_class_and_no_weight(spark, tmp_path):
     """What has no meaning is null, not an error of division."""
     df = spark.createDataFrame([("a", 1.0, 1.0, 1.0), ("a", 2.0, 1.0, 1.0), ("b", 1.0, 0.0, 0.0), ("b", 2.0, 1.0, 0.0)], "g string, pred double, y double, w double")
