@@ -62,5 +62,7 @@ def layered_nodes(train: DataFrame, key: str, features: list[str], alpha: float,
             now = _errors(rows, state, drawn, joint)
             live = {b for b in live if gains(errors[b], now[b])}
             errors = now
+        discard(draws)
+        discard(drawn)
     out = [df.filter(F.col("bag").isin(sorted(b))).withColumn("tree", F.lit(k)) for k, fits in known.items() for b, df in fits]
     return reduce(DataFrame.unionByName, out).select("bag", "tree", "node_id", "attr", "border", "missing_l", "value")
