@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, id_and_text, map_batches, materialise
-from .hashing import hashes, mixed, prefix_sums
+from .hashing import hashes, prefix_sums
 
 LENGTH = 400
 #: Distinct contexts of an anchor string that one task takes at most, and contexts of all its strings that it is planned for.
