@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     df = QUERIES[name](spark, data)
     res = con.execute(ORACLES[name])
