@@ -48,78 +48,68 @@ def check_cover(window: int, period: int, cover: tuple[int, ...]) -> None:
 
 
 class Words:
-    """A text's words: how many, and 64-bit hashes (two independent ones) of any run of them."""
+    """A text's words, and 64-bit hashes (two independent ones) of any run of them."""
 
     def __init__(self, text: bytes):
         data = np.frombuffer(text, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate(([True], BLANK[data], [True])).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.n = len(self.starts)
-        h, lo = np.empty(self.n, np.uint64), 0
-        while lo < self.n:
+        n, lo = len(self.starts), 0
+        self.hashes = np.empty(n, np.uint64)
+        while lo < n:
             base = self.starts[lo]
             hi = int(np.searchsorted(self.ends, base + STRIDE, "right"))
             if hi <= lo:
-                h[lo] = int.from_bytes(hashlib.blake2b(text[base : self.ends[lo]], digest_size=8).digest(), "little")
+                self.hashes[lo] = int.from_bytes(hashlib.blake2b(text[base : self.ends[lo]], digest_size=8).digest(), "little")
                 hi = lo + 1
             else:
-                h[lo:hi] = hashes(prefix_sums(data[base : self.ends[hi - 1]]), self.starts[lo:hi] - base, self.ends[lo:hi] - base)
+                self.hashes[lo:hi] = hashes(prefix_sums(data[base : self.ends[hi - 1]]), self.starts[lo:hi] - base, self.ends[lo:hi] - base)
             lo = hi
-        self.sums = prefix_sums(h), prefix_sums(mixed(h ^ SECOND))
+        self.sums: dict[int, np.ndarray] = {}
 
     def run(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if which not in self.sums:
+            self.sums[which] = prefix_sums(mixed(self.hashes ^ SECOND) if which else self.hashes)
         return hashes(self.sums[which], start, end)
 
 
-class Anchored:
-    """Documents of a chunk with their anchors: document (number in the chunk), place, string; sorted distinct strings."""
-
-    def __init__(self, ids: list[int | None], texts: list[bytes], window: int, period: int, cover: tuple[int, ...]):
-        self.window, self.gram = window, window - period + 1
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.words = [Words(t) for t in texts]
-        places = []
-        for w in self.words:
-            p = np.arange(max(0, w.n - self.gram + 1)) if w.n >= window else np.zeros(0, np.int64)
-            places.append(p[np.isin(p % period, cover)])
-        self.count = np.array([len(p) for p in places])
-        self.doc, self.at = np.repeat(np.arange(len(ids)), self.count), np.concatenate(places)
-        self.string = np.concatenate([w.run(0, p, p + self.gram) for w, p in zip(self.words, places, strict=True)])
-
-    def narrow(self, own: np.ndarray) -> None:
-        """Go on with these anchors; find their contexts, and of each distinct one (string, context) the least document."""
-        self.doc, self.at, self.string = self.doc[own], self.at[own], self.string[own]
-        n = np.array([w.n for w in self.words], np.int64)[self.doc]
-        self.low, self.high = np.maximum(self.at - (self.window - self.gram), 0), np.minimum(self.at + self.window, n)
-        context = np.empty(len(self.doc), np.uint64)
-        for k, lo, hi in self._documents(self.doc):
-            context[lo:hi] = mixed(self.words[k].run(1, self.low[lo:hi], self.high[lo:hi]) + (self.at - self.low)[lo:hi].astype(np.uint64))
-        self.first, self.group = _distinct(self.string, context, self.ids[self.doc])
-        self.context = context
+class Documents:
+    """Documents one after the other: words, and each one's first word and number of words."""
 
-    @staticmethod
-    def _documents(doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else []
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            yield int(doc[lo]), int(lo), int(hi)
-
-    def least(self) -> np.ndarray:
-        """Whether an anchor's document is the least of the chunk with its context."""
-        return self.ids[self.doc] == self.ids[self.doc[self.first]][self.group]
-
-    def windows(self, asked: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The windows around these anchors: document, beginning, two hashes, first and group of distinct ones."""
-        doc, at, start, last = self.doc[asked], self.at[asked], self.low[asked], self.high[asked] - self.window
-        n = last - start + 1
-        begin = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum())
-        doc = np.repeat(doc, n)
-        pair = np.unique(np.stack([doc, begin], 1), axis=0)
-        doc, begin = pair[:, 0], pair[:, 1]
-        h = np.empty((2, len(doc)), np.uint64)
-        for k, lo, hi in self._documents(doc):
-            for which in (0, 1):
-                h[which, lo:hi] = self.words[k].run(which, begin[lo:hi], begin[lo:hi] + self.window)
-        return doc, begin, h[0], h[1], *_distinct(h[0], h[1], self.ids[doc])
+    def __init__(self, texts: list[bytes], window: int, gram: int):
+        self.window, self.gram = window, gram
+        self.words = Words(b"\n".join(texts))
+        offset = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.base = np.searchsorted(self.words.starts, offset)
+        self.n = np.diff(self.base)
+
+    def anchors(self, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place of the string in it) in order."""
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        at = np.arange(len(doc)) - self.base[doc]
+        own = np.isin(np.arange(period), cover)[at % period] & (at + self.gram <= self.n[doc]) & (self.n[doc] >= self.window)
+        return doc[own], at[own]
+
+    def strings(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        first = self.base[doc] + at
+        return self.words.run(0, first, first + self.gram)
+
+    def around(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all windows that hold the string, as a range in the document."""
+        return np.maximum(at - (self.window - self.gram), 0), np.minimum(at + self.window, self.n[doc])
+
+    def contexts(self, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        low, high = self.around(doc, at)
+        return mixed(self.words.run(1, self.base[doc] + low, self.base[doc] + high) + (at - low).astype(np.uint64))
+
+    def windows(self, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct windows that hold these strings: document, beginning, two hashes."""
+        low, high = self.around(doc, at)
+        n = high - low - self.window + 1
+        begin = np.repeat(self.base[doc] + low - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum())
+        begin = np.unique(begin)
+        of = np.searchsorted(self.base, begin, "right") - 1
+        return of, begin - self.base[of], *(self.words.run(which, begin, begin + self.window) for which in (0, 1))
 
 
 def _distinct(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +121,24 @@ def _distinct(a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> tuple[np.ndarra
     return by[new], group
 
 
+def _least(ids: np.ndarray, doc: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Whether a row's document is the least of those with its ref."""
+    low = np.full(int(ref.max(initial=-1)) + 1, 2**63 - 1, np.int64)
+    np.minimum.at(low, ref, ids[doc])
+    return ids[doc] == low[ref]
+
+
+def _marked(refs: list[int], ref: np.ndarray) -> np.ndarray:
+    """Which of ref are among refs."""
+    mark = np.zeros(int(ref.max(initial=-1)) + 1, bool)
+    mark[refs] = True
+    return mark[ref]
+
+
+def _keys(ids: list[int | None]) -> np.ndarray:
+    return np.array([NO_ID if i is None else i for i in ids], np.int64)
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.astype(np.uint64).view(np.int64))
 
@@ -150,7 +158,7 @@ class Passages:
 
     def __init__(self, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, chunk_bytes: int = CHUNK_BYTES, bucket_text: int = BUCKET_TEXT):
         check_cover(window, period, cover)
-        self.shape, self.window, self.chunk_bytes, self.bucket_text = (window, period, tuple(cover)), window, chunk_bytes, bucket_text
+        self.shape, self.chunk_bytes, self.bucket_text = (window, window - period + 1, period, tuple(cover)), chunk_bytes, bucket_text
 
     def write_chunks(self, docs: DataFrame) -> DataFrame:
         size = self.chunk_bytes
@@ -167,12 +175,13 @@ class Passages:
 
     def shared_anchors(self, chunks: DataFrame, n: int) -> DataFrame:
         """(chunk, masks): which of a chunk's sorted distinct strings other chunks may have too, by bucket."""
-        shape, read = self.shape, self._read
+        (window, gram, period, cover), read = self.shape, self._read
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, data in zip(batch.column(0), batch.column(1), strict=True):
-                    strings = np.unique(Anchored(*read(data.as_py()), *shape).string)
+                    docs = Documents(read(data.as_py())[1], window, gram)
+                    strings = np.unique(docs.strings(*docs.anchors(period, cover)))
                     low = strings.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                     rows = [(b, low[x:y].tobytes()) for b, x, y in buckets(strings, n)]
                     if rows:
@@ -203,33 +212,35 @@ class Passages:
     def contexts(self, chunks: DataFrame, masks: DataFrame, n: int) -> DataFrame:
         """SCANNED rows of three kinds: a context's least document in a chunk (ref not null), a chunk's documents with recurring anchors (live), and
         the other documents, which are done."""
-        shape, read = self.shape, self._read
+        (window, gram, period, cover), read = self.shape, self._read
 
         def rows_of(chunk: int, data: bytes, told: list[dict]) -> Iterator[pa.RecordBatch]:
             ids, texts = read(data)
-            a = Anchored(ids, texts, *shape)
-            strings, which, times = np.unique(a.string, return_inverse=True, return_counts=True)
+            docs = Documents(texts, window, gram)
+            doc, at = docs.anchors(period, cover)
+            string = docs.strings(doc, at)
+            strings, which, times = np.unique(string, return_inverse=True, return_counts=True)
             again = times > 1
             by = {t["bucket"]: t["mask"] for t in told or []}
             for b, x, y in buckets(strings, n):
                 again[x:y] |= np.unpackbits(np.frombuffer(by[b], np.uint8), count=y - x).astype(bool)
             own = again[which] if len(which) else np.zeros(0, bool)
-            live = np.zeros(len(ids), bool)
-            live[a.doc[own]] = True
-            edge = np.concatenate(([0], np.cumsum(a.count)))
-            done = [k for k in range(len(ids)) if not live[k]]
+            doc, at, string = doc[own], at[own], string[own]
+            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+            done = np.flatnonzero(edge[1:] == edge[:-1]).tolist()
             for lo in range(0, len(done), 1000):
                 part = done[lo : lo + 1000]
-                yield _batch(len(part), doc_id=[ids[k] for k in part], n_words=[a.words[k].n for k in part], text=[b" ".join(texts[k].split()).decode() for k in part])
-            if live.any():
-                left = np.flatnonzero(live).tolist()
-                marks = [np.packbits(own[edge[k] : edge[k + 1]]).tobytes() for k in left]
-                data = packed({"doc_id": pa.array([ids[k] for k in left], pa.int64()), "text": pa.array([texts[k] for k in left], pa.large_binary()), "marks": pa.array(marks, pa.binary())})
-                yield _batch(1, chunk=[chunk], live=[data])
-                a.narrow(own)
-                for lo in range(0, len(a.first), ROWS):
-                    f = a.first[lo : lo + ROWS]
-                    yield _batch(len(f), chunk=np.full(len(f), chunk), string=_signed(a.string[f]), context=_signed(a.context[f]), doc=a.ids[a.doc[f]], ref=np.arange(lo, lo + len(f), dtype=np.int32))
+                yield _batch(len(part), doc_id=[ids[k] for k in part], n_words=docs.n[part], text=[b" ".join(texts[k].split()).decode() for k in part])
+            if not len(doc):
+                return
+            context, rank = docs.contexts(doc, at), _keys(ids)[doc]
+            first, ref = _distinct(string, context, rank)
+            live = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
+            places = lambda c: pa.array([c[edge[k] : edge[k + 1]].astype("<i4").tobytes() for k in live], pa.binary())
+            yield _batch(1, chunk=[chunk], live=[packed({"doc_id": pa.array([ids[k] for k in live], pa.int64()), "text": pa.array([texts[k] for k in live], pa.large_binary()), "at": places(at), "ref": places(ref)})])
+            for lo in range(0, len(first), ROWS):
+                f = first[lo : lo + ROWS]
+                yield _batch(len(f), chunk=np.full(len(f), chunk), string=_signed(string[f]), context=_signed(context[f]), doc=rank[f], ref=np.arange(lo, lo + len(f), dtype=np.int32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -238,12 +249,20 @@ class Passages:
 
         return materialise(map_batches(chunks.join(masks, "chunk", "left").select("chunk", "docs", "masks"), run, SCANNED), "scanned")
 
-    def _live(self, data: bytes) -> tuple[list[int | None], list[bytes], Anchored]:
-        batch = unpacked(data)
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        a = Anchored(ids, texts, *self.shape)
-        a.narrow(np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=k) for m, k in zip(batch.column(2).to_pylist(), a.count.tolist(), strict=True)]).astype(bool))
-        return ids, texts, a
+    @staticmethod
+    def _live(data: bytes) -> tuple[list[int | None], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, texts, each recurring anchor's document, place and ref)."""
+        ids, texts, at, ref = (c.to_pylist() for c in unpacked(data).columns)
+        doc = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in at])
+        return ids, texts, doc, *(np.frombuffer(b"".join(x), "<i4").astype(np.int64) for x in (at, ref))
+
+    def _open_windows(self, ids: list[int | None], texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the windows around these anchors: document, beginning, two hashes, first and number of distinct ones.  Other documents aren't looked at."""
+        some, place = np.unique(doc, return_inverse=True)
+        window, gram, *_ = self.shape
+        of, begin, x, y = Documents([texts[k] for k in some.tolist()], window, gram).windows(place, at)
+        of = some[of] if len(some) else of
+        return of, begin, x, y, *_distinct(x, y, _keys(ids)[of])
 
     def compare_contexts(self, scanned: DataFrame) -> DataFrame:
         """(chunk, covered, open): refs of contexts that a lesser document has, and of those whose windows are still to be compared."""
@@ -259,16 +278,16 @@ class Passages:
 
     def compare_windows(self, live: DataFrame, told: DataFrame) -> DataFrame:
         """(chunk, gone): numbers of the open windows that a lesser document has."""
-        read = self._live
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk, data, refs in zip(*(batch.column(k) for k in range(3)), strict=True):
-                    _, _, a = read(data.as_py())
-                    doc, _, x, y, first, _ = a.windows(np.isin(a.group, refs.as_py()) & a.least())
+                    ids, texts, doc, at, ref = self._live(data.as_py())
+                    own = _marked(refs.as_py(), ref) & _least(_keys(ids), doc, ref)
+                    of, _, x, y, first, _ = self._open_windows(ids, texts, doc[own], at[own])
+                    rank = _keys(ids)[of]
                     for lo in range(0, len(first), ROWS):
                         f = first[lo : lo + ROWS]
-                        yield pa.RecordBatch.from_arrays([_signed(x[f]), _signed(y[f]), pa.array(a.ids[doc[f]]), pa.array(np.full(len(f), chunk.as_py())), pa.array(np.arange(lo, lo + len(f), dtype=np.int32))], ["x", "y", "doc", "chunk", "ref"])
+                        yield pa.RecordBatch.from_arrays([_signed(x[f]), _signed(y[f]), pa.array(rank[f]), pa.array(np.full(len(f), chunk.as_py())), pa.array(np.arange(lo, lo + len(f), dtype=np.int32))], ["x", "y", "doc", "chunk", "ref"])
 
         asked = live.join(told.filter(F.size("open") > 0).select("chunk", "open"), "chunk").select("chunk", "live", "open")
         rows = materialise(map_batches(asked, run, "x long, y long, doc long, chunk long, ref int"), "windows")
@@ -277,26 +296,26 @@ class Passages:
 
     def cut(self, live: DataFrame, told: DataFrame, gone: DataFrame) -> DataFrame:
         """(doc_id, n_words, spans, text) of the live documents."""
-        read, window = self._live, self.window
+        window, gram, *_ = self.shape
 
         def cuts(data: bytes, covered: list[int], opened: list[int], gone: list[int]) -> Iterator[tuple]:
-            ids, texts, a = read(data)
-            settled = np.isin(a.group, covered) | ~a.least()
-            doc, low, high = a.doc[settled], a.low[settled], a.high[settled]
-            d, begin, _, _, first, group = a.windows(np.isin(a.group, opened) & a.least())
-            again = np.isin(group, gone) | (a.ids[d] > a.ids[d[first]][group]) if len(d) else np.zeros(0, bool)
-            doc, low, high = np.concatenate((doc, d[again])), np.concatenate((low, begin[again])), np.concatenate((high, begin[again] + window))
-            by = np.argsort(doc, kind="stable")
-            edge = np.searchsorted(doc[by], np.arange(len(ids) + 1))
-            for k, w in enumerate(a.words):
-                own = by[edge[k] : edge[k + 1]]
-                depth = np.zeros(w.n + 1, np.int64)
-                np.add.at(depth, low[own], 1)
-                np.add.at(depth, high[own], -1)
+            ids, texts, doc, at, ref = self._live(data)
+            rank, words = _keys(ids), [t.split() for t in texts]
+            n, least = np.array([len(w) for w in words]), _least(rank, doc, ref)
+            settled = _marked(covered, ref) | ~least
+            low, high = np.maximum(at - (window - gram), 0)[settled], np.minimum(at + window, n[doc])[settled]
+            own = _marked(opened, ref) & least
+            of, begin, _, _, first, group = self._open_windows(ids, texts, doc[own], at[own])
+            again = _marked(gone, group) | (rank[of] > rank[of[first]][group])
+            of, low, high = np.concatenate((doc[settled], of[again])), np.concatenate((low, begin[again])), np.concatenate((high, begin[again] + window))
+            by = np.argsort(of, kind="stable")
+            edge = np.searchsorted(of[by], np.arange(len(ids) + 1))
+            for k, own_words in enumerate(words):
+                mine = by[edge[k] : edge[k + 1]]
+                depth = np.bincount(low[mine], minlength=n[k] + 1) - np.bincount(high[mine], minlength=n[k] + 1)
                 out = np.cumsum(depth[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8)))
-                words = texts[k].split()
-                yield ids[k], w.n, [{"start": int(x), "until": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)], b" ".join(itertools.compress(words, (~out).tolist())).decode()
+                yield ids[k], len(own_words), [{"start": int(x), "until": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)], b" ".join(itertools.compress(own_words, (~out).tolist())).decode()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -67,7 +67,7 @@ def test_long_words_and_texts(spark):
 def test_covers(spark):
     with pytest.raises(ValueError, match="cover"):
         S.check_cover(13, 7, (0, 1, 2))
-    places = S.Anchored([1], [b"w " * 50], 13, 7, (0, 1, 3)).at
+    places = S.Documents([b"w " * 50], 13, 7).anchors(7, (0, 1, 3))[1]
     for i in range(20):
         for j in range(20):
             assert any(np.isin(i + k, places) and np.isin(j + k, places) for k in range(7))
