@@ -30,14 +30,16 @@ LEAST_BLOCK, MOST_BLOCK, STEP = 1024, 32_768, 1024
 #: Bytes of a block's matrix as doubles, about; queries in a block; groups of candidate blocks that the driver knows the longest vector of.
 BLOCK_BYTES, QUERIES, GROUPS = 16 << 20, 1024, 4096
 EXACT = 2.0**53
+#: Stands for a null id, so that it comes last among equals.
+NO_ID = 2**63 - 1
 
 
 def usable_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(row, vec_id, v array<double>, norm): scaled and floored; vectors that are null, or hold null or non-finite
-    components, and rows without an id left out."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
+    components, left out.  A null id is NO_ID."""
+    v = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = v.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).filter(finite)
+    v = v.filter(F.col("e").isNotNull()).filter(finite)
     scaled = F.transform("e", lambda x: _floored(x * F.lit(float(SCALE))))
     v = v.select(F.monotonically_increasing_id().alias("row"), "vec_id", scaled.alias("v"))
     return v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
@@ -206,8 +208,8 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
     """Each query's ``top`` highest inner products: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     is_query: a condition on vec_id.  Queries are rows; candidates are all rows but the query's own, so of repeated
-    rows each finds the others.  Null vectors, vectors with null or non-finite components and null ids take no
-    part.  Vectors of several lengths: the shorter are filled up with 0.  Scores beyond a long: held at its ends.  Further
+    rows each finds the others.  Null vectors and vectors with null or non-finite components take no part.  Rows with null ids are candidates, last among
+    equals (an id of 2**63 - 1 reads as null), and no queries.  Vectors of several lengths: the shorter are filled up with 0.  Scores beyond a long: held at its ends.  Further
     columns are ignored.  Empty table: no rows.
     """
     spark = vectors.sparkSession
@@ -235,7 +237,7 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     groups, tops = [r["group"] for r in known], np.maximum.accumulate([r["norm"] for r in known][::-1])[::-1]  # of that group or a later one
     enough = F.size(F.filter(F.array(*[F.lit(float(t)) for t in tops]), lambda t: t >= F.col("shortest")))
-    queries = _query_blocks(usable.filter(is_query), search, max(1, min(QUERIES, largest)))
+    queries = _query_blocks(usable.filter(is_query & (F.col("vec_id") != NO_ID)), search, max(1, min(QUERIES, largest)))
     queries = queries.withColumn("nth", enough).filter("nth > 0")
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "kind", "rows", "ids", "m")], "floors", F.explode(F.slice(F.array(*[F.lit(g) for g in groups]), F.lit(1), F.col("nth"))).alias("group"))
     pairs = queries.join(blocks, "group").select("q_n", "q_width", "q_kind", "q_rows", "q_ids", "q_m", "n", "width", "kind", "rows", "ids", "m", "floors")
@@ -249,7 +251,7 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
 
     best = map_batches(pairs, run, "q long, query_id long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")
 
 
 def op3_topk(spark, sf_dir):
@@ -260,12 +262,12 @@ ORACLE = """
 WITH v AS (
   SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.rn <> c.rn
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
