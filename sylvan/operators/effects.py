@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from .prefix import running
 
 
@@ -21,14 +23,16 @@ def ranked_values(df: DataFrame, attr: str) -> DataFrame:
 def quantile_points(df: DataFrame, attr: str, q: int) -> DataFrame:
     """(val, n): the values at index floor((rows - 1) * (k / (q + 1))), k = 1 … q, and how many of the q each one is.  q doubles until the first and
     last differ, unless the feature has one value."""
-    ranked = ranked_values(df, attr)
-    total = df.count()
-    if total == 0:
-        return ranked.select("val", "n").limit(0)
-    value_at = lambda i: ranked.filter((F.col("first") <= i) & (F.col("first") + F.col("n") > i)).first()["val"]
-    if ranked.limit(2).count() > 1:
-        while value_at((total - 1) // (q + 1)) == value_at(int((total - 1) * (q / (q + 1)))):
-            q *= 2
+    ranked = stored(ranked_values(df, attr))
+    total, values = ranked.agg(F.sum("n"), F.count("*")).first()
+    if not total:
+        return ranked.select("val", "n")
+    index = lambda k: int((total - 1) * (k / (q + 1)))
+    while values > 1:
+        ends = ranked.filter(reduce(lambda a, b: a | b, [(F.col("first") <= i) & (F.col("first") + F.col("n") > i) for i in (index(1), index(q))]))
+        if ends.count() > 1:  # one row, or two
+            break
+        q *= 2
     points = df.sparkSession.range(1, q + 1).select(F.floor(F.lit(float(total - 1)) * (F.col("id") / F.lit(float(q + 1)))).alias("i"))
     met = points.join(ranked, (F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + F.col("n")))
     return met.groupBy("val").agg(F.count("*").alias("n"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, numbered, stored
+from ..plans.storage import counted, discard, numbered, stored
 from . import metrics, sampling
 from .predict import ensemble_expression, tree_predictions
-from .tree import grow
+from .tree import grow, grow_state
 
 
 def bag_items(rows: DataFrame, draws: DataFrame) -> DataFrame:
@@ -44,30 +46,35 @@ def feature_scores(nodes: DataFrame, volume: float) -> DataFrame:
 
 def boosted_trees(train: DataFrame, key: str, features: list[str], rounds: int = 100, shrinkage: float = 0.01, subsample: float = -1, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int | None = None, bootstrap: bool = True) -> tuple[DataFrame, DataFrame]:
     """(node table with tree = round and values times shrinkage, predictions of the training rows).  Each round fits a tree to the
-    residuals on a bootstrap bag, on subsample * n rows without replacement, or with bootstrap False on all rows; starts from 0."""
-    rows = stored(numbered(train.select(key, "y", "w", *features), key))
-    n = rows.count()
-    state = rows.select("row_no", F.lit(0.0).alias("pred"))
-    trees = []
+    residuals on a bootstrap bag, on subsample * n rows without replacement, or with bootstrap False on all rows; starts from 0.
+
+    Rows keep their predictions with their features; a round's items are made of them as the first level reads them, and the step is one column of
+    the round's tree, so that a round writes its levels and the rows once."""
+    rows, n = counted(numbered(train.select(key, "y", "w", *[F.col(f).cast("double").alias(f) for f in features]), key).withColumn("pred", F.lit(0.0)))
+    keys, trees = rows.select("row_no", key), []
     for k in range(rounds):
-        residual = rows.join(state, "row_no").withColumn("y", F.col("y") - F.col("pred")).drop("pred")
+        item = lambda coef: F.array(F.struct(F.lit(0).cast("long").alias("slot"), coef.cast("double").alias("coef"), (F.col("y") - F.col("pred")).cast("double").alias("resp")))
+        size = n
         if 0 < subsample <= 1:
-            items = sampling.subsample(residual, "row_no", int(n * subsample), seed + k).select("bag", "row_no", F.col("w").alias("coef"), F.col("y").alias("resp"))
+            size = int(n * subsample)
+            state = sampling.subsample(rows, "row_no", size, seed + k).withColumn("items", item(F.col("w")))
         elif bootstrap:
-            items = bag_items(residual, sampling.bootstrap_draws(train.sparkSession, n, 1, seed + k))
+            drawn, size = counted(sampling.in_bag(sampling.bootstrap_draws(train.sparkSession, n, 1, seed + k)).select("row_no", "times"))
+            state = rows.join(drawn, "row_no").withColumn("items", item(F.col("times") * F.col("w")))
         else:
-            items = residual.select(F.lit(0).cast("long").alias("bag"), "row_no", F.col("w").alias("coef"), F.col("y").alias("resp"))
-        nodes = stored(grow(rows, items, features, alpha, booleans, max_depth).withColumn("tree", F.lit(k)).withColumn("value", F.col("value") * shrinkage))
+            state = rows.withColumn("items", item(F.col("w")))
+        state = state.select("row_no", *features, "items")
+        if state_moves := 0 < subsample <= 1 or bootstrap:
+            state = stored(state)
+        nodes = grow_state(state, {0: size}, features, n, alpha, booleans, max_depth).withColumns({"tree": F.lit(k), "value": F.col("value") * shrinkage})
+        if state_moves:
+            discard(state)
         trees.append(nodes)
-        step = rows.select("row_no", ensemble_expression(nodes).alias("step")) if nodes.count() < 64 else tree_predictions(rows, nodes, features).select("row_no", F.col("pred").alias("step"))
-        later = stored(state.join(step, "row_no").select("row_no", (F.col("pred") + F.col("step")).alias("pred")))
+        later = stored(rows.withColumn("pred", F.col("pred") + ensemble_expression(nodes)))
         if k:
-            discard(state)
-        state = later
-    every = trees[0]
-    for t in trees[1:]:
-        every = every.unionByName(t)
-    return every, state.join(rows.select("row_no", key), "row_no")
+            discard(rows)
+        rows = later
+    return reduce(DataFrame.unionByName, trees), rows.select("row_no", "pred").join(keys, "row_no")
 
 
 def boosting_curve(rows: DataFrame, nodes: DataFrame, features: list[str], metric: str = "rmse") -> DataFrame:

@@ -130,12 +130,12 @@ def surface(run: GridRun, truth: DataFrame, metric: str = "rmse") -> DataFrame:
     return last.join(run.cells.select("tig_no", "alpha_no", "n", "alpha").distinct(), ["tig_no", "alpha_no"]).drop("bag")
 
 
-def expand_grid(run: GridRun, rows: DataFrame, features: list[str], alpha: float | None = None, trees: int | None = None, bags: int | None = None, booleans: list[str] = ()) -> GridRun:
+def expand_grid(run: GridRun, rows: DataFrame, features: list[str], alpha: float | None = None, trees: int | None = None, bags: int | None = None, booleans: list[str] = (), train=None) -> GridRun:
     """A larger grid or more bags.  Only missing cells are trained: a bag of the run goes on from the groves at its edge, and new bags
-    get all cells.  Draws hang on seed, bag and cell, so that the result is that of training everything at once."""
+    get all cells.  Draws hang on seed, bag and cell, so that the result is that of training everything at once.  train: train_grid, here or of wide_grove."""
     alpha = run.alpha if alpha is None else min(alpha, run.alpha)
     trees, bags = max(trees or 0, run.trees), max(bags or 0, run.bags)
-    more = train_grid(rows, features, alpha, trees, bags, run.mode, run.seed, booleans, run)
+    more = (train or train_grid)(rows, features, alpha, trees, bags, run.mode, run.seed, booleans, run)
     return GridRun(stored(run.cells.unionByName(more.cells)), stored(run.nodes.unionByName(more.nodes)), run.seed, alpha, trees, bags, run.mode, more.turns)
 
 

@@ -1,4 +1,4 @@
-"""Scoring rows with node tables: by joins, by one SQL expression a tree, or by a recursive query."""
+"""Scoring rows with node tables: by joins, by one column, or by a recursive query."""
 
 from __future__ import annotations
 
@@ -26,10 +26,10 @@ SCORED = 50_000
 
 def tree_predictions(rows: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
     """(row_no, bag, tree, pred): the answer of every tree.  A model of at most SHIPPED_NODES nodes goes to the rows, in one pass over them;
-    with a larger one the rows go down level by level."""
+    of a larger one the tops of the trees do, and the rows meet the parts below in a join."""
     nodes = with_tree(nodes).select(F.col("bag").cast("long").alias("bag"), F.col("tree").cast("int").alias("tree"), "node_id", "attr", "border", "missing_l", "value")
     if nodes.count() > SHIPPED_NODES:
-        return walked_predictions(rows, nodes, features)
+        return cut_predictions(rows, nodes, features)
     from .kernel import Tree
 
     names, groups = list(features), {}
@@ -84,33 +84,123 @@ def grove_predictions(per_tree: DataFrame) -> DataFrame:
     return per_tree.groupBy("row_no", "bag").agg(F.sum("pred").alias("pred")).groupBy("row_no").agg(F.avg("pred").alias("pred"))
 
 
-def case_expression(nodes: Iterable[dict], node_id: str = "1") -> str:
-    """A tree as one nested CASE in SQL, missing values included."""
-    by = {n["node_id"]: n for n in nodes}
+def literal_array(values: Iterable, kind: str) -> Column:
+    """A constant array of numbers (None: null): one text, that Spark splits once, when it plans."""
+    return F.split(F.lit(",".join("" if v is None else repr(v) for v in values)), ",").try_cast(f"array<{kind}>")
+
+
+def node_arrays(nodes: Iterable[dict], number: dict[str, int]) -> tuple[list[int], dict[str, list]]:
+    """(places of roots, columns) of the nodes of several trees (``of`` tells them apart): attr as its number (leaves: -1), border (missing apart: null), missing_l, value, and
+    the place of the left child; the right one is next to it.  Children stand together, and parents before them."""
+    trees: dict = {}
+    for n in nodes:
+        trees.setdefault(n["of"], {})[n["node_id"]] = n
+    order = [(of, "1") for of in sorted(trees)]
+    roots = list(range(len(order)))
+    columns: dict[str, list] = {"attr": [], "border": [], "missing_l": [], "value": [], "left": []}
+    for of, i in order:  # grows as it goes
+        n = trees[of][i]
+        leaf = n["attr"] is None
+        columns["attr"].append(-1 if leaf else number[n["attr"]])
+        columns["border"].append(None if leaf or n["border"] is None else float(n["border"]))
+        columns["missing_l"].append(0.0 if leaf else float(n["missing_l"]))
+        columns["value"].append(float(n["value"]) if leaf else 0.0)
+        columns["left"].append(-1 if leaf else len(order))
+        if not leaf:
+            order += [(of, i + "0"), (of, i + "1")]
+    return roots, columns
+
+
+def left_share(value: Column, border: Column, missing_l: Column) -> Column:
+    """The share of an item that goes left: all or nothing, or missing_l of one whose value is missing; without a border, what is present."""
+    return F.when(border.isNull(), value.isNotNull().cast("double")).when(value.isNull(), missing_l).otherwise((value <= border).cast("double"))
 
-    def text(i: str) -> str:
-        n = by[i]
-        if n["attr"] is None:
-            return repr(float(n["value"]))
-        a, left, right = f"`{n['attr']}`", text(i + "0"), text(i + "1")
-        if n["border"] is None:
-            return f"CASE WHEN {a} IS NULL THEN {right} ELSE {left} END"
-        p = float(n["missing_l"])
-        return f"CASE WHEN {a} IS NULL THEN {p!r} * ({left}) + {1 - p!r} * ({right}) WHEN {a} <= {float(n['border'])!r} THEN {left} ELSE {right} END"
 
-    return text(node_id)
+def walked(start: Column, depth: Column, x: Column, attr: Column, border: Column, missing_l: Column, left: Column) -> Column:
+    """Where an item (array of (node, share)) ends up, ``depth`` levels further down at most, in trees given as node_arrays."""
+
+    def step(at: Column) -> Column:
+        k = at["node"]
+        share = left_share(F.get(x, F.get(attr, k)), F.get(border, k), F.get(missing_l, k))
+        way = lambda shift, part: F.struct((F.get(left, k) + shift).alias("node"), (at["share"] * part).alias("share"))
+        both = F.filter(F.array(way(0, share), way(1, 1.0 - share)), lambda w: w["share"] > 0)
+        return F.when(F.get(attr, k) < 0, F.array(at)).otherwise(both)
+
+    levels = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, start, lambda now, _: F.flatten(F.transform(now, step)))
+
+
+def cut_predictions(rows: DataFrame, nodes: DataFrame, features: list[str], shipped: int = SHIPPED_NODES) -> DataFrame:
+    """tree_predictions of a model that is too large to ship: trees are cut at the depth to which their tops have ``shipped`` nodes together.  Tops go to the rows as constant arrays; what a
+    row leaves them by is joined once with the parts below, a row each with its nodes in arrays, and walked there.  Two exchanges at any depth."""
+    nodes = with_tree(nodes).select(F.col("bag").cast("long").alias("bag"), F.col("tree").cast("int").alias("tree"), "node_id", "attr", "border", "missing_l", "value")
+    top, depth = 0, 0
+    for r in nodes.groupBy(F.length("node_id").alias("n")).count().orderBy("n").collect():  # a number a level
+        top, deepest = top + r["count"], r["n"]
+        if top <= shipped:
+            depth = deepest
+    if not depth:  # more trees than that
+        return walked_predictions(rows, nodes, features)
+    number, above = {f: k for k, f in enumerate(features)}, []
+    for r in nodes.filter(F.length("node_id") <= depth).collect():
+        above.append(r.asDict() | {"of": (r["bag"], r["tree"])})
+        if r["attr"] is not None and len(r["node_id"]) == depth:
+            above += [{"of": (r["bag"], r["tree"]), "node_id": r["node_id"] + side, "attr": None, "value": 0.0, "below": True} for side in "01"]
+    order = sorted({n["of"] for n in above})
+    roots, columns = node_arrays(above, number)
+    place: dict[tuple, int] = {(of, "1"): k for k, of in enumerate(order)}
+    for of, i in list(place):
+        todo = [(of, i)]
+        while todo:
+            t, j = todo.pop()
+            if (k := columns["left"][place[t, j]]) >= 0:
+                place[t, j + "0"], place[t, j + "1"] = k, k + 1
+                todo += [(t, j + "0"), (t, j + "1")]
+    spark = rows.sparkSession
+    where = spark.createDataFrame([(k, *t, i if (below := len(i) > depth) else None, None if below else columns["value"][k]) for (t, i), k in place.items() if columns["attr"][k] < 0], "node int, bag long, tree int, part string, value double")
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    start = F.transform(F.lit(roots).cast("array<int>"), lambda k: F.struct(k.alias("node"), F.lit(1.0).alias("share")))
+    arrays = [literal_array(columns[c], "int" if c in ("attr", "left") else "double") for c in ("attr", "border", "missing_l", "left")]
+    ends = rows.select("row_no", x.alias("x")).select("row_no", "x", F.inline(walked(start, F.lit(depth), F.col("x"), *arrays))).join(where, "node")
+    done = ends.filter("part IS NULL").select("row_no", "bag", "tree", (F.col("share") * F.col("value")).alias("pred"))
+
+    kinds = {"attr": pa.list_(pa.int32()), "border": pa.list_(pa.float64()), "missing_l": pa.list_(pa.float64()), "left": pa.list_(pa.int32()), "value": pa.list_(pa.float64())}
+
+    def arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bag, tree, part, lists = (c.to_pylist() for c in b.columns)
+            found = [node_arrays([n | {"of": 0, "node_id": "1" + n["node_id"][depth + 1 :]} for n in own], number)[1] for own in lists]
+            deep = [max(len(n["node_id"]) for n in own) - depth - 1 for own in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(bag, pa.int64()), pa.array(tree, pa.int32()), pa.array(part, pa.string()), pa.array(deep, pa.int32()), *(pa.array([f[c] for f in found], k) for c, k in kinds.items())], ["bag", "tree", "part", "depth", *kinds])
+
+    lower = nodes.filter(F.length("node_id") > depth).groupBy("bag", "tree", F.substring("node_id", 1, depth + 1).alias("part"))
+    parts = lower.agg(F.collect_list(F.struct("node_id", "attr", "border", "missing_l", "value")).alias("nodes")).mapInArrow(arranged, "bag long, tree int, part string, depth int, attr array<int>, border array<double>, missing_l array<double>, left array<int>, value array<double>")
+    met = ends.filter("part IS NOT NULL").select("row_no", "x", "bag", "tree", "part", "share").join(parts, ["bag", "tree", "part"])
+    begin = F.array(F.struct(F.lit(0).alias("node"), F.col("share").alias("share")))
+    at = walked(begin, F.col("depth"), F.col("x"), F.col("attr"), F.col("border"), F.col("missing_l"), F.col("left"))
+    below = met.select("row_no", "bag", "tree", F.aggregate(at, F.lit(0.0), lambda s, e: s + e["share"] * F.get("value", e["node"])).alias("pred"))
+    return done.unionByName(below).groupBy("row_no", "bag", "tree").agg(F.sum("pred").alias("pred"))
 
 
 def ensemble_expression(nodes: DataFrame) -> Column:
-    """The whole model as one column: the sum of a bag's trees, averaged over bags.  The model, not the data, comes to the driver."""
-    trees: dict[tuple, list[dict]] = {}
-    for r in with_tree(nodes).select(*TREE, "node_id", "attr", "border", "missing_l", "value").collect():
-        trees.setdefault((r["bag"], r["tree"]), []).append(r.asDict())
-    bags = len({b for b, _ in trees})
-    total = F.lit(0.0)
-    for key in sorted(trees):
-        total = total + F.expr(case_expression(trees[key])).cast("double")
-    return total / F.lit(float(max(1, bags)))
+    """The whole model as one column: the sum of a bag's trees, averaged over bags.  Its size is that of the nodes: they are constant arrays, and a row walks
+    down all trees at once, with its share on every path that a missing value opens.  The model (SHIPPED_NODES at most), not the data, comes to the driver."""
+    rows = [r.asDict() for r in with_tree(nodes).select(*TREE, "node_id", "attr", "border", "missing_l", "value").limit(SHIPPED_NODES + 1).collect()]
+    if len(rows) > SHIPPED_NODES:
+        raise ValueError(f"a model of more than {SHIPPED_NODES} nodes is no column; tree_predictions takes any")
+    if not rows:
+        return F.lit(0.0)
+    for r in rows:
+        r["of"] = r["bag"], r["tree"]
+    names = sorted({r["attr"] for r in rows if r["attr"] is not None})
+    roots, columns = node_arrays(rows, {a: k for k, a in enumerate(names)})
+    attr, left = (literal_array(columns[c], "int") for c in ("attr", "left"))
+    border, missing_l, value = (literal_array(columns[c], "double") for c in ("border", "missing_l", "value"))
+    x = F.array(*[F.col(f"`{a}`").cast("double") for a in names]) if names else F.array(F.lit(None).cast("double"))
+    start = F.transform(F.sequence(F.lit(0), F.lit(len(roots) - 1)), lambda k: F.struct(k.alias("node"), F.lit(1.0).alias("share")))
+    ends = walked(start, F.lit(max(len(r["node_id"]) for r in rows) - 1), x, attr, border, missing_l, left)
+    bags = len({r["bag"] for r in rows})
+    return F.aggregate(ends, F.lit(0.0), lambda s, at: s + at["share"] * F.get(value, at["node"])) / F.lit(float(bags))
 
 
 def tree_code(nodes: Iterable[dict], name: str = "predict") -> str:

@@ -1,8 +1,8 @@
 """Prefix sums over an order without a task that holds a whole group.
 
-Rows of a group are dealt out to buckets by their value, about OCTAVE for each doubling of the distance from the group's least value;
-a value's bucket is a monotone function of it.  Sums run within buckets, and again over the buckets' totals, of which there are a few thousand
-however many rows a group has.  Rows are distinct values of their group, so equal values never make a bucket large.
+Groups that fit in a task are one window.  Beyond that rows go to range partitions by (group, order), whose borders Spark measures on a sample, so that
+partitions are alike in size whatever the values are.  Sums run within each partition's part of a group, and again over the parts'
+totals, of which there are as many as partitions and groups together.  Rows are distinct values of their group, so equal values never make a part large.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OCTAVE = 512
-FIRST, LAST = -(2**31), 2**31 - 1
+from ..plans.storage import counted, stored
+
+#: Rows of a group that a task sorts.
+SINGLE = 1_000_000
 
 
 def _joined(df: DataFrame, few: DataFrame, key: list[str]) -> DataFrame:
@@ -22,29 +24,31 @@ def _joined(df: DataFrame, few: DataFrame, key: list[str]) -> DataFrame:
     return df.join(told, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key])).drop(*[f"_of_{k}" for k in key])
 
 
-def bucketed(df: DataFrame, by: list[str], order: str, scale: list[str] | None = None) -> DataFrame:
-    """df with _bucket, which grows with ``order``.  scale: the columns of which each group has a least value of its own (default: by)."""
-    scale = by if scale is None else scale
-    half = F.col(order).cast("double") / 2  # a difference of halves stays finite
-    least = df.groupBy(*scale).agg(F.min(half).alias("_least"))
-    both = _joined(df, least, scale) if scale else df.withColumn("_least", least.scalar())
-    above = F.log2(half - F.col("_least"))
-    bucket = F.when(half == F.col("_least"), F.lit(FIRST)).when(F.isnan(half), F.lit(LAST)).otherwise(F.floor(F.greatest(F.lit(-4000.0), F.least(F.lit(4000.0), F.coalesce(above, F.lit(-4000.0)))) * OCTAVE).cast("int"))
-    return both.withColumn("_bucket", bucket).drop("_least")
+def ranged(df: DataFrame, by: list[str], order: str, parts: int) -> DataFrame:
+    """df with _part: so many range partitions by (by, order) of about equal size, numbered in their order."""
+    return stored(df.repartitionByRange(parts, *by, order).withColumn("_part", F.spark_partition_id()))
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: list[str], last: list[str] = (), scale: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: list[str], last: list[str] = (), largest: int | None = None) -> DataFrame:
     """df (distinct, non-null ``order`` in each group) with {c}_before, the sum of c over the group's rows before, {c}_all, over all of them, and last_{c} of
-    the row just before (null at the first)."""
-    rows = bucketed(df, by, order, scale)
-    key = [*by, "_bucket"]
-    inner = Window.partitionBy(*key).orderBy(order)
-    upto = inner.rowsBetween(Window.unboundedPreceding, -1)
-    rows_ = rows.select("*", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_{c}") for c in sums], *[F.lag(c).over(inner).alias(f"_last_{c}") for c in last], F.row_number().over(inner).alias("_nth"))
+    the row just before (null at the first).  largest: a bound of a group's rows, where it is known; else df is written once and counted."""
+    if largest is None:
+        df, largest = counted(df)
+    if largest <= SINGLE:
+        return _windows(df, by, order, sums, last).drop("_nth")
+    rows = ranged(df, by, order, -(-2 * largest // SINGLE))
+    key = [*by, "_part"]
     totals = rows.groupBy(*key).agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums], *([F.max_by(F.struct(*last), order).alias("_end")] if last else []), F.count("*").alias("_rows"))
     outer = Window.partitionBy(*by)
-    before = outer.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*key, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in sums], *[F.sum(f"_sum_{c}").over(outer).alias(f"{c}_all") for c in sums], *([F.lag("_end").over(outer.orderBy("_bucket")).alias("_end")] if last else []))
-    out = _joined(rows_, totals, key)
+    before = outer.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in sums], *[F.sum(f"_sum_{c}").over(outer).alias(f"_total_{c}") for c in sums], *([F.lag("_end").over(outer.orderBy("_part")).alias("_end")] if last else []))
+    out = _joined(_windows(rows, key, order, sums, last), totals, key)
     first = F.col("_nth") == 1
-    return out.select(*df.columns, *[(F.col(f"_base_{c}") + F.col(f"_{c}")).alias(f"{c}_before") for c in sums], *[F.col(f"{c}_all") for c in sums], *[F.when(first, F.col(f"_end.{c}")).otherwise(F.col(f"_last_{c}")).alias(f"last_{c}") for c in last])
+    return out.select(*df.columns, *[(F.col(f"_base_{c}") + F.col(f"{c}_before")).alias(f"{c}_before") for c in sums], *[F.col(f"_total_{c}").alias(f"{c}_all") for c in sums], *[F.when(first, F.col(f"_end.{c}")).otherwise(F.col(f"last_{c}")).alias(f"last_{c}") for c in last])
+
+
+def _windows(df: DataFrame, by: list[str], order: str, sums: list[str], last: list[str]) -> DataFrame:
+    """running within groups of one task, and _nth, a row's number in its group."""
+    inner, whole = Window.partitionBy(*by).orderBy(order), Window.partitionBy(*by)
+    upto = inner.rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_before") for c in sums], *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums], *[F.lag(c).over(inner).alias(f"last_{c}") for c in last], F.row_number().over(inner).alias("_nth"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import counted
 from .prefix import running
 
 TINY = 1e-10
@@ -40,25 +41,27 @@ def missing_score(v1: Column, s1: Column, v2: Column, s2: Column, vm: Column, sm
     return -2 * m1 * s1 + v1 * m1 * m1 - 2 * m2 * s2 + v2 * m2 * m2 - 2 * mm * sm + vm * mm * mm
 
 
-def candidates(block: DataFrame, keys: list[str], booleans: list[str] | None = None) -> DataFrame:
+def candidates(block: DataFrame, keys: list[str], booleans: list[str] | None = None, largest: int | None = None) -> DataFrame:
     """(keys, attr, border, missing_l, eval) of every border, and of "present left, missing right" (border null).  A border between two
-    blocks that are pure and equal is skipped, except for booleans.  Sums run in two levels, so that an attribute with as many
-    values as rows is no single task."""
-    missing = block.filter("gone").select(*keys, "attr", F.col("v").alias("vm"), F.col("s").alias("sm"))  # a row at most for each attribute of a node
-    run = running(block.filter("NOT gone").drop("gone"), [*keys, "attr"], "val", ["v", "s"], ["val", "lo", "hi"], ["attr"])
-    run = run.withColumnsRenamed({"v_before": "v1", "s_before": "s1", "v_all": "vp", "s_all": "sp"}).join(missing, [*keys, "attr"], "left")
-    p = run.withColumns({"vm": F.coalesce("vm", F.lit(0.0)), "sm": F.coalesce("sm", F.lit(0.0))})
-    apart = p.filter(F.col("last_val").isNull() & F.expr(f"vm > {TINY} AND vp > {TINY}"))  # the first row of its attribute speaks for it
-    apart = apart.select(*keys, "attr", F.lit(None).cast("double").alias("border"), F.lit(0.0).alias("missing_l"), (-F.col("sp") * F.col("sp") / F.col("vp") - F.col("sm") * F.col("sm") / F.col("vm")).alias("eval"))
+    blocks that are pure and equal is skipped, except for booleans.  largest: a bound of an attribute's values in a node, where it is known; beyond what a
+    task holds, sums run in two levels."""
+    if largest is None:
+        block, largest = counted(block)
+    part = lambda c, gone: F.when(F.col("gone") == gone, F.col(c)).otherwise(0.0)
+    both = block.select(*keys, "attr", "val", "gone", "lo", "hi", part("v", False).alias("v"), part("s", False).alias("s"), part("v", True).alias("vm"), part("s", True).alias("sm"))
+    run = running(both, [*keys, "attr"], "val", ["v", "s", "vm", "sm"], ["val", "lo", "hi"], largest)  # what is missing comes first, and has no value
+    run = run.filter("NOT gone").select(*keys, "attr", "val", "lo", "hi", "last_val", "last_lo", "last_hi", F.col("v_before").alias("v1"), F.col("s_before").alias("s1"), F.col("v_all").alias("vp"), F.col("s_all").alias("sp"), F.col("vm_all").alias("vm"), F.col("sm_all").alias("sm"))
+    p = run.select("*", F.col("last_val").isNull().alias("first"), (F.col("vp") - F.col("v1")).alias("v2"), (F.col("sp") - F.col("s1")).alias("s2"))
     same = (F.col("lo") == F.col("hi")) & (F.col("last_lo") == F.col("last_hi")) & (F.col("lo") == F.col("last_lo"))
     if booleans:
         same = same & ~F.col("attr").isin(booleans)
-    p = p.filter(F.col("last_val").isNotNull()).filter(~same).select("*", (F.col("vp") - F.col("v1")).alias("v2"), (F.col("sp") - F.col("s1")).alias("s2"))
-    p = p.filter(f"v1 > {TINY} AND v2 > {TINY}")
+    apart = F.expr(f"vm > {TINY} AND vp > {TINY}")  # the first value of an attribute speaks for it
+    p = p.filter(F.when(F.col("first"), apart).otherwise(~same & F.expr(f"v1 > {TINY} AND v2 > {TINY}")))
     args = [F.col(c) for c in ("v1", "s1", "v2", "s2")]
     score = F.when(F.col("vm") > TINY, missing_score(*args, F.col("vm"), F.col("sm"))).otherwise(plain_score(*args))
-    cut = p.select(*keys, "attr", ((F.col("last_val") + F.col("val")) / 2).alias("border"), (F.col("v1") / F.col("vp")).alias("missing_l"), score.alias("eval"))
-    return cut.unionByName(apart)
+    whole = plain_score(F.col("vp"), F.col("sp"), F.col("vm"), F.col("sm"))
+    border = F.when(~F.col("first"), (F.col("last_val") + F.col("val")) / 2)
+    return p.select(*keys, "attr", border.alias("border"), F.when(F.col("first"), 0.0).otherwise(F.col("v1") / F.col("vp")).alias("missing_l"), F.when(F.col("first"), whole).otherwise(score).alias("eval"))
 
 
 def best_splits(found: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:

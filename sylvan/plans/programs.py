@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import snap_alpha, snap_tree_count
 from ..operators import effects, ensemble, features, grid, metrics, predict
 from ..sources.schema import FeatureSchema, parse_schema
-from ..sources.tables import checked, has_targets, read_table
+from ..sources.tables import checked_as_read, has_targets, read_table
 from .storage import numbered, stored
 
 
@@ -40,7 +40,7 @@ def read_attributes(spark: SparkSession, path: str) -> FeatureSchema:
 
 
 def load(spark: SparkSession, path: str, schema: FeatureSchema, role: str) -> Data:
-    df = checked(read_table(spark, path, schema), schema, role)
+    df, _ = checked_as_read(read_table(spark, path, schema), schema, role, stored)  # the file is read once, before rows are numbered
     w = F.col(schema.weight) if schema.weight else F.lit(1.0)
     df = df.select(F.col(schema.target).alias("y"), w.alias("w"), *schema.active)
     return Data(stored(numbered(df, *[F.col(c).asc_nulls_last() for c in df.columns])), schema)

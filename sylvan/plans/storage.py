@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,13 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """(stored df, its rows), counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
 def discard(df: DataFrame) -> None:
     """Remove what stored wrote for df; nothing that is still to run may read it."""
     remove(df.sparkSession, _paths.pop(df))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +42,14 @@ def single_precision(c: Column) -> Column:
     return c.cast("float").cast("double")
 
 
-def checked(df: DataFrame, schema: FeatureSchema, role: str) -> DataFrame:
-    """df of role train, valid or test, checked in one pass: not empty, a target in every row (test rows may lack it), and in
-    train booleans of 0 and 1 only."""
-    marks = [F.count("*").alias("n"), F.count_if(F.col(schema.target).isNull()).alias("no_target")]
+def _marks(schema: FeatureSchema, role: str) -> list[Column]:
+    marks = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(schema.target).isNull()).alias("no_target")]
     if role == "train":
         marks += [F.count_if(F.col(b).isNotNull() & ~F.col(b).isin(0, 1)).alias(f"bool {b}") for b in schema.booleans]
-    found = df.agg(*marks).first().asDict()
+    return marks
+
+
+def _faults(found: dict, schema: FeatureSchema, role: str) -> None:
     if role != "test":
         if not found["n"]:
             raise DataError(f"empty {role}")
@@ -55,9 +58,24 @@ def checked(df: DataFrame, schema: FeatureSchema, role: str) -> DataFrame:
     for b in schema.booleans if role == "train" else ():
         if found[f"bool {b}"]:
             raise DataError("not a boolean", b)
+
+
+def checked(df: DataFrame, schema: FeatureSchema, role: str) -> DataFrame:
+    """df of role train, valid or test, checked in one pass: not empty, a target in every row (test rows may lack it), and in
+    train booleans of 0 and 1 only."""
+    _faults(df.agg(*_marks(schema, role)).first().asDict(), schema, role)
     return df
 
 
+def checked_as_read(df: DataFrame, schema: FeatureSchema, role: str, read: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """(read(df), its rows), where ``read`` runs over df once and whole, as writing it does.  What checked looks at is observed on the way, so that a file is read in
+    one pass; its errors are raised then."""
+    seen = Observation()
+    out = read(df.observe(seen, *_marks(schema, role)))
+    _faults(seen.get, schema, role)
+    return out, seen.get["n"]
+
+
 def has_targets(df: DataFrame, target: str) -> bool:
     """Whether every row has a target, so that metrics can be computed."""
     return df.filter(F.col(target).isNull()).isEmpty()

@@ -271,3 +271,111 @@ def test_stream(spark, marked, tmp_path):
     score_stream(stream, nodes, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("pred")).first()[0]
     assert math.isclose(got, scored(rows, nodes).agg(F.sum("pred")).first()[0])
+
+
+def test_range_partitions_in_spite_of_outliers(spark, monkeypatch):
+    """With an outlier at either end no task holds much more than its share; sums over parts are those of one window."""
+    r = random.Random(8)
+    values = {r.gauss(1e9, 1) for _ in range(40_000)} | {0.0, -1e300, 1e300, 1e9}
+    df = spark.createDataFrame([("a" if k % 100 else "b", v, k % 7) for k, v in enumerate(values)], "g string, v double, n long").cache()
+    sizes = [x["count"] for x in prefix.ranged(df, ["g"], "v", 16).groupBy("_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    one = {(x.g, x.v): tuple(x) for x in prefix.running(df, ["g"], "v", ["n"], ["v", "n"]).collect()}
+    monkeypatch.setattr(prefix, "SINGLE", 5000)
+    assert {(x.g, x.v): tuple(x) for x in prefix.running(df, ["g"], "v", ["n"], ["v", "n"]).collect()} == one
+    assert {x.v: x.n_before for x in prefix.running(df.drop("g"), [], "v", ["n"]).collect()} == {x.v: x.n_before for x in prefix.running(df.drop("g"), [], "v", ["n"], largest=1).collect()}
+
+
+def chain(depth, bag=0):
+    """Nodes of a tree in which every right child is split again."""
+    rows, i = [], "1"
+    for d in range(depth):
+        rows += [(bag, 0, i, "ab"[d % 2], float(d) if d % 5 else None, 0.25, None), (bag, 0, i + "0", None, None, None, float(d + bag))]
+        i += "1"
+    return [*rows, (bag, 0, i, None, None, None, 99.0)]
+
+
+NODES = "bag long, tree int, node_id string, attr string, border double, missing_l double, value double"
+
+
+def test_models_are_columns_of_their_nodes_size(spark, tmp_path):
+    """A chain of depth 40 and 60 of depth 30, on tables and streams; the column grows with the nodes."""
+    from sylvan.streaming.scoring import score_stream
+
+    text = lambda n: len(str(predict.ensemble_expression(spark.createDataFrame(chain(n), NODES))._jc.toString()))
+    assert text(400) < 12 * text(40)
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else float(k % 45), None if k % 11 == 0 else float(k % 50)) for k in range(300)], "row_no long, a double, b double")
+    deep = spark.createDataFrame(chain(40), NODES)
+    full = spark.createDataFrame([n for bag in range(60) for n in chain(30, bag)], NODES)
+    for nodes in (deep, full):
+        want = {r.row_no: r.pred for r in predict.tree_predictions(rows, nodes, ["a", "b"]).groupBy("row_no").agg(F.avg("pred").alias("pred")).collect()}
+        got = {r.row_no: r.pred for r in rows.select("row_no", predict.ensemble_expression(nodes).alias("pred")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    rows.write.parquet(str(tmp_path / "in"))
+    score_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), full, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert {r.row_no: r.pred for r in spark.read.parquet(str(tmp_path / "out")).collect()} == pytest.approx(want)
+    assert rows.limit(1).select(predict.ensemble_expression(spark.createDataFrame([], NODES)).alias("p")).first().p == 0
+
+
+def written_bytes(df):
+    import glob
+    import os
+
+    from sylvan.plans.storage import _paths
+
+    return sum(os.path.getsize(f) for f in glob.glob(_paths[df].removeprefix("file://") + "/*.parquet"))
+
+
+def test_a_level_writes_features_once(spark, monkeypatch):
+    """Bytes a level grow with rows x (features + bags): more bags add the same whatever the number of features."""
+    r = random.Random(2)
+    wide = [f"f{k}" for k in range(12)]
+    rows = spark.createDataFrame([(i, float(r.randrange(9)), *[r.random() for _ in wide]) for i in range(400)], ["row_no", "y", *wide]).coalesce(1).cache()
+
+    def most(bags, features):
+        sizes = []
+        whole_stored = tree.stored
+        monkeypatch.setattr(tree, "stored", lambda df: (lambda out: sizes.append(written_bytes(out)) or out)(whole_stored(df)))
+        items = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bags - 1).cast("long"))).alias("bag"), "row_no", F.lit(1.0).alias("coef"), F.col("y").alias("resp"))
+        tree.grow(rows, items, features, max_depth=2)
+        monkeypatch.undo()
+        return max(sizes)
+
+    few = most(20, wide[:2]) - most(1, wide[:2])
+    assert most(20, wide) - most(1, wide) < 2 * few + 20_000
+
+
+def test_many_cuts_meet_their_items_in_a_join(spark):
+    rows = table(spark, 60, missing=True)
+    state = rows.select("row_no", *FEATURES, F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.col("w").alias("coef"), F.col("y").alias("resp"))).alias("items")).cache()
+    key = ["bag", "node_id", "depth", "attr", "border"]
+    few, many = (tree.grow_state(state, {0: 60}, FEATURES, 60, 0.05, ["c"], 3, cuts=n) for n in (100, 1))
+    assert sorted(map(str, few.select(key).collect())) == sorted(map(str, many.select(key).collect())) and few.count() > 7
+    total = lambda nodes: nodes.filter("attr IS NULL").agg(F.sum("v")).first()[0]
+    assert total(few) == pytest.approx(total(many))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_rank_correlations_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(features, "BLOCK", block)
+    r = np.random.default_rng(3)
+    x = r.integers(0, 9, (70, 7)).astype(float)
+    names = [f"x{k}" for k in range(7)]
+    df = spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(x)], ["key", *names]).repartition(3)
+    ranks = np.stack([np.array([(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c]) for c in x.T], 1)
+    for exact in (False, True):
+        got = {(q.attr1, q.attr2): q.rho for q in features.spearman(df, "key", names, exact).collect()}
+        want = {(names[i], names[j]): np.corrcoef(ranks[:, i], ranks[:, j])[0, 1] if exact else 1 - 6 * np.square(ranks[:, i] - ranks[:, j]).sum() / (70 * (70**2 - 1)) for i in range(7) for j in range(i + 1, 7)}
+        assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("shipped", [3, 7, 40, 10_000])
+def test_large_models_are_cut(spark, shipped):
+    """Tops at the rows, parts below in a join: the answers of trees shipped whole, with missing values, leaves in the tops and chains."""
+    rows = table(spark, 60, missing=True)
+    nodes = tree.grow(rows, whole(rows), FEATURES, 0.02, ["c"]).select("bag", F.lit(0).alias("tree"), "node_id", "attr", "border", "missing_l", "value")
+    chains = spark.createDataFrame(chain(12, 1) + chain(2, 2), NODES)
+    every = nodes.unionByName(chains).cache()
+    got = {(r.row_no, r.bag): r.pred for r in predict.cut_predictions(rows, every, FEATURES, shipped).collect()}
+    want = {(r.row_no, r.bag): r.pred for r in predict.tree_predictions(rows, every, FEATURES).collect()}
+    assert got == pytest.approx(want) and len(want) == 180

@@ -153,3 +153,109 @@ def test_draws_of_both_engines(spark):
     for n, step in ((3, 0), (50, 4)):
         got = sampling.bootstrap_draws(spark, n, 40, 2, step).orderBy("bag", "draw").collect()
         assert [q.row_no for q in got] == [int(i) for bag in range(40) for i in kernel.draw(2, bag, step, n)]
+
+
+SMALL = ["a", "b"]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """Rows of two features with missing values, train and valid, as a table and as arrays; targets hang on the features alone, so that trees end soon."""
+    r = np.random.default_rng(5)
+    n = 20
+    x = r.integers(0, 2, (n, 2)).astype(float)
+    y = 4 * x[:, 0] - 3 * x[:, 1] * x[:, 0] + x[:, 1]
+    pdf = pd.DataFrame({"key": np.arange(n), "y": y, "w": 1.0 + np.arange(n) % 2, "set": np.where(np.arange(n) % 4 == 1, "valid", "train"), "a": x[:, 0], "b": x[:, 1]})
+    pdf.loc[pdf["key"] % 9 == 3, "a"] = np.nan
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield tables.nan_to_null(spark.createDataFrame(pdf)).coalesce(1).cache(), pdf
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
+def plain_grid(pdf, alpha, trees, bags, mode):
+    """{(bag, t, a): (from below, predictions of valid rows)} by loops over cells, ways and trees."""
+    from sylvan.functions.scalars import tree_count, tree_count_steps
+
+    train, valid = pdf[pdf["set"] == "train"], pdf[pdf["set"] == "valid"]
+    x, y, w = train[SMALL].to_numpy(float), train["y"].to_numpy(), train["w"].to_numpy()
+    n, out, turns = len(y), {}, {}
+    for bag in range(bags):
+        cells = {}
+        for a in range(alpha_steps(alpha, n)):
+            share = alpha_value(a) if a < alpha_steps(alpha, n) - 1 else alpha
+            for t in range(tree_count_steps(trees)):
+                ways = [up for up, there in ((False, a > 0), (True, t > 0)) if there] or [False]
+                if mode == "layered":
+                    ways = [False]
+                if mode == "fast" and bag and len(ways) == 2:
+                    ways = [turns[t, a]]
+                tried = []
+                for up in ways:
+                    before = cells.get((t - 1, a) if up else (t, a - 1))
+                    single = [s.copy() for s in before[0]] if before else []
+                    single += [np.zeros(n) for _ in range(tree_count(t) - len(single))]
+                    grown = list(before[1]) if before else []
+                    grown += [None] * (tree_count(t) - len(grown))
+                    drawn = kernel.draw(1, bag, 1000 * a + t, n)
+                    left_out = np.setdiff1d(np.arange(n), drawn)
+                    errors = lambda s, i: kernel.rmse(sum(s)[i], y[i], w[i])
+                    seen = [(errors(single, drawn), errors(single, left_out))]
+                    while True:
+                        for k in [len(single) - 1, *range(len(single) - 1)]:
+                            rest = y - (sum(single) - single[k])
+                            grown[k] = kernel.grow_tree(x[drawn], w[drawn], rest[drawn], share, n, [0, 1])
+                            single[k] = grown[k].predict(x)
+                        seen.append((errors(single, drawn), errors(single, left_out)))
+                        which = 0 if seen[-1][0] else 1
+                        if seen[-1][which] == 0 or seen[-2][which] - seen[-1][which] <= 0.002 * seen[-2][which]:
+                            break
+                    tried.append((*seen[-1], up, single, grown))
+                best = min(tried, key=lambda r: r[:3])
+                cells[t, a] = best[3:]
+                turns.setdefault((t, a), best[2])
+                out[bag, t, a] = best[2], sum(g.predict(valid[SMALL].to_numpy(float)) for g in best[4])
+    return out, valid["key"].tolist()
+
+
+def cells_of(run):
+    out = {}
+    for r in run.cells.orderBy("key").collect():
+        out.setdefault((r.bag, r.tig_no, r.alpha_no), (r.from_below, []))[1].append(r.pred)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["slow", "fast"])
+def test_grids_of_both_engines_and_plain_loops(small, mode):
+    """Ways, choices and predictions of all cells: bag by bag in memory, on tables, and by loops; and the table engine goes on from a smaller grid."""
+    rows, pdf = small
+    want, keys = plain_grid(pdf, 0.2, 2, 2, mode)
+    for run in (grid.train_grid(rows, SMALL, 0.2, 2, 2, mode), wide_grove.train_grid(rows, SMALL, 0.2, 2, 2, mode)):
+        got = cells_of(run)
+        assert got.keys() == want.keys() and all(len(p) == len(keys) for _, p in got.values())
+        for cell, (below, pred) in want.items():
+            assert got[cell][0] == below and np.allclose(got[cell][1], pred, atol=1e-8), cell
+        valid = rows.filter("set = 'valid'").withColumnRenamed("key", "row_no")
+        nodes = run.nodes.filter("tig_no = 1 AND alpha_no = 1")
+        pred = {(r.bag, r.row_no): r.pred for r in predict.tree_predictions(valid, nodes, SMALL).groupBy("bag", "row_no").agg(F.sum("pred").alias("pred")).collect()}
+        assert all(pred[b, k] == pytest.approx(p) for b in range(2) for k, p in zip(keys, want[b, 1, 1][1], strict=True))
+
+
+def test_wide_grids_go_on(small):
+    rows, pdf = small
+    part = wide_grove.train_grid(rows, SMALL, 0.5, 1, 1, "layered")
+    grown = grid.expand_grid(part, rows, SMALL, 0.2, 2, 2, train=wide_grove.train_grid)
+    want, _ = plain_grid(pdf, 0.2, 2, 2, "layered")
+    got = cells_of(grown)
+    assert got.keys() == want.keys()
+    for cell, (below, pred) in want.items():
+        assert got[cell][0] == below and np.allclose(got[cell][1], pred, atol=1e-8), cell
+
+
+def test_restrictions_and_removals_as_keys(small):
+    """All sets, and all candidates for removal, in one growth each: the kernel's errors one by one."""
+    rows, _ = small
+    sets = [("a", "b"), ("b",)]
+    assert wide_grove.restricted_errors(rows, SMALL, sets, 0.5, 2, 2) == pytest.approx(features.restricted_errors(rows, SMALL, sets, 0.5, 2, 2))
+    want = {a: features.grove_errors(rows, SMALL, [b for b in SMALL if b != a], 0.5, 1, 2, 1)[0] for a in SMALL}
+    assert wide_grove.removal_errors(rows, SMALL, SMALL, 0.5, 1, 2) == pytest.approx(want)

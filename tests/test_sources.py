@@ -58,6 +58,20 @@ def test_checks(spark):
     assert not tables.has_targets(tables.checked(lacking, s, "test"), "y")
 
 
+def test_checks_on_the_way(spark):
+    """A file's checks are made as it is written, and its rows counted."""
+    from sylvan.plans.storage import stored
+
+    s = parse_schema(GOOD)
+    df = lambda *rows: spark.createDataFrame(list(rows), "y double, lat double, name string, flag double, w double")
+    rows, n = tables.checked_as_read(df((1.0, 2.0, "a", 1.0, 1.0), (0.0, 2.0, "a", 0.0, 1.0)), s, "train", stored)
+    assert rows.count() == n == 2
+    for bad, role, code in (([], "train", "empty train"), ([(None, 1.0, "a", 0.0, 1.0)], "valid", "missing target in valid"), ([(1.0, 1.0, "a", 2.0, 1.0)], "train", "not a boolean")):
+        with pytest.raises(DataError) as e:
+            tables.checked_as_read(df(*bad), s, role, stored)
+        assert e.value.code == code
+
+
 def test_missing_is_null(spark):
     df = tables.nan_to_null(spark.createDataFrame([(float("nan"), 1), (2.0, 2)], "x double, k int"))
     assert {r.attr: r.n_missing for r in tables.missing_profile(df, ("x",)).collect()} == {"x": 1}
