@@ -18,10 +18,11 @@ def bag_items(rows: DataFrame, draws: DataFrame) -> DataFrame:
     return sampling.in_bag(draws).join(rows.select("row_no", "y", "w"), "row_no").select("bag", "row_no", (F.col("times") * F.col("w")).alias("coef"), F.col("y").alias("resp"))
 
 
-def bagged_trees(train: DataFrame, key: str, features: list[str], bags: int = 60, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(node table with entropies, numbered rows).  train: key, y, w, features; all bags grow in one pass over the levels."""
+def bagged_trees(train: DataFrame, key: str, features: list[str], bags: int = 60, alpha: float = 0.0, seed: int = 1, booleans: list[str] | None = None, max_depth: int | None = None, done: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node table with entropies, numbered rows).  train: key, y, w, features; all bags grow in one pass over the levels.  The first ``done`` bags are left out: draws hang on
+    seed and bag, so that bags grown later are those of one run."""
     rows = stored(numbered(train.select(key, "y", "w", *features), key))
-    draws = sampling.bootstrap_draws(train.sparkSession, rows.count(), bags, seed)
+    draws = sampling.bootstrap_draws(train.sparkSession, rows.count(), bags, seed).filter(F.col("bag") >= done)
     nodes = grow(rows, bag_items(rows, draws), features, alpha, booleans, max_depth, with_entropy=True)
     return stored(nodes), rows
 

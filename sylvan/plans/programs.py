@@ -64,11 +64,15 @@ def performance(preds: DataFrame, truth: DataFrame, metric: str = "rmse") -> flo
     return metrics.rmse(both).first()[0]
 
 
-def train_bagged(train: Data, valid: Data, bags: int = 60, alpha: float = 0.0, metric: str = "rmse", seed: int = 1, keep: int | None = None) -> dict:
-    """nodes, preds and curve on valid, scores, whether more bags are needed and how many; with ``keep`` the schema of the best features."""
+def train_bagged(train: Data, valid: Data, bags: int = 60, alpha: float = 0.0, metric: str = "rmse", seed: int = 1, keep: int | None = None, prior: dict | None = None) -> dict:
+    """nodes, preds and curve on valid, scores, whether more bags are needed and how many; with ``keep`` the schema of the best features.  prior: a run of fewer bags with the same
+    options, whose trees and predictions are taken over."""
     alpha = snap_alpha(alpha, train.rows.count()) if alpha else 0.0
-    nodes, rows = ensemble.bagged_trees(train.rows.withColumnRenamed("row_no", "key"), "key", train.features, bags, alpha, seed, train.booleans)
+    done = prior["trained"] if prior else 0
+    nodes, rows = ensemble.bagged_trees(train.rows.withColumnRenamed("row_no", "key"), "key", train.features, bags, alpha, seed, train.booleans, done=done)
     per = stored(predict.tree_predictions(valid.rows, nodes, valid.features))
+    if prior:
+        nodes, per = prior["nodes"].unionByName(nodes), prior["per"].unionByName(per)
     curve = metrics.bagging_curve(per, valid.rows.select("row_no", "y", "w"), "rmse" if metric == "rmse" else "roc")
     scores = features.ranking(ensemble.feature_scores(nodes, rows.agg(F.sum("w")).first()[0]))
     value = "rmse" if metric == "rmse" else "auc"
@@ -80,7 +84,15 @@ def train_bagged(train: Data, valid: Data, bags: int = 60, alpha: float = 0.0, m
         stay = {r["attr"] for r in features.top_features(scores.drop("place"), keep, marked).collect()}
         for name in train.features:
             schema = schema if name in stay else schema.without(name)
-    return {"nodes": nodes, "preds": per.groupBy("row_no").agg(F.avg("pred").alias("pred")), "curve": curve, "scores": scores, "more": more, "bags": metrics.next_bags(bags) if more else bags, "schema": schema}
+    return {"nodes": nodes, "per": per, "trained": bags, "preds": per.groupBy("row_no").agg(F.avg("pred").alias("pred")), "curve": curve, "scores": scores, "more": more, "bags": metrics.next_bags(bags) if more else bags, "schema": schema}
+
+
+def train_bagged_until(train: Data, valid: Data, bags: int = 60, most: int = 1000, **options) -> dict:
+    """train_bagged, with bags added until the curve on valid is flat, or there are ``most``; no tree is grown twice."""
+    run = train_bagged(train, valid, bags, **options)
+    while run["more"] and run["trained"] < most:
+        run = train_bagged(train, valid, min(run["bags"], most), prior=run, **options)
+    return run
 
 
 def score(test: Data, nodes: DataFrame, metric: str = "rmse") -> tuple[DataFrame, float | None]:

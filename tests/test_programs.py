@@ -79,3 +79,15 @@ def test_grove_run(data):
     assert out["best"]["perf"] > 0 and out["next"]["action"] == "expand" and out["next"]["bags"] == 3
     nodes = grid.save_cell([out["run"]], out["best"]["tig_no"], out["best"]["alpha_no"])
     assert p.score(valid, nodes)[1] == pytest.approx(out["best"]["perf"])
+
+
+def test_bagged_runs_grow(data):
+    """Bags added to a run: its trees are taken over, and the whole is that of one run."""
+    train, valid, _ = data
+    part, whole = (p.train_bagged(train, valid, n, 0.3) for n in (2, 3))
+    grown = p.train_bagged(train, valid, 3, 0.3, prior=part)
+    rows = lambda df: sorted(map(str, df.collect()))
+    key = ["bag", "node_id", "n", "attr", "border", "missing_l", "value"]
+    assert rows(grown["nodes"].select(key)) == rows(whole["nodes"].select(key)) and grown["per"].count() == 180
+    assert [r.rmse for r in grown["curve"].orderBy("bag").collect()] == pytest.approx([r.rmse for r in whole["curve"].orderBy("bag").collect()])
+    assert p.train_bagged_until(train, valid, 2, 3, alpha=0.3)["trained"] == 3
