@@ -20,7 +20,7 @@ import hashlib
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .chunks import CHUNK_BYTES, chunked, packed, unpacked
 from .common import discard, id_and_text, map_batches, materialise
-from .tokens import BYTE_CHARS, PRINTABLE, encoder
+from .tokens import BLANKS, BYTE_CHARS, OTHER, PRINTABLE, UNEVEN, encoder
 
 #: Bytes of text whose distinct units are one part.
-PART_BYTES = 64 << 20
+PART_BYTES = 48 << 20
 #: Units whose bytes a worker remembers to agree.
-MEMORY = 500_000
+MEMORY = 300_000
 SPACE_SIGN = "▁"
 #: Latin letters, after which a full stop or comma begins a unit.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -63,14 +63,37 @@ class TokenPair:
         first = rf"(?:[{marks}]{body}*|{body}+)" if marks else body
         self.unit = None if whole else re.compile(rf"\s*{first}(?:[^\S{breaks}]\s*(?:{body})*)*|\s+")
         self.agreed: dict[str, bool] = {}
+        # A has all bytes as entries; B takes texts as they are, and bytes for what it has no piece for: only U+2581 reads as another character then
+        self.lossless = self.a.split and not self.a.lower and set(byte_of) <= set(entries) and self._takes_all(b_path, n)
 
-    def units(self, text: str) -> list[str]:
-        """Units of a space and the text; none of an empty text."""
+    def _takes_all(self, path: str, n: int) -> bool:
+        from sentencepiece import sentencepiece_model_pb2 as described
+
+        model = described.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        return model.normalizer_spec.name == "identity" and model.trainer_spec.byte_fallback and sum(self.b.is_byte(i) for i in range(n)) == 256
+
+    def parts(self, text: str) -> list[str]:
+        """A space and the text as runs of whole units, most of which are met again and again: words with the white space before them."""
         if not text:
             return []
-        text = " " + text
-        found = self.unit.findall(text) if self.unit else [text]
-        return found if sum(map(len, found)) == len(text) else [text]
+        if self.unit is None or text[0] in BLANKS or text[-1] in BLANKS or any(x in text for x in UNEVEN) or OTHER.search(text):
+            return self._cut(" " + text)
+        return [" " + p if p[0] != "\n" else p for p in text.replace("\n", " \n").split(" ")]
+
+    def _cut(self, part: str) -> list[str]:
+        found = self.unit.findall(part) if self.unit else [part]
+        return found if sum(map(len, found)) == len(part) else [part]
+
+    def units_of(self, parts: Iterable[str]) -> Iterator[list[str]]:
+        """Each part's units; only a full stop or comma can divide one."""
+        for p in parts:
+            yield self._cut(p) if "." in p or "," in p else [p]
+
+    def units(self, text: str) -> list[str]:
+        """Units of a space and the text; none of an empty text."""
+        return list(itertools.chain.from_iterable(self.units_of(self.parts(text))))
 
     def b_ids(self, units: list[str]) -> list[list[int]]:
         """B puts a space before a text that is not empty; where that is not the unit's own, a line feed, a token of its own, stands between."""
@@ -79,17 +102,19 @@ class TokenPair:
         return [i if o else i[2:] for i, o in zip(ids, own, strict=True)]
 
     def a_ids(self, units: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, "<u4").tolist() for x in self.a.ids(units)]
-
-    def disagreeing(self, units: set[str]) -> set[str]:
-        """Those whose tokens of A or B are not their bytes."""
-        new = [u for u in units if u not in self.agreed]
+        return [e.ids for e in self.a.library.encode_batch_fast(units, add_special_tokens=False)]
+
+    def agrees(self, text: str, parts: list[str]) -> bool:
+        """Whether the tokens of A and of B are the text's bytes."""
+        if self.lossless:
+            return SPACE_SIGN not in text
+        units = list(itertools.chain.from_iterable(self.units_of(parts)))
+        new = list(set(units).difference(self.agreed))
         if len(self.agreed) + len(new) > MEMORY:
-            self.agreed, new = {}, list(units)
+            self.agreed, new = {}, list(set(units))
         for u, a, b in zip(new, self.a_ids(new), self.b_ids(new), strict=True):
-            data = u.encode()
-            self.agreed[u] = b"".join([self.b_bytes[i] for i in b]) == data == b"".join([self.a_bytes[i] for i in a])
-        return {u for u in units if not self.agreed[u]}
+            self.agreed[u] = b"".join([self.b_bytes[i] for i in b]) == u.encode() == b"".join([self.a_bytes[i] for i in a])
+        return all(map(self.agreed.__getitem__, units))
 
 
 def token_pair(a_path: str, b_path: str) -> TokenPair:
@@ -110,7 +135,11 @@ def _scan(docs: DataFrame, a_path: str, b_path: str, part_bytes: int, chunk_byte
         columns["part"] = [part] * rows
         return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names)
 
-    def unit_rows(part: int, counts: Counter) -> Iterator[pa.RecordBatch]:
+    def unit_rows(part: int, words: Counter) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for own, times in zip(token_pair(a_path, b_path).units_of(words), words.values(), strict=True):
+            for u in own:
+                counts[u] = counts.get(u, 0) + times
         units, times = list(counts), list(counts.values())
         for lo in range(0, len(units), 50_000):
             hi = min(lo + 50_000, len(units))
@@ -120,10 +149,12 @@ def _scan(docs: DataFrame, a_path: str, b_path: str, part_bytes: int, chunk_byte
         pair, counts, part, held = token_pair(a_path, b_path), Counter(), None, 0
         for number, ids, texts in chunked(batches, chunk_bytes):
             part = number if part is None else part
-            every = [pair.units(t) for t in texts]
-            bad = pair.disagreeing(set(itertools.chain.from_iterable(every)))
-            fine = [bool(u) and (not bad or bad.isdisjoint(u)) for u in every]
-            counts.update(itertools.chain.from_iterable(itertools.compress(every, fine)))
+            fine = []
+            for text in texts:
+                parts = pair.parts(text)
+                fine.append(bool(parts) and pair.agrees(text, parts))
+                if fine[-1]:
+                    counts.update(parts)
             yield batch(1, part, docs=[packed({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string()), "fine": pa.array(fine)})])
             held += sum(map(len, texts))
             if held >= part_bytes:
@@ -241,38 +272,61 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    def summed(data: bytes, number: dict[str, int], numbers: np.ndarray, groups: list[str]) -> Iterator[tuple]:
-        batch = unpacked(data)
+    class Sums:
+        """A part's units with their sums, and the words made of them."""
+
+        def __init__(self):
+            self.number, self.held, self.groups = {}, [], []
+            self.place, self.said, self.words = {}, [], np.zeros((1024, len(SUMS)), np.int64)
+
+        def add(self, told: pa.RecordBatch) -> None:
+            self.held.append(np.stack([told.column(2 + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(SUMS))], 1))
+            self.groups += told.column(2 + len(SUMS)).to_pylist()
+
+        def learn(self, new: list[str]) -> None:
+            """Words in order of their first place, so that units get the numbers that the scan gave them."""
+            if len(self.held) > 1:
+                self.held = [np.concatenate(self.held)]
+            pair, first = token_pair(a_path, b_path), len(self.said)
+            units = [[self.number.setdefault(u, len(self.number)) for u in own] for own in pair.units_of(new)]
+            for word, own in zip(new, units, strict=True):
+                self.place[word] = len(self.said)
+                self.said.append(";".join([self.groups[k] for k in own]))
+            if len(self.said) > len(self.words):
+                self.words = np.concatenate([self.words, np.zeros((max(len(self.words), len(self.said)), len(SUMS)), np.int64)])
+            edge = np.cumsum([0, *map(len, units)])[:-1]
+            self.words[first : len(self.said)] = np.add.reduceat(self.held[0][list(itertools.chain.from_iterable(units))], edge)
+
+        def of(self, words: list[str]) -> tuple[list[int], str]:
+            new = list(itertools.filterfalse(self.place.__contains__, dict.fromkeys(words)))
+            if new:
+                self.learn(new)
+            at = list(map(self.place.__getitem__, words))
+            return self.words[at].sum(0).tolist(), ";".join(map(self.said.__getitem__, at))
+
+    def summed(data: bytes, sums: Sums) -> Iterator[tuple]:
         pair = token_pair(a_path, b_path)
-        for doc_id, text, fine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not fine:
+        for doc_id, text, fine in zip(*(c.to_pylist() for c in unpacked(data).columns), strict=True):
+            if fine:
+                numbers, said = sums.of(pair.parts(text))
+                yield doc_id, *numbers, hashlib.sha256(said.encode()).hexdigest(), said if with_groups else None
+            else:
                 yield doc_id, *[0] * len(SUMS), "", ""
-                continue
-            own = pair.units(text)
-            for u in own:
-                number.setdefault(u, len(number))  # as the scan numbered them
-            at = [number[u] for u in own]
-            said = ";".join([groups[k] for k in at])
-            yield doc_id, *numbers[at].sum(0).tolist(), hashlib.sha256(said.encode()).hexdigest(), said if with_groups else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, numbers, groups, held, rows = None, {}, np.zeros((0, len(SUMS)), np.int64), [], [], []
+        part, sums, rows = None, None, []
         for batch in batches:
             parts = batch.column(0).to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1], [True]))) if len(parts) else []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if parts[lo] != part:
-                    part, number, held, groups = parts[lo], {}, [], []
+                    part, sums = parts[lo], Sums()
                 own = batch.slice(lo, hi - lo)
                 units = own.num_rows - own.column(1).null_count
                 if units:
-                    told = own.slice(0, units)
-                    held.append(np.stack([told.column(2 + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(SUMS))], 1))
-                    groups += told.column(2 + len(SUMS)).to_pylist()
+                    sums.add(own.slice(0, units))
                 for data in own.column(3 + len(SUMS)).slice(units):
-                    if held:
-                        numbers, held = np.concatenate(held), []
-                    for row in summed(data.as_py(), number, numbers, groups):
+                    for row in summed(data.as_py(), sums):
                         rows.append(row)
                         if len(rows) >= 1000:
                             yield batch_of(rows)

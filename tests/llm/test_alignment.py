@@ -111,5 +111,15 @@ def test_units_and_whole_texts_agree(spark, data, monkeypatch):
     assert len(by_units) == 15 and all(len(r[8].split(";")) == r[3] for r in by_units if r[1])
 
 
+def test_a_check_of_every_unit_gives_the_same(spark, libraries, monkeypatch):
+    """Without what is known of these vocabularies, tokens are held against bytes unit by unit."""
+    pair = A.token_pair(A_PATH, B_PATH)
+    assert pair.lossless
+    monkeypatch.setattr(pair, "lossless", False)
+    assert [pair.agrees(t, pair.parts(t)) for t in ODD if t] == [bool(tokens(libraries, t)[0]) for t in ODD if t]
+    monkeypatch.setattr(A, "MEMORY", 3)
+    assert pair.units("one two one. three, four\none") == [" one", " two", " one", ".", " three", ",", " four", "\none"]
+
+
 def test_empty_table(spark):
     assert A.align_tokens(spark.createDataFrame([], "doc_id long, text string"), A_PATH, B_PATH).count() == 0
