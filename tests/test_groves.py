@@ -160,11 +160,11 @@ SMALL = ["a", "b"]
 
 @pytest.fixture(scope="module")
 def small(spark):
-    """Rows of two features with missing values, train and valid, as a table and as arrays; targets hang on the features alone, so that trees end soon."""
+    """Rows of two features of two values, with missing ones, train and valid, as a table and as arrays; targets with noise, so that no two ways are equally good."""
     r = np.random.default_rng(5)
     n = 20
     x = r.integers(0, 2, (n, 2)).astype(float)
-    y = 4 * x[:, 0] - 3 * x[:, 1] * x[:, 0] + x[:, 1]
+    y = (4 * x[:, 0] - 3 * x[:, 1] * x[:, 0] + r.integers(0, 4, n)).astype(float)
     pdf = pd.DataFrame({"key": np.arange(n), "y": y, "w": 1.0 + np.arange(n) % 2, "set": np.where(np.arange(n) % 4 == 1, "valid", "train"), "a": x[:, 0], "b": x[:, 1]})
     pdf.loc[pdf["key"] % 9 == 3, "a"] = np.nan
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
@@ -225,12 +225,12 @@ def cells_of(run):
     return out
 
 
-@pytest.mark.parametrize("mode", ["slow", "fast"])
-def test_grids_of_both_engines_and_plain_loops(small, mode):
+@pytest.mark.parametrize(("mode", "bags"), [("slow", 1), ("fast", 2)])
+def test_grids_of_both_engines_and_plain_loops(small, mode, bags):
     """Ways, choices and predictions of all cells: bag by bag in memory, on tables, and by loops; and the table engine goes on from a smaller grid."""
     rows, pdf = small
-    want, keys = plain_grid(pdf, 0.2, 2, 2, mode)
-    for run in (grid.train_grid(rows, SMALL, 0.2, 2, 2, mode), wide_grove.train_grid(rows, SMALL, 0.2, 2, 2, mode)):
+    want, keys = plain_grid(pdf, 0.2, 2, bags, mode)
+    for run in (grid.train_grid(rows, SMALL, 0.2, 2, bags, mode), wide_grove.train_grid(rows, SMALL, 0.2, 2, bags, mode)):
         got = cells_of(run)
         assert got.keys() == want.keys() and all(len(p) == len(keys) for _, p in got.values())
         for cell, (below, pred) in want.items():
@@ -238,7 +238,7 @@ def test_grids_of_both_engines_and_plain_loops(small, mode):
         valid = rows.filter("set = 'valid'").withColumnRenamed("key", "row_no")
         nodes = run.nodes.filter("tig_no = 1 AND alpha_no = 1")
         pred = {(r.bag, r.row_no): r.pred for r in predict.tree_predictions(valid, nodes, SMALL).groupBy("bag", "row_no").agg(F.sum("pred").alias("pred")).collect()}
-        assert all(pred[b, k] == pytest.approx(p) for b in range(2) for k, p in zip(keys, want[b, 1, 1][1], strict=True))
+        assert all(pred[b, k] == pytest.approx(p) for b in range(bags) for k, p in zip(keys, want[b, 1, 1][1], strict=True))
 
 
 def test_wide_grids_go_on(small):
