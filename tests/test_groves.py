@@ -243,9 +243,9 @@ def test_grids_of_both_engines_and_plain_loops(small, mode, bags):
 
 def test_wide_grids_go_on(small):
     rows, pdf = small
-    part = wide_grove.train_grid(rows, SMALL, 0.5, 1, 1, "layered")
-    grown = grid.expand_grid(part, rows, SMALL, 0.2, 2, 2, train=wide_grove.train_grid)
-    want, _ = plain_grid(pdf, 0.2, 2, 2, "layered")
+    part = wide_grove.train_grid(rows, SMALL, 0.5, 1, 1, "slow")
+    grown = grid.expand_grid(part, rows, SMALL, 0.5, 2, 2, train=wide_grove.train_grid)
+    want, _ = plain_grid(pdf, 0.5, 2, 2, "slow")
     got = cells_of(grown)
     assert got.keys() == want.keys()
     for cell, (below, pred) in want.items():
